@@ -1,0 +1,118 @@
+"""Bin state as plain Parquet: one partition of additions per micro-batch, folded per day.
+
+Layout under the root, for ``hour`` and ``day`` bins alike::
+
+    <level>/delta/batch_id=N/epoch_day=D/   additions of micro-batch N
+    <level>/folded/epoch_day=D/upto=N/      everything of day D up to micro-batch N
+    pairs/batch_id=N/epoch_day=D/           key/device pairs seen by micro-batch N
+
+Additions are sums and counts, so reading is adding up. A replayed micro-batch
+overwrites its own partition and changes nothing; late events of any age land
+as a small addition to their day. Folding rewrites only the days that received
+additions, never the history.
+"""
+
+from __future__ import annotations
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from pixelhour.functions import packing
+from pixelhour.operators import bins
+
+HOUR, DAY = "hour", "day"
+
+_XYT = T.StructField("xyt", T.LongType())
+_VALUES = [_XYT, T.StructField("u", T.StringType()), T.StructField("sum_v", T.DoubleType()), T.StructField("n", T.LongType())]
+_BATCH = T.StructField("batch_id", T.LongType())
+_DAY = T.StructField("epoch_day", T.IntegerType())
+_DELTA = T.StructType([*_VALUES, _BATCH, _DAY])
+_FOLDED = T.StructType([*_VALUES, _DAY, T.StructField("upto", T.LongType())])
+_PAIRS = T.StructType([_XYT, T.StructField("device_id", T.LongType()), _BATCH, _DAY])
+_COLUMNS = [f.name for f in _VALUES]
+
+
+def _epoch_day(level: str) -> Column:
+    xyt = F.col("xyt")
+    return bins.epoch_day(xyt) if level == HOUR else packing.decode_t(xyt).cast("int")
+
+
+def _write_batch(rows: DataFrame, level: str, path: str) -> None:
+    rows.withColumn("epoch_day", _epoch_day(level)).write.mode("overwrite").partitionBy("epoch_day").parquet(path)
+
+
+def append(delta: DataFrame, root: str, batch_id: int, level: str = HOUR) -> None:
+    """Write one micro-batch's bins; writing it again replaces it."""
+    _write_batch(delta.select(*_COLUMNS), level, f"{root}/{level}/delta/batch_id={batch_id}")
+
+
+def append_pairs(pairs: DataFrame, root: str, batch_id: int) -> None:
+    """Write one micro-batch's distinct key/device pairs."""
+    _write_batch(pairs.select("xyt", "device_id").distinct(), HOUR, f"{root}/pairs/batch_id={batch_id}")
+
+
+def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def _from_day(rows: DataFrame, first_day: int | None, last_day: int | None) -> DataFrame:
+    if first_day is not None:
+        rows = rows.filter(F.col("epoch_day") >= first_day)
+    if last_day is not None:
+        rows = rows.filter(F.col("epoch_day") <= last_day)
+    return rows
+
+
+def _newest_fold(folded: DataFrame) -> DataFrame:
+    """epoch_day, newest. Days lie between 2011 and the day after tomorrow, so
+    this is a few thousand rows whatever the data size, and safe to broadcast."""
+    return F.broadcast(folded.groupBy("epoch_day").agg(F.max("upto").alias("newest")))
+
+
+def _current(folded: DataFrame, delta: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of each day's newest fold, and the additions after it."""
+    newest = _newest_fold(folded)
+    base = folded.join(newest, "epoch_day").filter(F.col("upto") == F.col("newest"))
+    fresh = delta.join(newest, "epoch_day", "left").filter(F.col("batch_id") > F.coalesce("newest", F.lit(-1)))
+    return base.select(*_COLUMNS, "epoch_day"), fresh.select(*_COLUMNS, "epoch_day")
+
+
+def read(spark: SparkSession, root: str, level: str = HOUR, first_day: int | None = None,
+         last_day: int | None = None) -> DataFrame:
+    """Current bins: xyt, u, sum_v, n, v. Day limits prune partitions of both layouts."""
+    folded = _from_day(_read(spark, f"{root}/{level}/folded", _FOLDED), first_day, last_day)
+    delta = _from_day(_read(spark, f"{root}/{level}/delta", _DELTA), first_day, last_day)
+    base, fresh = _current(folded, delta)
+    return bins.merge(base, fresh)
+
+
+def read_pairs(spark: SparkSession, root: str, first_day: int | None = None, last_day: int | None = None) -> DataFrame:
+    pairs = _from_day(_read(spark, f"{root}/pairs", _PAIRS), first_day, last_day)
+    return pairs.select("xyt", "device_id").distinct()
+
+
+def fold(spark: SparkSession, root: str, upto: int, level: str = HOUR) -> None:
+    """Fold additions up to a micro-batch into per-day partitions, for the days that have any.
+
+    Each day's new partition appears beside the old one and readers take the
+    newest, so a reader sees a day either before or after the fold.
+    """
+    folded = _read(spark, f"{root}/{level}/folded", _FOLDED)
+    delta = _read(spark, f"{root}/{level}/delta", _DELTA).filter(F.col("batch_id") <= upto)
+    base, fresh = _current(folded, delta)
+    # One row per day: bounded like _newest_fold.
+    touched = F.broadcast(fresh.select("epoch_day").distinct())
+    merged = bins.merge(base.join(touched, "epoch_day", "left_semi"), fresh)
+    (
+        merged.select(*_COLUMNS, _epoch_day(level).alias("epoch_day"), F.lit(upto).cast("long").alias("upto"))
+        .hint("rebalance", "epoch_day")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("epoch_day", "upto").parquet(f"{root}/{level}/folded")
+    )
