@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 _NUMBER = r"(\d+\.?\d*|\.\d+)(e[+-]?\d+)?"
 NUMERIC_PATTERN = rf"(?i)^\s*([+-]?{_NUMBER}|nan)\s*$"
 FLOAT_PATTERN = rf"(?i)^\s*[+-]?({_NUMBER}|inf(inity)?|nan)\s*$"
-NAN_PATTERN = r"(?i)^\s*[+-]?nan\s*$"
 INTEGER_PATTERN = r"^\s*[+-]?\d+\s*$"
 # A calendar date, optionally a wall-clock time, optionally a zone. Group 1 is
 # the wall clock: a zone is accepted and then ignored.
@@ -29,10 +28,8 @@ def to_float(text: Column) -> Column:
     """Text to DOUBLE. Finite spellings too large for a double are refused."""
     parsed = F.trim(text).try_cast("double")
     overflow = (F.abs(parsed) == float("inf")) & ~F.lower(text).contains("inf")
-    return (
-        F.when(text.rlike(NAN_PATTERN), F.lit(float("nan")))
-        .when(text.rlike(FLOAT_PATTERN) & ~overflow, parsed)
-    )
+    # The cast knows every accepted spelling but a signed nan.
+    return F.when(text.rlike(FLOAT_PATTERN) & ~F.coalesce(overflow, F.lit(False)), F.coalesce(parsed, F.lit(float("nan"))))
 
 
 def is_float(text: Column) -> Column:

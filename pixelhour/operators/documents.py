@@ -39,13 +39,14 @@ def _keyword(text: Column) -> Column:
     return F.when(F.length(text) <= KEYWORD_LIMIT, text)
 
 
-def _converted(fields: Column, name: str) -> Column:
-    text = fields[name]
+def _converted(name: str) -> Column:
+    """Number texts follow the JVM's own spelling rules, like the mapping they serve; non-finite ones do not count."""
+    text = F.col("texts")[name]
     if name in FLOAT_FIELDS:
-        value = guards.to_float(text).cast("float")
+        number = text.try_cast("float")
+        value = F.when(F.abs(number) < float("inf"), number)
     elif name in LONG_FIELDS:
-        # A fraction is cut off, as the mapping coerces numbers.
-        value = F.coalesce(guards.to_integer(text), guards.to_float(text).try_cast("bigint"))
+        value = F.coalesce(text.try_cast("bigint"), text.try_cast("double").try_cast("bigint"))
     elif name in BOOLEAN_FIELDS:
         value = F.when(text == "true", True).when(text.isin("false", ""), False)
     elif name in DATE_FIELDS:
@@ -82,7 +83,7 @@ def enrich(documents: DataFrame, now: datetime) -> DataFrame:
     ``location`` exists only if both place keys do. ``index_date`` is the
     processing date, which names the daily dataset.
     """
-    parsed = payloads.with_fields(documents)
+    parsed = payloads.with_fields(documents, filtered=False)
     f = F.col("fields")
     both = payloads.has_key(f, "loc_lat") & payloads.has_key(f, "loc_lon")
     return parsed.select(
@@ -104,11 +105,15 @@ def typed_projection(enriched: DataFrame, keep: list[str]) -> DataFrame:
     f = F.col("fields")
     lat, lon = guards.to_float(F.col("location.lat")), guards.to_float(F.col("location.lon"))
     valid = lat.between(-90, 90) & lon.between(-180, 180)
-    return enriched.select(
+    # A second parse into a fixed struct: 82 lookups by position instead of
+    # 82 searches through a map, and one that shrinks to the columns selected.
+    # The map serves the leftovers.
+    texts = F.from_json("payload", ", ".join(f"{name} string" for name in MAPPED_FIELDS))
+    return enriched.withColumn("texts", texts).select(
         *keep,
         guards.to_wall_clock(F.col("document_time")).alias("timestamp"),
         F.when(valid, F.struct(lat.alias("lat"), lon.alias("lon"))).alias("ingest_location"),
-        *[_converted(f, name) for name in MAPPED_FIELDS],
+        *[_converted(name) for name in MAPPED_FIELDS],
         F.transform_values(
             F.map_filter(f, lambda k, v: ~k.isin(MAPPED_FIELDS)), lambda k, v: _keyword(v)
         ).alias("extra"),

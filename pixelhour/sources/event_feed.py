@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelhour.functions.staging import staged
+
 ISO_Z = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
@@ -89,28 +91,32 @@ SERVICE_PAYLOAD = f"""
 """
 
 
-def measurements(events_: DataFrame) -> DataFrame:
-    return events_.select(
-        F.col("event_id").alias("id"), F.col("user_id").alias("device_id"),
-        F.expr(SENSOR_PAYLOAD).alias("payload"),
+def _with_payload(events_: DataFrame, payload: str) -> DataFrame:
+    """The payload text is built once per row, like a stored column."""
+    return staged(events_, {"payload": F.expr(payload)})
+
+
+def _as_measurements(events_: DataFrame, payload: str) -> DataFrame:
+    return _with_payload(events_, payload).select(
+        F.col("event_id").alias("id"), F.col("user_id").alias("device_id"), "payload",
         F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"),
     )
 
 
-def posts(events_: DataFrame) -> DataFrame:
-    return events_.select(F.col("event_id").alias("id"), F.expr(POST_BODY).alias("payload"))
+def measurements(events_: DataFrame) -> DataFrame:
+    return _as_measurements(events_, SENSOR_PAYLOAD)
 
 
 def legacy_measurements(events_: DataFrame) -> DataFrame:
-    return events_.select(
-        F.col("event_id").alias("id"), F.col("user_id").alias("device_id"),
-        F.expr(LEGACY_PAYLOAD).alias("payload"),
-        F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"),
-    )
+    return _as_measurements(events_, LEGACY_PAYLOAD)
+
+
+def posts(events_: DataFrame) -> DataFrame:
+    return _with_payload(events_, POST_BODY).select(F.col("event_id").alias("id"), "payload")
 
 
 def service_payloads(events_: DataFrame) -> DataFrame:
-    return events_.select(F.col("event_id").alias("id"), F.col("ts"), F.expr(SERVICE_PAYLOAD).alias("payload"))
+    return _with_payload(events_, SERVICE_PAYLOAD).select(F.col("event_id").alias("id"), "ts", "payload")
 
 
 def queue_messages(service: DataFrame) -> DataFrame:

@@ -41,10 +41,17 @@ def has_key(fields: Column, key: str) -> Column:
     return F.map_contains_key(fields, F.lit(key))
 
 
-def with_fields(df: DataFrame, payload: str = "payload", into: str = "fields") -> DataFrame:
-    """Parse each payload once into its own column, whatever is filtered on it later."""
+def with_fields(df: DataFrame, payload: str = "payload", into: str = "fields", filtered: bool = True) -> DataFrame:
+    """Add the parsed payload.
+
+    ``filtered`` says that rows will be filtered on the fields: each payload is
+    then parsed exactly once. Otherwise a plain projection leaves Catalyst free
+    to drop the parse when nothing reads it.
+    """
     parsed = df.withColumn("__raw_fields", parse_fields(F.col(payload)))
-    return staged(parsed, {into: unique_fields(F.col("__raw_fields"))}).drop("__raw_fields")
+    fields = unique_fields(F.col("__raw_fields"))
+    with_both = staged(parsed, {into: fields}) if filtered else parsed.withColumn(into, fields)
+    return with_both.drop("__raw_fields")
 
 
 def may_contain_key(payload: Column, key: str) -> Column:
