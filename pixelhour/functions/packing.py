@@ -5,7 +5,8 @@ motion flag (1 bit) and an hour or day number (21 bits). Joins and groupings
 use it as a single narrow key.
 
 Conversions from fractions round half to even (``rint``): hour bins are centred
-on the full hour, and a longitude of +180 wraps around to pixel 0.
+on the full hour, and a longitude of +180 wraps around to pixel 0. Coordinates
+without a pixel (NaN, the poles) give NULL.
 """
 
 from __future__ import annotations
@@ -28,13 +29,13 @@ ONE_OVER_PI = 0.31830988618379067153776752674503
 
 
 def lon_to_px(lon: Column) -> Column:
-    return F.rint((lon + 180.0) * PIXELS_PER_DEGREE + 0.5).cast("bigint")
+    return F.rint((lon + 180.0) * PIXELS_PER_DEGREE + 0.5).try_cast("bigint")
 
 
 def lat_to_py(lat: Column) -> Column:
     sine = F.sin(lat * DEGREES_TO_RADIANS)
-    stretched = F.log((1.0 + sine) / (1.0 - sine)) * ONE_OVER_4PI
-    return F.rint((0.5 - stretched) * PIXELS + 0.5).cast("bigint")
+    stretched = F.log(F.try_divide(1.0 + sine, 1.0 - sine)) * ONE_OVER_4PI
+    return F.rint((0.5 - stretched) * PIXELS + 0.5).try_cast("bigint")
 
 
 def px_to_lon(x: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixelhour.session import written
+
 DETAIL_FIELDS = ("device_sn", "device_urn")
 TOP_DEVICES = 1000
 MIN_DOCUMENTS = 3
@@ -17,30 +19,35 @@ def top_devices(documents: DataFrame, size: int = TOP_DEVICES) -> DataFrame:
     return counts.orderBy(F.desc("n"), "device").limit(size)
 
 
-def significant_terms(documents: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+def term_counts(documents: DataFrame) -> DataFrame:
+    """device, field, term (NULL where absent), fg_count: the one pass over the documents."""
+    pairs = ", ".join(f"'{f}', {f}" for f in DETAIL_FIELDS)
+    long = documents.filter(F.col("device").isNotNull()).select(
+        "device", F.expr(f"stack({len(DETAIL_FIELDS)}, {pairs}) as (field, term)")
+    )
+    return long.groupBy("device", "field", "term").agg(F.count(F.lit(1)).alias("fg_count"))
+
+
+def _documents_per_device(counts: DataFrame) -> DataFrame:
+    """device, n: every document counts once under each field, so one field gives the total."""
+    one_field = counts.filter(F.col("field") == DETAIL_FIELDS[0])
+    return one_field.groupBy("device").agg(F.sum("fg_count").alias("n"))
+
+
+def significant_terms(counts: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """device, field, term, fg_count, score for terms more common in a device's documents than overall.
 
     Score: (fg - bg) * fg / bg with the shares of documents holding the term in
-    the device's and in all documents. Everything derives from one grouped count
-    per (device, field, term); totals come from that count, not from new scans.
+    the device's and in all documents.
     """
-    n_fields = len(DETAIL_FIELDS)
-    pairs = ", ".join(f"'{f}', {f}" for f in DETAIL_FIELDS)
-    long = documents.filter(F.col("device").isNotNull()).select(
-        "device", F.expr(f"stack({n_fields}, {pairs}) as (field, term)")
-    )
-    counts = long.groupBy("device", "field", "term").agg(F.count(F.lit(1)).alias("fg_count"))
-    per_device = counts.filter(F.col("field") == DETAIL_FIELDS[0]).groupBy("device").agg(
-        F.sum("fg_count").alias("device_total")
-    )
-    per_term = counts.filter(F.col("term").isNotNull()).groupBy("field", "term").agg(
-        F.sum("fg_count").alias("bg_count")
-    )
-    total = documents.filter(F.col("device").isNotNull()).agg(F.count(F.lit(1)).alias("total")).scalar()
+    per_device = _documents_per_device(counts)
+    terms = counts.filter(F.col("term").isNotNull())
+    per_term = terms.groupBy("field", "term").agg(F.sum("fg_count").alias("bg_count"))
+    total = per_device.agg(F.sum("n")).scalar()
     scored = (
-        counts.filter(F.col("term").isNotNull() & (F.col("fg_count") >= min_documents))
+        terms.filter(F.col("fg_count") >= min_documents)
         .join(per_term, ["field", "term"]).join(per_device, "device")
-        .withColumn("fg", F.col("fg_count") / F.col("device_total"))
+        .withColumn("fg", F.col("fg_count") / F.col("n"))
         .withColumn("bg", F.col("bg_count") / total)
         .filter(F.col("fg") > F.col("bg"))
     )
@@ -52,10 +59,13 @@ def significant_terms(documents: DataFrame, min_documents: int = MIN_DOCUMENTS)
 def device_details(documents: DataFrame, size: int = TOP_DEVICES, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """device, device_sn, device_urn: the most significant term of each field for each top device.
 
-    ``max`` over (score, more documents, smaller term) picks the first bucket.
+    The counts are written once and everything else derives from them, so the
+    documents are read a single time. Equal scores go to the term with more
+    documents, then to the smaller term.
     """
-    devices = top_devices(documents, size).select("device")
-    terms = significant_terms(documents, min_documents)
+    counts = written(term_counts(documents), "term-counts")
+    devices = _documents_per_device(counts).orderBy(F.desc("n"), "device").limit(size).select("device")
+    terms = significant_terms(counts, min_documents)
     best = terms.groupBy("device", "field").agg(
         F.min(F.struct((-F.col("score")).alias("s"), (-F.col("fg_count")).alias("c"), "term"))["term"].alias("term")
     )

@@ -41,18 +41,17 @@ def _keyword(text: Column) -> Column:
 
 def _converted(name: str) -> Column:
     """Number texts follow the JVM's own spelling rules, like the mapping they serve; non-finite ones do not count."""
-    text = F.col("texts")[name]
+    text = f"texts.{name}"
     if name in FLOAT_FIELDS:
-        number = text.try_cast("float")
-        value = F.when(F.abs(number) < float("inf"), number)
+        value = F.expr(f"if(abs(try_cast({text} as float)) < float('inf'), try_cast({text} as float), null)")
     elif name in LONG_FIELDS:
-        value = F.coalesce(text.try_cast("bigint"), text.try_cast("double").try_cast("bigint"))
+        value = F.expr(f"coalesce(try_cast({text} as bigint), try_cast(try_cast({text} as double) as bigint))")
     elif name in BOOLEAN_FIELDS:
-        value = F.when(text == "true", True).when(text.isin("false", ""), False)
+        value = F.expr(f"case when {text} = 'true' then true when {text} in ('false', '') then false end")
     elif name in DATE_FIELDS:
-        value = guards.to_wall_clock(text)
+        value = guards.to_wall_clock(F.col(text))
     else:
-        value = _keyword(text)
+        value = F.expr(f"if(length({text}) <= {KEYWORD_LIMIT}, {text}, null)")
     return value.alias(name)
 
 

@@ -83,9 +83,8 @@ def explode_readings(measurements: DataFrame, now: datetime) -> DataFrame:
     valid = F.col("place_ok")
     for k in TIME_KEYS:
         valid = valid & F.col(f"{k}_ok")
-    keyed = marked.withColumn(
-        "xyt", packing.pack_place_and_clock(F.col("lat"), F.col("lon"), F.col("motion"), F.col("event_time"))
-    )
+    key = packing.pack_place_and_clock(F.col("lat"), F.col("lon"), F.col("motion"), F.col("event_time"))
+    keyed = marked.withColumn("xyt", F.when(valid, key))
     wanted = F.filter(F.map_entries("fields"), lambda e: units.is_map_unit(e["key"]))
     rows = F.transform(
         wanted,
@@ -95,7 +94,7 @@ def explode_readings(measurements: DataFrame, now: datetime) -> DataFrame:
     )
     exploded = keyed.select(
         F.col("id").alias("original_id"), "device_id", "event_time", "created_at", "updated_at",
-        F.inline(F.when(valid, rows)),
+        F.inline(F.when(F.col("xyt").isNotNull(), rows)),
     )
     return exploded.filter(F.col("value").isNotNull() & units.in_range(F.col("value"), F.col("unit"))).select(
         "original_id", "device_id", "unit", "value", "xyt", "event_time", "created_at", "updated_at"

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelhour.functions import packing
+from pixelhour.session import written
 
 
 def _rank(prefix: str = ""):
@@ -44,9 +45,10 @@ def targets(places: DataFrame, radius: int = 0) -> DataFrame:
     side = max(1, math.floor(radius / math.sqrt(2)))
     reach = math.ceil(radius / side)
     cell_of = lambda c: F.floor(F.col(c) / side)
-    ranked = places.select(
+    # Read four times below; places are few next to the readings they come from.
+    ranked = written(places.select(
         "x", "y", _rank().cast("decimal(38,0)").alias("rank"), cell_of("x").alias("cx"), cell_of("y").alias("cy")
-    )
+    ), "places")
     winners = ranked.groupBy("cx", "cy").agg(F.max("rank").alias("own_rank"))
     steps = F.array(*[
         F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy"))

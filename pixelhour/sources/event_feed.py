@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelhour.functions.staging import staged
+from pixelhour.session import spread
 
 ISO_Z = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/events.parquet")
+    return spread(spark.read.parquet(f"{folder}/events.parquet"))
 
 
 SENSOR_PAYLOAD = f"""

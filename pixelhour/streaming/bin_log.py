@@ -40,7 +40,11 @@ def _epoch_day(level: str) -> Column:
 
 
 def _write_batch(rows: DataFrame, level: str, path: str) -> None:
-    rows.withColumn("epoch_day", _epoch_day(level)).write.mode("overwrite").partitionBy("epoch_day").parquet(path)
+    """Rebalancing by day keeps the file count near the day count; a heavy day is split by size."""
+    (
+        rows.withColumn("epoch_day", _epoch_day(level)).hint("rebalance", "epoch_day")
+        .write.mode("overwrite").partitionBy("epoch_day").parquet(path)
+    )
 
 
 def append(delta: DataFrame, root: str, batch_id: int, level: str = HOUR) -> None:

@@ -34,20 +34,20 @@ def keep_hourly_state(measurements: DataFrame, root: str, checkpoint: str, clock
                       interval: str | None = "15 minutes") -> StreamingQuery:
     """Add every micro-batch's readings to the hour and day bin state, however late they are.
 
-    Day additions derive from the micro-batch's hour bins, which are small next
-    to the readings and kept for the two writes. Every write replaces the same
+    The micro-batch is read once, into device bins, which are small next to the
+    readings and kept for the three writes. Every write replaces the same
     micro-batch's earlier attempt, so a batch that failed half-way is repeated
     whole and counted once.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        accepted = readings.explode_readings(batch, clock())
-        hourly = bins.hourly_bins(accepted).persist()
+        kept = bins.device_bins(readings.explode_readings(batch, clock())).persist()
         try:
+            hourly = bins.regroup(kept)
             bin_log.append(hourly, root, batch_id, bin_log.HOUR)
             bin_log.append(bins.daily_rollup(hourly), root, batch_id, bin_log.DAY)
-            bin_log.append_pairs(accepted, root, batch_id)
+            bin_log.append_pairs(kept, root, batch_id)
         finally:
-            hourly.unpersist()
+            kept.unpersist()
 
     return _start(measurements, handle, checkpoint, "hourly-state", interval)
 
