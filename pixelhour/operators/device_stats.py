@@ -83,10 +83,22 @@ def cleared_test_mode(measurements: DataFrame, sent: DataFrame, now: datetime) -
 
 
 def device_meta(measurements: DataFrame, now: datetime) -> DataFrame:
-    """Latest text per device and unit from one batch: device_id, unit, val, ts."""
-    sent = sent_metadata(measurements)
-    latest = _latest_text(sent, scalars.latest_key(F.col("ts"), F.col("id")))
-    return latest.unionByName(cleared_test_mode(measurements, latest, now))
+    """Latest text per device and unit from one batch: device_id, unit, val, ts.
+
+    A device without a test mode gets ``false`` at ``now``. Sent texts are
+    extracted once and joined to the batch's device list, which reads a single
+    column; both sides are reduced before they meet.
+    """
+    latest = _latest_text(sent_metadata(measurements), scalars.latest_key(F.col("ts"), F.col("id")))
+    slots = measurements.select("device_id").distinct().select(
+        "device_id", F.explode(F.array(*[F.lit(u) for u in units.TEXT_UNITS])).alias("unit")
+    )
+    joined = slots.join(latest, KEY, "left").filter(F.col("val").isNotNull() | (F.col("unit") == "dev_test"))
+    silent = F.col("val").isNull()
+    return joined.select(
+        *KEY, F.when(silent, "false").otherwise(F.col("val")).alias("val"),
+        F.when(silent, clock_literal(now)).otherwise(F.col("ts")).alias("ts"),
+    )
 
 
 def merge_device_meta(state: DataFrame, delta: DataFrame) -> DataFrame:

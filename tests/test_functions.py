@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from pixelhour.functions import guards, packing, scalars, units
+from pixelhour.functions import guards, packing, scalars, sql, units
 
 
 def column(spark, values, type_, expression):
@@ -115,3 +115,27 @@ def test_scalars(spark):
     assert first(scalars.series_is_offline(F.expr("array(cast(null as double))")))[0] is False
     assert first(scalars.series_is_offline(F.expr("cast(null as array<double>)")))[0] is None
     assert first(scalars.iso_text(F.expr("timestamp_ntz'2017-01-02 03:04:05.999'")))[0] == "2017-01-02T03:04:05Z"
+
+
+def test_sql_functions_agree_with_the_expressions(spark):
+    sql.register(spark)
+    texts = ["1", "1.5d", "inf", "nan", "1e999", "x", "on", "2017-01-13T05:56:35Z", "1998-19-250T04:35:59Z", None]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    s = F.col("s")
+    assert df.select(
+        F.expr("is_float(s)"), F.expr("is_numeric(s)"), F.expr("is_timestamp(s)"), F.expr("is_boolean(s)")
+    ).collect() == df.select(
+        guards.is_float(s), guards.is_numeric(s), guards.is_timestamp(s), guards.is_boolean(s)).collect()
+    names = spark.createDataFrame([(u, float(v)) for u in units.UNITS for v in (-1, 0, 5, 2**31, float("nan"))], "u string, v double")
+    u, v = F.col("u"), F.col("v")
+    left = names.select(
+        F.expr("convert_cpm_to_usvh(v, u)"), F.expr("get_ui_display_category(u)"), F.expr("is_accepted_unit(u)"),
+        F.expr("is_value_in_range_for_unit(v, u)"), F.expr("get_ui_display_unit_parts(u)"), F.expr("is_nan(v)"))
+    right = names.select(units.to_usvh(v, u), units.category_of(u), units.is_map_unit(u), units.in_range(v, u),
+                         units.parts_of(u), guards.is_nan(v))
+    assert [str(r[:]) for r in left.collect()] == [str(r[:]) for r in right.collect()]
+    row = spark.sql("""select scalar_max(null, 2.0D), scalar_min_int(3, 4), scalar_max_ts(null, timestamp_ntz'2020-01-01 00:00:00'),
+        array_reverse(array(1D, null)), is_array_offline(array(null, null, 1D)), calc_dist_pythag(0D, 0D, 3D, 4D),
+        calc_combined_mean(2D, 5D, 1, 2), xyt_convert_t_to_isostring(474068), xyt_convert_ism_to_m(null)""").first()
+    assert (row[0], row[1], str(row[2]), row[3], row[4], row[5], row[6], row[7], row[8]) == (
+        2.0, 3, "2020-01-01 00:00:00", [None, 1.0], True, 5.0, 4.0, "2024-01-30T20:00:00Z", None)

@@ -11,7 +11,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelhour.functions import guards, packing, scalars, units
+from pixelhour.functions import guards, packing, scalars, sql, units
 from pixelhour.operators import (
     bins, device_details, device_stats, documents, readings, shaping, snapping,
 )
@@ -201,6 +201,32 @@ def decode_xyt(spark, folder):
     )
 
 
+def sql_functions(spark, folder):
+    """The same decoding as :func:`decode_xyt`, written in SQL with the registered functions."""
+    sql.register(prepare(spark))
+    accepted(spark, folder).select("xyt").distinct().createOrReplaceTempView("keys_in_use")
+    return spark.sql("""
+        SELECT xyt, xyt_decode_x(xyt) AS x, xyt_decode_y(xyt) AS y, xyt_decode_m(xyt) AS m, xyt_decode_t(xyt) AS t,
+          xyt_clear_xy(xyt) AS no_xy, xyt_clear_xym(xyt) AS no_xym, xyt_clear_t(xyt) AS no_t,
+          xyt_update_encode_xy(xyt, xyt_decode_y(xyt), xyt_decode_x(xyt)) AS swapped,
+          xyt_update_encode_t(xyt, xyt_decode_t(xyt) + 1) AS next_hour, xyt_update_convert_thh_to_tdd(xyt) AS day_key,
+          round(epsg3857_px_to_lon_z13(xyt_decode_x(xyt)), 6) AS lon, round(epsg3857_py_to_lat_z13(xyt_decode_y(xyt)), 6) AS lat,
+          xyt_convert_t_to_isostring(xyt_decode_t(xyt)) AS hour_text,
+          round(calc_dist_pythag(xyt_decode_x(xyt), xyt_decode_y(xyt), 0, 0), 4) AS distance,
+          concat_ws('_', xyt_decode_x(xyt), xyt_decode_y(xyt), 'any') AS place
+        FROM keys_in_use""")
+
+
+def sql_rekey(spark, folder):
+    """The same keys as :func:`rekey_xyt`, written in SQL with the registered functions."""
+    sql.register(prepare(spark))
+    readings.annotate(raw(spark, folder), NOW).createOrReplaceTempView("annotated")
+    return spark.sql("""
+        SELECT id, lon_to_epsg3857_px_z13(lon) AS x, lat_to_epsg3857_py_z13(lat) AS y, xyt_convert_ism_to_m(motion) AS m,
+          xyt_convert_ts_to_t(event_time) AS t, xyt_convert_lat_lon_ism_ts_to_xyt(lat, lon, motion, event_time) AS xyt
+        FROM annotated WHERE place_ok""")
+
+
 def unit_conversion(spark, folder):
     return accepted(spark, folder).select(
         "original_id", "unit", F.round(units.to_usvh(F.col("value"), F.col("unit")), 6).alias("converted")
@@ -527,6 +553,7 @@ def _daily_dataset(spark, folder) -> str:
     path = work_dir(prepare(spark), "daily")
     spread = F.date_sub(F.col("ts").cast("date"), (F.col("device") % 60).cast("int"))
     rows = typed_documents(spark, folder).select("id", "device", "env_temp", spread.alias("index_date"))
+    rows = rows.hint("rebalance", "index_date")
     writers.write_daily_documents(rows, path, 0)
     return path
 
@@ -612,6 +639,7 @@ QUERIES = {
     "payload_unpivot": payload_unpivot, "typecheck_counts": typecheck_counts,
     "reject_breakdown": reject_breakdown, "motion_flag_counts": motion_flag_counts,
     "explode_readings": explode_readings, "rekey_xyt": rekey_xyt, "decode_xyt": decode_xyt,
+    "sql_functions": sql_functions, "sql_rekey": sql_rekey,
     "unit_conversion": unit_conversion, "units_dim": units_dim, "bad_date_cleanup": bad_date_cleanup,
     "hourly_bins": hourly_bins, "daily_rollup": daily_rollup,
     "window_24h": window_24h, "window_30d": window_30d, "window_day": window_day,
