@@ -125,15 +125,29 @@ def report_inputs(readings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     return hourly, bins.daily_rollup(hourly), kept.select("xyt", "device_id")
 
 
+# Readings are accepted up to 48 hours ahead and hours are rounded, so no bin lies further ahead than this.
+DAYS_AHEAD = 3
+
+
 def map_24h_from_state(spark: SparkSession, root: str, now: datetime, test_filter: bool = True) -> DataFrame:
     """The standard report over streamed state, reading only the partitions of its windows."""
     hour = reference_hour(now)
     day = hour // 24
+    hour_days = range((hour - 23) // 24, day + DAYS_AHEAD + 1)
+    day_days = range(day - 29, day + DAYS_AHEAD + 1)
     return map_24h(
-        bin_log.read(spark, root, bin_log.HOUR, first_day=(hour - 23) // 24),
-        bin_log.read(spark, root, bin_log.DAY, first_day=day - 29),
-        bin_log.read_pairs(spark, root, first_day=(hour - 23) // 24),
-        now, True, test_filter,
+        bin_log.read(spark, root, bin_log.HOUR, hour_days), bin_log.read(spark, root, bin_log.DAY, day_days),
+        bin_log.read_pairs(spark, root, hour_days), now, True, test_filter,
+    )
+
+
+def map_daily_from_state(spark: SparkSession, root: str, moment: datetime, test_filter: bool = True,
+                         anchor: str = "reference") -> DataFrame:
+    """The report of one calendar day over streamed state, reading that day's partition."""
+    day = reference_hour(moment) // 24
+    days = range(day, day + 1)
+    return map_daily(
+        bin_log.read(spark, root, bin_log.HOUR, days), bin_log.read_pairs(spark, root, days), moment, test_filter, anchor
     )
 
 

@@ -13,9 +13,6 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # The JVM does not compile larger methods; above this Spark generates code
-    # per operator, in pieces the JVM does compile.
-    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

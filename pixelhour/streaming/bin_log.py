@@ -1,15 +1,16 @@
-"""Bin state as plain Parquet: one partition of additions per micro-batch, folded per day.
+"""Bin state as plain Parquet: one partition of additions per day and micro-batch, folded per day.
 
 Layout under the root, for ``hour`` and ``day`` bins alike::
 
-    <level>/delta/batch_id=N/epoch_day=D/   additions of micro-batch N
+    <level>/delta/epoch_day=D/batch_id=N/   additions of micro-batch N to day D
     <level>/folded/epoch_day=D/upto=N/      everything of day D up to micro-batch N
-    pairs/batch_id=N/epoch_day=D/           key/device pairs seen by micro-batch N
+    pairs/epoch_day=D/batch_id=N/           key/device pairs seen by micro-batch N
 
 Additions are sums and counts, so reading is adding up. A replayed micro-batch
-overwrites its own partition and changes nothing; late events of any age land
+overwrites its own partitions and changes nothing; late events of any age land
 as a small addition to their day. Folding rewrites only the days that received
-additions, never the history.
+additions, never the history. The day comes first in every path, so a report
+over a window of days neither lists nor opens anything outside it.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ _XYT = T.StructField("xyt", T.LongType())
 _VALUES = [_XYT, T.StructField("u", T.StringType()), T.StructField("sum_v", T.DoubleType()), T.StructField("n", T.LongType())]
 _BATCH = T.StructField("batch_id", T.LongType())
 _DAY = T.StructField("epoch_day", T.IntegerType())
-_DELTA = T.StructType([*_VALUES, _BATCH, _DAY])
+_DELTA = T.StructType([*_VALUES, _DAY, _BATCH])
 _FOLDED = T.StructType([*_VALUES, _DAY, T.StructField("upto", T.LongType())])
-_PAIRS = T.StructType([_XYT, T.StructField("device_id", T.LongType()), _BATCH, _DAY])
+_PAIRS = T.StructType([_XYT, T.StructField("device_id", T.LongType()), _DAY, _BATCH])
 _COLUMNS = [f.name for f in _VALUES]
 
 
@@ -39,41 +40,41 @@ def _epoch_day(level: str) -> Column:
     return bins.epoch_day(xyt) if level == HOUR else packing.decode_t(xyt).cast("int")
 
 
-def _write_batch(rows: DataFrame, level: str, path: str) -> None:
-    """Rebalancing by day keeps the file count near the day count; a heavy day is split by size."""
+def _write_batch(rows: DataFrame, level: str, path: str, batch_id: int) -> None:
+    """Replace this micro-batch's partitions.
+
+    Rebalancing by day keeps the file count near the day count; a heavy day is
+    split by size.
+    """
     (
-        rows.withColumn("epoch_day", _epoch_day(level)).hint("rebalance", "epoch_day")
-        .write.mode("overwrite").partitionBy("epoch_day").parquet(path)
+        rows.withColumn("epoch_day", _epoch_day(level)).withColumn("batch_id", F.lit(batch_id).cast("long"))
+        .hint("rebalance", "epoch_day")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("epoch_day", "batch_id").parquet(path)
     )
 
 
 def append(delta: DataFrame, root: str, batch_id: int, level: str = HOUR) -> None:
     """Write one micro-batch's bins; writing it again replaces it."""
-    _write_batch(delta.select(*_COLUMNS), level, f"{root}/{level}/delta/batch_id={batch_id}")
+    _write_batch(delta.select(*_COLUMNS), level, f"{root}/{level}/delta", batch_id)
 
 
 def append_pairs(pairs: DataFrame, root: str, batch_id: int) -> None:
     """Write one micro-batch's distinct key/device pairs."""
-    _write_batch(pairs.select("xyt", "device_id").distinct(), HOUR, f"{root}/pairs/batch_id={batch_id}")
+    _write_batch(pairs.select("xyt", "device_id").distinct(), HOUR, f"{root}/pairs", batch_id)
 
 
-def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def _read(spark: SparkSession, path: str, schema: T.StructType, days: range | None = None) -> DataFrame:
+    """The rows of a folder, or of its partitions for the given days; empty if there are none yet."""
+    chosen = path if days is None else f"{path}/epoch_day={{{','.join(map(str, days))}}}"
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(schema).option("basePath", path).parquet(chosen)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
 
 
-def _from_day(rows: DataFrame, first_day: int | None, last_day: int | None) -> DataFrame:
-    if first_day is not None:
-        rows = rows.filter(F.col("epoch_day") >= first_day)
-    if last_day is not None:
-        rows = rows.filter(F.col("epoch_day") <= last_day)
-    return rows
-
-
 def _newest_fold(folded: DataFrame) -> DataFrame:
     """epoch_day, newest. Days lie between 2011 and the day after tomorrow, so
     this is a few thousand rows whatever the data size, and safe to broadcast."""
@@ -88,18 +89,16 @@ def _current(folded: DataFrame, delta: DataFrame) -> tuple[DataFrame, DataFrame]
     return base.select(*_COLUMNS, "epoch_day"), fresh.select(*_COLUMNS, "epoch_day")
 
 
-def read(spark: SparkSession, root: str, level: str = HOUR, first_day: int | None = None,
-         last_day: int | None = None) -> DataFrame:
-    """Current bins: xyt, u, sum_v, n, v. Day limits prune partitions of both layouts."""
-    folded = _from_day(_read(spark, f"{root}/{level}/folded", _FOLDED), first_day, last_day)
-    delta = _from_day(_read(spark, f"{root}/{level}/delta", _DELTA), first_day, last_day)
+def read(spark: SparkSession, root: str, level: str = HOUR, days: range | None = None) -> DataFrame:
+    """Current bins of the given days, or of all: xyt, u, sum_v, n, v."""
+    folded = _read(spark, f"{root}/{level}/folded", _FOLDED, days)
+    delta = _read(spark, f"{root}/{level}/delta", _DELTA, days)
     base, fresh = _current(folded, delta)
     return bins.merge(base, fresh)
 
 
-def read_pairs(spark: SparkSession, root: str, first_day: int | None = None, last_day: int | None = None) -> DataFrame:
-    pairs = _from_day(_read(spark, f"{root}/pairs", _PAIRS), first_day, last_day)
-    return pairs.select("xyt", "device_id").distinct()
+def read_pairs(spark: SparkSession, root: str, days: range | None = None) -> DataFrame:
+    return _read(spark, f"{root}/pairs", _PAIRS, days).select("xyt", "device_id").distinct()
 
 
 def fold(spark: SparkSession, root: str, upto: int, level: str = HOUR) -> None:

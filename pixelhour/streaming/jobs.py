@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pixelhour.operators import bins, documents, readings
+from pixelhour.session import spread
 from pixelhour.sinks import writers
 from pixelhour.streaming import bin_log
 
@@ -40,7 +41,7 @@ def keep_hourly_state(measurements: DataFrame, root: str, checkpoint: str, clock
     whole and counted once.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        kept = bins.device_bins(readings.explode_readings(batch, clock())).persist()
+        kept = bins.device_bins(readings.explode_readings(spread(batch), clock())).persist()
         try:
             hourly = bins.regroup(kept)
             bin_log.append(hourly, root, batch_id, bin_log.HOUR)
@@ -87,7 +88,7 @@ def enrich_messages(messages: DataFrame, root: str, checkpoint: str, clock: Cloc
     """Unwrap, enrich and type messages into the daily document dataset."""
     def handle(batch: DataFrame, batch_id: int) -> None:
         now = clock()
-        enriched = documents.enrich(documents.unwrap(batch), now)
+        enriched = documents.enrich(documents.unwrap(spread(batch)), now)
         typed = documents.typed_projection(enriched, ["index_date", "payload"])
         writers.write_daily_documents(typed, root, batch_id)
 

@@ -39,7 +39,8 @@ def test_state_equals_batch_over_many_micro_batches(spark, tmp_path):
     jobs.keep_hourly_state(stream, root, check, clock, None).awaitTermination()
     accepted = readings.explode_readings(rows, NOW)
     hourly = bins.hourly_bins(accepted)
-    assert len(list((tmp_path / "state" / "hour" / "delta").glob("batch_id=*"))) == 4
+    assert {p.name for p in (tmp_path / "state" / "hour" / "delta").glob("epoch_day=*/batch_id=*")} == {
+        f"batch_id={i}" for i in range(4)}
     assert rounded(bin_log.read(spark, root)) == rounded(hourly)
     assert rounded(bin_log.read(spark, root, bin_log.DAY)) == rounded(bins.daily_rollup(hourly))
     pairs = lambda df: {tuple(r) for r in df.collect()}
@@ -57,11 +58,14 @@ def test_state_equals_batch_over_many_micro_batches(spark, tmp_path):
     assert rounded(bin_log.read(spark, root)) == before
 
     day = map_reports.reference_hour(NOW) // 24
-    part = bin_log.read(spark, root, first_day=day - 1, last_day=day)
+    part = bin_log.read(spark, root, days=range(day - 1, day + 1))
     assert rounded(part) == rounded(hourly.filter(bins.epoch_day(F.col("xyt")).between(day - 1, day)))
     shown = lambda df: sorted(map(str, map_reports.flat(df).collect()))
     assert shown(map_reports.map_24h_from_state(spark, root, NOW)) == shown(
         map_reports.map_24h(hourly, bins.daily_rollup(hourly), accepted.select("xyt", "device_id"), NOW))
+    moment = registry.DAY_MOMENT
+    assert shown(map_reports.map_daily_from_state(spark, root, moment)) == shown(
+        map_reports.map_daily(hourly, accepted.select("xyt", "device_id"), moment))
 
 
 def test_replayed_batch_counts_once(spark, tmp_path):
@@ -78,6 +82,7 @@ def test_replayed_batch_counts_once(spark, tmp_path):
 def test_empty_state(spark, tmp_path):
     assert bin_log.read(spark, str(tmp_path / "none")).count() == 0
     assert bin_log.read_pairs(spark, str(tmp_path / "none")).count() == 0
+    assert bin_log.read(spark, str(tmp_path / "none"), days=range(5)).count() == 0
 
 
 def test_windowed_variant_closes_hours(spark, tmp_path):

@@ -444,6 +444,7 @@ BODIES = {
       count(CASE WHEN try_cast(lon AS DOUBLE) IS NOT NULL THEN lat END) AS n_placed FROM svc GROUP BY device""",
 }
 
+BODIES["stream_map_daily"] = BODIES["map_daily"]
 BODIES["sql_functions"] = BODIES["decode_xyt"]
 BODIES["sql_rekey"] = BODIES["rekey_xyt"]
 

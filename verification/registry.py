@@ -618,6 +618,11 @@ def stream_map_24h(spark, folder):
     return map_reports.flat(map_reports.map_24h_from_state(spark, root, NOW))
 
 
+def stream_map_daily(spark, folder):
+    root = _run(jobs.keep_hourly_state, spark, event_feed.measurements(event_stream(spark, folder)), "state")
+    return map_reports.flat(map_reports.map_daily_from_state(spark, root, DAY_MOMENT))
+
+
 def stream_archive(spark, folder):
     messages = event_feed.queue_messages(event_feed.service_payloads(event_stream(spark, folder)))
     return _archive_index(spark, _run(jobs.archive_messages, spark, messages, "archive"))
@@ -664,5 +669,6 @@ QUERIES = {
     "yearly_compaction_counts": yearly_compaction_counts, "retention_remaining": retention_remaining,
     "raw_archive_index": raw_archive_index,
     "stream_hourly_state": stream_hourly_state, "stream_daily_state": stream_daily_state,
-    "stream_map_24h": stream_map_24h, "stream_archive": stream_archive, "stream_documents": stream_documents,
+    "stream_map_24h": stream_map_24h,
+    "stream_map_daily": stream_map_daily, "stream_archive": stream_archive, "stream_documents": stream_documents,
 }
