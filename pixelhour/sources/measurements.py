@@ -82,10 +82,10 @@ def mark_as_test(lines: DataFrame, text: str = "value") -> DataFrame:
     The field is appended to the payload text, so all other values keep their
     spelling; a ``dev_test`` given earlier loses because the last equal key wins.
     """
-    line = F.rtrim(F.trim(F.col(text)))
+    line = F.col(text)
     fields = payloads.parse_fields(line)
     checked = F.when(fields.isNull(), F.raise_error(F.concat(F.lit("not a JSON object: "), line)).cast("string"))
-    body = F.expr(f"substring(trim(`{text}`), 1, length(trim(`{text}`)) - 1)")
+    body = F.regexp_replace(line, r"\}\s*$", "")
     empty = F.size(F.map_keys(fields)) == 0
     marked = F.concat(body, F.when(empty, "").otherwise(","), F.lit('"dev_test":true}'))
     return lines.select(checked.otherwise(marked).alias("payload"))

@@ -1,5 +1,5 @@
 import random
-from collections import Counter, defaultdict
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -148,6 +148,20 @@ def test_map_report_document(spark):
     assert everything.count() == 2
 
 
+def test_map_report_with_snapping(spark):
+    now = datetime(2024, 1, 30, 20)
+    hour = map_reports.reference_hour(now)
+    rows = spark.createDataFrame(
+        [(1000, 1000, 0, hour, "env_temp", 1, 10.0)] * 3 + [(1010, 1000, 0, hour, "env_temp", 2, 50.0), (5000, 5, 0, hour, "env_temp", 3, 7.0)],
+        "x long, y long, m long, t long, unit string, device_id long, value double",
+    ).select("unit", "device_id", "value", packing.pack(*[F.col(c) for c in "xymt"]).alias("xyt"))
+    inputs = map_reports.report_inputs(rows)
+    docs = map_reports.map_24h(*inputs, now, radius=26).collect()
+    got = {tuple(d["device_ids"]): [ts["values"][-1] for ts in d["data"][0]["time_series"]] for d in docs}
+    assert got == {(1, 2): [20.0, 20.0], (3,): [7.0, 7.0]}
+    assert map_reports.map_24h(*inputs, now).count() == 3
+
+
 def test_daily_report_anchor_and_end(spark):
     moment = datetime(2024, 1, 15, 13)
     hour = map_reports.reference_hour(moment)

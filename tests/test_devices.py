@@ -1,11 +1,8 @@
 from datetime import datetime
 
-import pytest
-from pyspark.sql import functions as F
-
 from pixelhour.operators import device_details, device_stats
 from pixelhour.plans import device_report
-from pixelhour.sources import devices, event_feed
+from pixelhour.sources import devices
 
 NOW = datetime(2024, 1, 30, 20)
 

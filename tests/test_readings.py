@@ -113,7 +113,7 @@ def test_envelope_keeps_the_payload(spark):
 
 def test_json_lines_source(spark, tmp_path):
     path = tmp_path / "lines.jsonl"
-    path.write_text('{"device":1,"dev_test":false}\n{}\n {"device":2} \n')
+    path.write_text('{"device":1,"dev_test":false}\n{}\n {"device":2} \t\n')
     loaded = payloads.with_fields(measurements.read_json_lines(spark, str(path)))
     assert [(r["fields"].get("device"), r["fields"]["dev_test"]) for r in loaded.collect()] == [
         ("1", "true"), (None, "true"), ("2", "true")]
