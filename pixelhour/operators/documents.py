@@ -31,7 +31,6 @@ pms2_model pms_model service_handler service_md5 service_transport
 """.split()
 DATE_FIELDS = ["service_uploaded", "when_captured"]
 KEYWORD_LIMIT = 1024
-INDEX_PREFIX = "ingest-measurements"
 
 
 def _keyword(text: Column) -> Column:
