@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pixelhour.llm import byte_bpe, exact_dedup, mixing, sharding
+from pixelhour.llm import byte_bpe, exact_dedup, mixing, near_dedup, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_mixing": mixing.op2_mixing,
+    "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
 }
 
 SQL = {
+    "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
 }

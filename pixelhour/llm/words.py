@@ -15,6 +15,8 @@ import pyarrow as pa
 
 #: Documents are worked on in slices of about so many bytes (one document at least), which bounds memory.
 SLICE_BYTES = 1 << 20
+#: A slice has at most so many documents, whose numbers take as many high bits of a 64-bit key.
+SLICE_BITS = 10
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -103,7 +105,7 @@ def slices(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, int, Wor
     row, rows = 0, len(at) - 1
     while row < rows:
         stop = int(np.searchsorted(at, at[row] + SLICE_BYTES, "right")) - 1
-        stop = min(max(stop, row + 1), rows)
+        stop = min(max(stop, row + 1), row + (1 << SLICE_BITS), rows)
         yield row, stop, split(data, at[row: stop + 1], lower)
         row = stop
 
@@ -128,11 +130,11 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return document, out
 
 
-def distinct(document: np.ndarray, hashes: np.ndarray, documents: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (document, hash) pairs, sorted; the hash gives up as many high bits as the document number needs."""
-    bits = np.uint64(max(1, int(documents - 1).bit_length()))
-    keys = (document.astype(np.uint64) << (np.uint64(64) - bits)) | (hashes >> bits)
+def distinct(document: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (document, hash) pairs of a slice, sorted; hashes keep their upper 54 bits."""
+    low = np.uint64(64 - SLICE_BITS)
+    keys = (document.astype(np.uint64) << low) | (hashes >> np.uint64(SLICE_BITS))
     keys.sort()
     if len(keys):
         keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
-    return (keys >> (np.uint64(64) - bits)).astype(np.int64), keys & ((np.uint64(1) << (np.uint64(64) - bits)) - np.uint64(1))
+    return (keys >> low).astype(np.int64), keys & ((np.uint64(1) << low) - np.uint64(1))
