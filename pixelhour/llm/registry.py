@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pixelhour.llm import byte_bpe, exact_dedup, mixing, near_dedup, quality, sharding
+from pixelhour.llm import byte_bpe, exact_dedup, language_id, mixing, near_dedup, quality, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op7_quality": quality.op7_quality,
+    "op8_language_id": language_id.op8_language_id,
 }
 
 SQL = {
