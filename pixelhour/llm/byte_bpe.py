@@ -28,7 +28,7 @@ from pixelhour.llm.common import documents
 _SPACE = r"\p{White_Space}"
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: A document batch is worked on in slices of about so many characters.
-SLICE_CHARS = 24 << 20
+SLICE_CHARS = 12 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
