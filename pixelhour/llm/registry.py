@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pixelhour.llm import byte_bpe, exact_dedup, language_id, mixing, near_dedup, quality, sharding
+from pixelhour.llm import byte_bpe, exact_dedup, hmm, language_id, mixing, near_dedup, quality, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
+    "op6_hmm": hmm.op6_hmm,
     "op7_quality": quality.op7_quality,
     "op8_language_id": language_id.op8_language_id,
 }
