@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelhour.llm.common import documents, remainder, saved
-from pixelhour.llm.words import Words, mix, slices
+from pixelhour.llm.words import Words, mix, shapes, slices
 
 BUCKETS = 1 << 18
 PER_CLASS = 3000
@@ -32,23 +32,6 @@ ROUNDS = 30
 SEED = 20240131
 KEEP = 0.3
 
-_SHAPE = np.arange(256, dtype=np.uint8)
-_SHAPE[0x61:0x7B] = ord("a")
-_SHAPE[0x80:] = ord("a")
-_SHAPE[0x41:0x5B] = ord("A")
-_SHAPE[0x30:0x3A] = ord("0")
-
-
-def shapes(words: Words) -> Words:
-    """The shape of each word (of texts that were not lower-cased)."""
-    kind = _SHAPE[words.data]
-    keep = np.ones(len(kind), bool)
-    keep[1:] = kind[1:] != kind[:-1]
-    keep[words.start] = True
-    place = np.cumsum(keep)
-    start = place[words.start] - 1
-    return Words(kind[keep], start, place[words.start + words.length - 1] - start, words.first)
-
 
 def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (document, bucket) pairs, by document."""
