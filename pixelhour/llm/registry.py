@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pixelhour.llm import byte_bpe, exact_dedup, hmm, language_id, mixing, near_dedup, personal_data, quality, sharding
+from pixelhour.llm import byte_bpe, exact_dedup, fingerprints, hmm, language_id, mixing, near_dedup, personal_data, quality, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_quality": quality.op7_quality,
     "op8_language_id": language_id.op8_language_id,
     "op9_personal_data": personal_data.op9_personal_data,
+    "op10_fingerprints": fingerprints.op10_fingerprints,
 }
 
 SQL = {
