@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,19 +14,28 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """The rows as a checkpoint in the session's shared folder: computed once, whoever reads them and how often.
-
-    The folder is ``spark.checkpoint.dir``; only where that is unset, as in
-    tests, a temporary one is set.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only where that is unset, as in tests, a temporary folder is set."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        given = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(given or os.path.join(tempfile.gettempdir(), "llm-checkpoints"))
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The rows as a checkpoint in the shared folder: computed once, whoever reads them and how often."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows written as Parquet to a new place in the shared folder, and read again."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_or_joined(df: DataFrame, most_rows: int) -> DataFrame:
     """A saved side of a join, broadcast if it has at most ``most_rows`` rows, else left to a shuffled join."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

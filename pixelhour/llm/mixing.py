@@ -198,9 +198,9 @@ def mixed_texts(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     made = mix_sources(docs, text, **options)
     runs = made.pieces.groupBy("doc_id", "text_hash", "source_no", "at", "pass_no").agg(
         F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("_pieces"),
-    )
-    texts = docs.withColumn("_hash", F.xxhash64(text_or_empty(text))).withColumnRenamed("doc_id", "_id").dropDuplicates(["_id", "_hash"])
-    joined = runs.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+    ).select(F.col("doc_id").alias("_taken_id"), F.col("text_hash").alias("_taken_hash"), "_pieces")
+    texts = docs.withColumn("_hash", F.xxhash64(text_or_empty(text))).dropDuplicates(["doc_id", "_hash"])
+    joined = texts.join(runs, texts["doc_id"].eqNullSafe(runs["_taken_id"]) & (texts["_hash"] == runs["_taken_hash"]))
     columns = docs.columns
     where = columns.index(text)
 

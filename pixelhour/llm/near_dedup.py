@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelhour.llm.common import documents, saved, text_or_empty
+from pixelhour.llm.common import documents, saved, small_or_joined, text_or_empty
 from pixelhour.llm.graph import components
 from pixelhour.llm.words import distinct, mix, shingles, slices, split, text_buffers
 
@@ -37,6 +37,8 @@ MOST_DIFFERENT = 46
 FEW = 32
 #: A tile has about so many classes, and about so many shingles.
 TILE, TILE_SHINGLES = 1000, 2_000_000
+#: Ids to drop are broadcast up to this number (8 bytes each).
+BROADCAST_IDS = 500_000
 #: Stand-ins for missing ids start here, above all ids.
 NO_ID = 1 << 62
 
@@ -251,6 +253,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     return with_words.unionByName(without)
 
 
+def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` whose document is the smallest of its component; rows without an id stay."""
+    found = near_duplicates(docs, size, percent)
+    gone = saved(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct())
+    side = small_or_joined(gone, BROADCAST_IDS)
+    return docs.join(side, docs["doc_id"] == side["_gone"], "left_anti")
+
+
 def op3_near_dedup(spark, folder: str) -> DataFrame:
     found = near_duplicates(documents(spark, folder), size=4)
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "n_links")
