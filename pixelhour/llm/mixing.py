@@ -35,8 +35,8 @@ PIECES = 512
 
 
 def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray, rounds: int = 4) -> np.ndarray:
-    """``index`` under a pseudorandom permutation of 0 … n-1 for each ``key``: a Feistel network on the
-    next even number of bits, walked until it lands below ``n``."""
+    """``index`` (below ``n``) under a pseudorandom permutation of 0 … n-1 for each ``key``: a Feistel network
+    on the next even number of bits, walked until it lands below ``n``."""
     index, n, key = (np.broadcast_to(np.asarray(x, np.uint64), np.shape(index)) for x in (index, n, key))
     bits = np.frexp(np.maximum(n, 2).astype(np.float64) - 1)[1]
     half = ((bits + 1) // 2).astype(np.uint64)
@@ -119,13 +119,13 @@ def slots(spark, plan: Recipe) -> DataFrame:
             turn, i = j // blocks, j % blocks
             key = mix(np.uint64(plan.seed) + (source.astype(np.uint64) << np.uint64(32)) + turn.astype(np.uint64))
             tail = i == blocks - 1  # the short block ends its pass
-            number = np.where(tail, i, permuted(i, np.maximum(blocks - 1, 1), key) if len(i) else i)
+            number = np.where(tail, i, permuted(np.minimum(i, np.maximum(blocks - 2, 0)), np.maximum(blocks - 1, 1), key))
             words = np.minimum(plan.block, plan.size[source] - number * plan.block)
             done = turn * plan.size[source] + i * plan.block
             words = np.minimum(words, plan.words[source] - done)
             slot = in_shard[source, shard] + j - by_shard[source, shard]
             room = plan.counts.sum(axis=0)[shard]
-            slot = permuted(slot, np.maximum(room, 1), mix(np.uint64(plan.seed + 1) + shard.astype(np.uint64))) if len(g) else slot
+            slot = permuted(slot, room, mix(np.uint64(plan.seed + 1) + shard.astype(np.uint64)))
             yield pa.record_batch(
                 [pa.array(x) for x in (source.astype(np.int32), number, words, turn, shard.astype(np.int32), slot)],
                 ["source_no", "block", "use_words", "pass_no", "shard", "slot"],
