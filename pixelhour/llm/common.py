@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +42,11 @@ def small_or_joined(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+def fetched(df: DataFrame) -> dict[str, np.ndarray]:
+    """The columns of a table of bounded size as arrays on the driver, without a row object each."""
+    return {name: column.to_numpy() for name, column in zip(df.columns, df.toArrow().columns, strict=True)}
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

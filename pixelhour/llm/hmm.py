@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelhour.llm.common import documents, remainder, saved
+from pixelhour.llm.common import documents, fetched, remainder, saved
 from pixelhour.llm.words import Words, mix, slices
 
 CORE = 1 << 15
@@ -87,18 +87,18 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
     """``counts``: word, class, n of every word."""
-    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN).toPandas()
-    kinds = counts.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).toPandas()
-    number = top["n"].to_numpy(dtype=np.int64)
-    symbol = np.where(np.arange(len(top)) < CORE, np.arange(len(top)), -1)
+    top = fetched(counts.orderBy(F.desc("n"), "word").limit(KNOWN))
+    kinds = fetched(counts.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")))
+    number = top["n"].astype(np.int64)
+    symbol = np.where(np.arange(len(number)) < CORE, np.arange(len(number)), -1)
     tokens, words = np.zeros(CLASSES), np.zeros(CLASSES)
-    where = kinds["class"].to_numpy(dtype=np.int64)
-    tokens[where], words[where] = kinds["n"].to_numpy(dtype=np.float64), kinds["words"].to_numpy(dtype=np.float64)
-    core = top["class"].to_numpy(dtype=np.int64)[:CORE]
+    where = kinds["class"].astype(np.int64)
+    tokens[where], words[where] = kinds["n"], kinds["words"]
+    core = top["class"].astype(np.int64)[:CORE]
     total, distinct = int(tokens.sum()), int(words.sum())
     tokens -= np.bincount(core, number[:CORE], CLASSES)
     words -= np.bincount(core, minlength=CLASSES)
-    hashes = top["word"].to_numpy(dtype=np.int64).view(np.uint64)
+    hashes = top["word"].astype(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     return Vocabulary(total + ends, distinct + (ends > 0), ends, hashes[order], number[order], symbol[order], tokens, words)
 
@@ -208,10 +208,15 @@ def segments(texts: list[np.ndarray], most: int = 1024):
         yield symbols, mask, np.array([o for _, o in part])
 
 
+def _weight(emissions: np.ndarray) -> np.ndarray:
+    """What the overall shares count for in each state: as much as the different symbols it emits."""
+    return (emissions > 0.5).sum(axis=0) + 100 * ADD
+
+
 def estimated(starts, moves, emissions, shares: np.ndarray) -> Hmm:
     """The model of expected counts, smoothed towards even states and the symbols' overall shares."""
     move = moves + ADD
-    emit = emissions + 100 * ADD * shares[:, None]
+    emit = emissions + _weight(emissions) * shares[:, None]
     return Hmm((starts + ADD) / (starts + ADD).sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
@@ -221,15 +226,17 @@ def _started(texts: list[np.ndarray], shares: np.ndarray) -> Hmm:
     owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     flat = np.concatenate(texts) if texts else np.zeros(0, np.int64)
     weight = draw.dirichlet(np.full(STATES, 0.3), len(texts))
-    for _ in range(START_ROUNDS):
-        emit = np.stack([np.bincount(flat, weight[owner, s], SYMBOLS) for s in range(STATES)], 1) + 100 * ADD * shares[:, None]
-        log = np.log(emit / emit.sum(axis=0))
-        score = np.stack([np.bincount(owner, log[flat, s], len(texts)) for s in range(STATES)], 1) + np.log(weight.mean(axis=0) + 1e-6)
+    for _ in range(START_ROUNDS + 1):
+        emit = np.stack([np.bincount(flat, weight[owner, s], SYMBOLS) for s in range(STATES)], 1)
+        emit = emit + _weight(emit) * shares[:, None]
+        emit /= emit.sum(axis=0)
+        log = np.log(emit)
+        score = np.stack([np.bincount(owner, log[flat, s], len(texts)) for s in range(STATES)], 1)
+        score += np.log(weight.mean(axis=0) + 1e-6) if len(texts) else 0
         weight = np.exp(score - score.max(axis=1, keepdims=True)) if len(texts) else weight
         weight /= weight.sum(axis=1, keepdims=True)
-    emit = np.stack([np.bincount(flat, weight[owner, s], SYMBOLS) for s in range(STATES)], 1) + 100 * ADD * shares[:, None]
     move = np.full((STATES, STATES), (1 - STICKY) / (STATES - 1)) + np.eye(STATES) * (STICKY - (1 - STICKY) / (STATES - 1))
-    return Hmm(np.full(STATES, 1 / STATES), move, emit / emit.sum(axis=0))
+    return Hmm(np.full(STATES, 1 / STATES), move, emit)
 
 
 def _symbols(value: bytes) -> np.ndarray:
@@ -256,9 +263,9 @@ def baum_welch(coded: DataFrame, known: Vocabulary, passes: int = PASSES) -> Hmm
             place = np.flatnonzero(whole)
             yield pa.record_batch([pa.array(place), pa.array(whole[place])], ["place", "n"])
 
-        found = coded.select("symbols").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+        found = fetched(coded.select("symbols").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")))
         sums = np.zeros(STATES + STATES * STATES + SYMBOLS * STATES)
-        sums[found["place"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.float64) / FIXED
+        sums[found["place"].astype(np.int64)] = found["n"] / FIXED
         model = estimated(
             sums[:STATES], sums[STATES: STATES + STATES * STATES].reshape(STATES, STATES),
             sums[STATES + STATES * STATES:].reshape(SYMBOLS, STATES), shares,

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelhour.llm.common import documents, remainder, saved
+from pixelhour.llm.common import documents, fetched, remainder, saved
 from pixelhour.llm.words import Words, mix, slices
 
 WORDS = 1 << 18
@@ -144,17 +144,18 @@ def train(docs: DataFrame, words: int = WORDS) -> Model:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     by_language = [F.coalesce(F.sum(F.when(F.col("lang") == name, F.col("n"))), F.lit(0)).alias(f"l{i}") for i, name in enumerate(languages)]
     table = counts.filter("kind = 0").groupBy("item").agg(F.sum("n").alias("n"), *by_language)
-    top = table.orderBy(F.desc("n"), "item").limit(words).toPandas()
+    top = fetched(table.orderBy(F.desc("n"), "item").limit(words))
     names = [f"l{i}" for i in range(len(languages))]
-    hashes = top["item"].to_numpy(dtype=np.int64).view(np.uint64)
+    hashes = top["item"].astype(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     gram_scores = np.full((LONGEST, GRAM_BUCKETS, len(languages)), np.nan, np.float32)
-    found = counts.filter("kind > 0").groupBy("kind", "item").agg(*by_language).toPandas()  # at most LONGEST * GRAM_BUCKETS rows
+    found = fetched(counts.filter("kind > 0").groupBy("kind", "item").agg(F.sum("n").alias("n"), *by_language))  # at most LONGEST * GRAM_BUCKETS rows
     for n in range(1, LONGEST + 1):
-        part = found[found["kind"] == n]
-        if len(part):
-            gram_scores[n - 1, part["item"].to_numpy()] = _log_shares(part[names].to_numpy(dtype=np.float64))
-    return Model(languages, hashes[order], _log_shares(top[names].to_numpy(dtype=np.float64))[order].astype(np.float32), gram_scores)
+        part = found["kind"] == n
+        if part.any():
+            gram_scores[n - 1, found["item"][part]] = _log_shares(np.stack([found[name][part] for name in names], 1).astype(np.float64))
+    word_scores = _log_shares(np.stack([top[name] for name in names], 1).astype(np.float64)) if names else np.zeros((0, 0))
+    return Model(languages, hashes[order], word_scores[order].astype(np.float32), gram_scores)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
