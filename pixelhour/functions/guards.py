@@ -25,11 +25,13 @@ FALSE_TEXT = ["f", "fa", "fal", "fals", "false", "n", "no", "of", "off", "0"]
 
 
 def to_float(text: Column) -> Column:
-    """Text to DOUBLE. Finite spellings too large for a double are refused."""
+    """Text to DOUBLE. Finite spellings too large or too small for a double are refused."""
     parsed = F.trim(text).try_cast("double")
     overflow = (F.abs(parsed) == float("inf")) & ~F.lower(text).contains("inf")
     # The cast knows every accepted spelling but a signed nan.
-    return F.when(text.rlike(FLOAT_PATTERN) & ~F.coalesce(overflow, F.lit(False)), F.coalesce(parsed, F.lit(float("nan"))))
+    underflow = (parsed == 0) & text.rlike(r"^[^eE]*[1-9]")
+    refused = F.coalesce(overflow | underflow, F.lit(False))
+    return F.when(text.rlike(FLOAT_PATTERN) & ~refused, F.coalesce(parsed, F.lit(float("nan"))))
 
 
 def is_float(text: Column) -> Column:
@@ -51,6 +53,13 @@ def to_wall_clock(text: Column) -> Column:
     return clock.try_cast("timestamp_ntz")
 
 
+def to_instant(text: Column) -> Column:
+    """ISO text or epoch milliseconds to TIMESTAMP_NTZ in UTC (the session's zone), honouring a zone if there is one."""
+    zoned = F.concat(F.regexp_extract(text, TIMESTAMP_PATTERN, 1), F.regexp_extract(text, TIMESTAMP_PATTERN, 5))
+    millis = F.timestamp_millis(F.when(text.rlike(r"^\s*-?\d{5,17}\s*$"), F.trim(text).try_cast("bigint")))
+    return F.coalesce(F.nullif(zoned, F.lit("")).try_cast("timestamp"), millis).cast("timestamp_ntz")
+
+
 def is_timestamp(text: Column) -> Column:
     return F.when(text.isNotNull(), to_wall_clock(text).isNotNull())
 

@@ -66,7 +66,7 @@ def day_of_hour(t: Column) -> Column:
 
 
 def motion_bit(flag: Column) -> Column:
-    return F.when(flag, 1).otherwise(0).cast("bigint")
+    return F.when(flag, 1).when(~flag, 0).cast("bigint")
 
 
 def encode_x(x: Column) -> Column:

@@ -43,13 +43,13 @@ FUNCTIONS = [
     ("is_numeric", "s STRING", "BOOLEAN", f"s RLIKE r'{guards.NUMERIC_PATTERN}'"),
     ("is_float", "s STRING", "BOOLEAN",
      f"s RLIKE r'{guards.FLOAT_PATTERN}' AND NOT (coalesce(abs(try_cast(trim(s) AS DOUBLE)) = DOUBLE('inf'), false) "
-     "AND NOT contains(lower(s), 'inf'))"),
+     "AND NOT contains(lower(s), 'inf')) AND NOT (coalesce(try_cast(trim(s) AS DOUBLE) = 0, false) AND s RLIKE '^[^eE]*[1-9]')"),
     ("is_timestamp", "s STRING", "BOOLEAN",
      f"CASE WHEN s IS NOT NULL THEN try_cast(nullif(regexp_extract(s, r'{guards.TIMESTAMP_PATTERN}', 1), '') AS TIMESTAMP_NTZ) "
      "IS NOT NULL END"),
     ("is_boolean", "s STRING", "BOOLEAN", f"lower(trim(s)) IN ({_words(guards.TRUE_TEXT + guards.FALSE_TEXT)})"),
     ("convert_cpm_to_usvh", "v DOUBLE, u STRING", "DOUBLE",
-     "v / " + _cases({u: units.cpm_divisor(u) for u in units.RADIATION}, "1.0D", lambda d: f"{d}D")),
+     "CASE WHEN u IS NOT NULL THEN v / " + _cases({u: units.cpm_divisor(u) for u in units.RADIATION}, "1.0D", lambda d: f"{d}D") + " END"),
     ("calc_combined_mean", "m1 DOUBLE, m2 DOUBLE, n1 BIGINT, n2 BIGINT", "DOUBLE", "(m1 * n1 + m2 * n2) / (n1 + n2)"),
     ("is_array_offline", "a ARRAY<DOUBLE>", "BOOLEAN",
      "CASE WHEN a IS NOT NULL THEN size(a) >= 2 AND try_element_at(a, 1) IS NULL AND try_element_at(a, 2) IS NULL END"),
@@ -85,13 +85,14 @@ FUNCTIONS = [
     ("xyt_update_encode_t", "xyt BIGINT, t BIGINT", "BIGINT", "xyt_clear_t(xyt) | xyt_encode_t(t)"),
     ("xyt_update_convert_thh_to_tdd", "xyt BIGINT", "BIGINT", "xyt_update_encode_t(xyt, xyt_decode_t(xyt) DIV 24)"),
     ("get_ui_display_unit_parts", "u STRING", units.PARTS_TYPE,
-     "named_struct(" + ", ".join(_part(i, n) for i, n in enumerate(("ch", "si", "mfr", "model"))) + ")"),
+     "CASE WHEN u IS NOT NULL THEN named_struct(" + ", ".join(_part(i, n) for i, n in enumerate(("ch", "si", "mfr", "model"))) + ") END"),
     ("get_ui_display_category", "u STRING", "INT",
-     _cases({u: units.category(u) for u in units.UNITS if units.category(u) != units.OTHER_CATEGORY}, str(units.OTHER_CATEGORY))),
+     "CASE WHEN u IS NOT NULL THEN "
+     + _cases({u: units.category(u) for u in units.UNITS if units.category(u) != units.OTHER_CATEGORY}, str(units.OTHER_CATEGORY)) + " END"),
     ("is_accepted_unit", "u STRING", "BOOLEAN", f"u IN ({_words(units.MAP_UNITS)})"),
     ("is_value_in_range_for_unit", "v DOUBLE, u STRING", "BOOLEAN",
-     f"NOT ((u IN ({_words(units.POSITIVE_UNITS)}) AND (v <= 0 OR v > {units.UPPER_LIMIT}D)) "
-     f"OR (u IN ({_words(units.NON_NEGATIVE_UNITS)}) AND (v < 0 OR v > {units.UPPER_LIMIT}D)))"),
+     f"CASE WHEN v IS NOT NULL AND u IS NOT NULL THEN NOT ((u IN ({_words(units.POSITIVE_UNITS)}) AND (v <= 0 OR v > {units.UPPER_LIMIT}D)) "
+     f"OR (u IN ({_words(units.NON_NEGATIVE_UNITS)}) AND (v < 0 OR v > {units.UPPER_LIMIT}D))) END"),
 ]
 
 

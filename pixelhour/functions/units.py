@@ -107,15 +107,15 @@ def is_stat_unit(unit: Column) -> Column:
 def in_range(value: Column, unit: Column) -> Column:
     """False outside the unit's limits. Units without limits pass whatever the value, NaN included."""
     too_high = value > UPPER_LIMIT
-    return ~(
+    return F.when(value.isNotNull() & unit.isNotNull(), ~(
         (unit.isin(POSITIVE_UNITS) & ((value <= 0.0) | too_high))
         | (unit.isin(NON_NEGATIVE_UNITS) & ((value < 0.0) | too_high))
-    )
+    ))
 
 
 def to_usvh(value: Column, unit: Column) -> Column:
     """Counts per minute to microsievert per hour; other units unchanged."""
-    return value / _by_unit(unit, {u: cpm_divisor(u) for u in UNITS}, 1.0, "double")
+    return F.when(unit.isNotNull(), value / _by_unit(unit, {u: cpm_divisor(u) for u in UNITS}, 1.0, "double"))
 
 
 def ordinal_of(unit: Column) -> Column:
@@ -124,14 +124,14 @@ def ordinal_of(unit: Column) -> Column:
 
 
 def category_of(unit: Column) -> Column:
-    return _by_unit(unit, {u: category(u) for u in UNITS}, OTHER_CATEGORY, "int")
+    return F.when(unit.isNotNull(), _by_unit(unit, {u: category(u) for u in UNITS}, OTHER_CATEGORY, "int"))
 
 
 def parts_of(unit: Column) -> Column:
     fields = []
     for i, name in enumerate(("ch", "si", "mfr", "model")):
         fields.append(_by_unit(unit, {u: display_parts(u)[i] for u in UNITS}, None, "string").alias(name))
-    return F.struct(*fields)
+    return F.when(unit.isNotNull(), F.struct(*fields))
 
 
 def catalogue(spark: SparkSession) -> DataFrame:

@@ -8,12 +8,10 @@ from pyspark.sql import functions as F
 from pixelhour.session import written
 
 DETAIL_FIELDS = ("device_sn", "device_urn")
-TOP_DEVICES = 1000
 MIN_DOCUMENTS = 3
-BROADCAST_ROWS = 100_000
 
 
-def top_devices(documents: DataFrame, size: int = TOP_DEVICES) -> DataFrame:
+def top_devices(documents: DataFrame, size: int) -> DataFrame:
     """The devices with most documents: device, n. Exact; ties by device number."""
     counts = documents.filter(F.col("device").isNotNull()).groupBy("device").agg(F.count(F.lit(1)).alias("n"))
     return counts.orderBy(F.desc("n"), "device").limit(size)
@@ -56,15 +54,15 @@ def significant_terms(counts: DataFrame, min_documents: int = MIN_DOCUMENTS) ->
     )
 
 
-def device_details(documents: DataFrame, size: int = TOP_DEVICES, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """device, device_sn, device_urn: the most significant term of each field for each top device.
+def device_details(documents: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+    """device, device_sn, device_urn: the most significant term of each field for each device.
 
     The counts are written once and everything else derives from them, so the
     documents are read a single time. Equal scores go to the term with more
     documents, then to the smaller term.
     """
     counts = written(term_counts(documents), "term-counts")
-    devices = _documents_per_device(counts).orderBy(F.desc("n"), "device").limit(size).select("device")
+    devices = _documents_per_device(counts).select("device")
     terms = significant_terms(counts, min_documents)
     best = terms.groupBy("device", "field").agg(
         F.min(F.struct((-F.col("score")).alias("s"), (-F.col("fg_count")).alias("c"), "term"))["term"].alias("term")
@@ -75,16 +73,9 @@ def device_details(documents: DataFrame, size: int = TOP_DEVICES, min_documents:
     return devices.join(wide, "device", "left")
 
 
-def backfill(documents: DataFrame, details: DataFrame, detail_rows: int | None = None) -> DataFrame:
-    """Fill missing device_sn / device_urn from the details; documents without a match stay as they are.
-
-    ``details`` is broadcast only if the caller states a row count within
-    ``BROADCAST_ROWS`` (a top-devices lookup has its size as bound); otherwise
-    the planner decides from measured sizes.
-    """
+def backfill(documents: DataFrame, details: DataFrame) -> DataFrame:
+    """Fill missing device_sn / device_urn from the details; documents without a match stay as they are."""
     lookup = details.select("device", *[F.col(f).alias(f"__{f}") for f in DETAIL_FIELDS])
-    if detail_rows is not None and detail_rows <= BROADCAST_ROWS:
-        lookup = F.broadcast(lookup)
     joined = documents.join(lookup, "device", "left")
     filled = {f: F.coalesce(f, f"__{f}").alias(f) for f in DETAIL_FIELDS}
     return joined.select(*[filled.get(c, F.col(c)) for c in documents.columns])

@@ -33,9 +33,12 @@ DATE_FIELDS = ["service_uploaded", "when_captured"]
 KEYWORD_LIMIT = 1024
 
 
-def _keyword(text: Column) -> Column:
-    """Text that is too long to index is not shown."""
-    return F.when(F.length(text) <= KEYWORD_LIMIT, text)
+def _ignored(fields: Column) -> Column:
+    """Names of text fields too long to be indexed; the document keeps their text."""
+    indexed = [*KEYWORD_FIELDS]
+    other = [name for name in MAPPED_FIELDS if name not in KEYWORD_FIELDS]
+    long = F.map_filter(fields, lambda k, v: (F.length(v) > KEYWORD_LIMIT) & (k.isin(indexed) | ~k.isin(other)))
+    return F.array_sort(F.map_keys(long))
 
 
 def _converted(name: str) -> Column:
@@ -48,9 +51,9 @@ def _converted(name: str) -> Column:
     elif name in BOOLEAN_FIELDS:
         value = F.expr(f"case when {text} = 'true' then true when {text} in ('false', '') then false end")
     elif name in DATE_FIELDS:
-        value = guards.to_wall_clock(F.col(text))
+        value = guards.to_instant(F.col(text))
     else:
-        value = F.expr(f"if(length({text}) <= {KEYWORD_LIMIT}, {text}, null)")
+        value = F.col(text)
     return value.alias(name)
 
 
@@ -95,10 +98,12 @@ def enrich(documents: DataFrame, now: datetime) -> DataFrame:
 
 
 def typed_projection(enriched: DataFrame, keep: list[str]) -> DataFrame:
-    """The typed document: mapped fields, ``timestamp``, ``ingest_location`` and the remaining keys in ``extra``.
+    """The typed document: mapped fields, ``timestamp``, ``geo_point``, the remaining keys in ``extra`` and ``ignored_fields``.
 
     Text that does not fit its type gives NULL; a location whose parts are no
-    valid coordinates is ignored as a whole.
+    valid coordinates is ignored as a whole. Dates honour their zone and may be
+    epoch milliseconds. ``ignored_fields`` names the text fields that are too long
+    for an index; their text is kept.
     """
     f = F.col("fields")
     lat, lon = guards.to_float(F.col("location.lat")), guards.to_float(F.col("location.lon"))
@@ -109,12 +114,11 @@ def typed_projection(enriched: DataFrame, keep: list[str]) -> DataFrame:
     texts = F.from_json("payload", ", ".join(f"{name} string" for name in MAPPED_FIELDS))
     return enriched.withColumn("texts", texts).select(
         *keep,
-        guards.to_wall_clock(F.col("document_time")).alias("timestamp"),
-        F.when(valid, F.struct(lat.alias("lat"), lon.alias("lon"))).alias("ingest_location"),
+        guards.to_instant(F.col("document_time")).alias("timestamp"),
+        F.when(valid, F.struct(lat.alias("lat"), lon.alias("lon"))).alias("geo_point"),
         *[_converted(name) for name in MAPPED_FIELDS],
-        F.transform_values(
-            F.map_filter(f, lambda k, v: ~k.isin(MAPPED_FIELDS)), lambda k, v: _keyword(v)
-        ).alias("extra"),
+        F.map_filter(f, lambda k, v: ~k.isin(MAPPED_FIELDS)).alias("extra"),
+        _ignored(f).alias("ignored_fields"),
     )
 
 

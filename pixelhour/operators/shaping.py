@@ -42,14 +42,13 @@ def series(bins: DataFrame, anchor: int, slots: range, into: str = "vs", both_mo
     return grouped.select("x", "y", "u", F.array(*values).alias(into))
 
 
-def dynamic_pivot(rows: DataFrame, row_name: str, column: str, value: str, column_values: DataFrame,
-                  limit: int = 10_000) -> DataFrame:
-    """Rows to columns where another query names the columns.
-
-    Column names belong to the schema and so must reach the driver; a query that
-    names more than ``limit`` of them is refused rather than cut.
-    """
-    names = [r[0] for r in column_values.limit(limit + 1).collect()]
-    if len(names) > limit:
-        raise ValueError(f"more than {limit} columns")
+def pivot(rows: DataFrame, row_name: str, column: str, value: str, names: list[str]) -> DataFrame:
+    """Rows to one column for each of the names the caller gives; see :func:`pivot_to_map` where the data names them."""
     return rows.groupBy(row_name).pivot(column, names).agg(F.max(value))
+
+
+def pivot_to_map(rows: DataFrame, row_name: str, column: str, value: str) -> DataFrame:
+    """Rows to a map from column name to value: any number of names, and none of them on the driver."""
+    cells = rows.filter(F.col(column).isNotNull()).groupBy(row_name, column).agg(F.max(value).alias(value))
+    entries = F.map_from_entries(F.sort_array(F.collect_list(F.struct(column, value))))
+    return cells.groupBy(row_name).agg(entries.alias("cells"))

@@ -125,16 +125,10 @@ def report_inputs(readings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     return hourly, bins.daily_rollup(hourly), kept.select("xyt", "device_id")
 
 
-# Readings are accepted up to 48 hours ahead and hours are rounded, so no bin lies further ahead than this.
-DAYS_AHEAD = 3
-
-
 def map_24h_from_state(spark: SparkSession, root: str, now: datetime, test_filter: bool = True) -> DataFrame:
-    """The standard report over streamed state, reading only the partitions of its windows."""
+    """The standard report over streamed state, reading the partitions of its windows, which have no upper end."""
     hour = reference_hour(now)
-    day = hour // 24
-    hour_days = range((hour - 23) // 24, day + DAYS_AHEAD + 1)
-    day_days = range(day - 29, day + DAYS_AHEAD + 1)
+    hour_days, day_days = (hour - 23) // 24, hour // 24 - 29
     return map_24h(
         bin_log.read(spark, root, bin_log.HOUR, hour_days), bin_log.read(spark, root, bin_log.DAY, day_days),
         bin_log.read_pairs(spark, root, hour_days), now, True, test_filter,

@@ -56,19 +56,6 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     return "/".join([root.rstrip("/"), f"{purpose}-{uuid.uuid4().hex}"])
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on input that arrives in fewer pieces than there are cores.
-
-    Parsing is the expensive part of every job here, and a small file is a
-    single task. Input of cluster size has more pieces than cores and is left
-    alone, so nothing is shuffled there. Streams are left alone as well.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def written(df: DataFrame, purpose: str, *partition_by: str) -> DataFrame:
     """The rows as a table in the shared folder: computed once, read by several branches of a plan.
 

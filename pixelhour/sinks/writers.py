@@ -32,13 +32,8 @@ def write_report(report: DataFrame, path: str) -> None:
 
 
 def write_daily_report(report: DataFrame, root: str, day: date) -> None:
-    """The report of one date under year=/month=/day=; writing a date replaces only that date."""
-    (
-        report.withColumn("year", F.lit(f"{day:%Y}")).withColumn("month", F.lit(f"{day:%m}"))
-        .withColumn("day", F.lit(f"{day:%d}"))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", False)
-        .partitionBy("year", "month", "day").json(root)
-    )
+    """The report of one date under year=/month=/day=; writing a date, also without rows, replaces only that date."""
+    write_report(report, f"{root}/year={day:%Y}/month={day:%m}/day={day:%d}")
 
 
 def write_raw_archive(messages: DataFrame, root: str, run: datetime, batch_id: int) -> None:
@@ -90,7 +85,7 @@ def monthly_rows(table: DataFrame, gte: datetime, lte: datetime, time_col: str =
 
 def write_monthly_report(table: DataFrame, root: str, gte: datetime, lte: datetime, sort: list[str],
                          time_col: str = "service_uploaded") -> None:
-    """One folder of CSV files per month, rows in report order.
+    """One folder of CSV files per month, rows in report order. Other months stay as they are.
 
     Range partitioning on (month, sort columns) spreads a heavy month over
     several sorted files whose names follow the order, instead of one task.
@@ -98,6 +93,6 @@ def write_monthly_report(table: DataFrame, root: str, gte: datetime, lte: dateti
     rows = monthly_rows(table, gte, lte, time_col)
     (
         rows.repartitionByRange("month", *sort).sortWithinPartitions("month", *sort)
-        .write.mode("overwrite").option("header", True).option("escape", '"')
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", True).option("escape", '"')
         .partitionBy("month").csv(root)
     )

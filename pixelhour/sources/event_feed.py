@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelhour.functions.staging import staged
-from pixelhour.session import spread
 
 ISO_Z = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{folder}/events.parquet"))
+    """The table is a single small file; dealt out here, because the payloads made of it stand for a parallel source."""
+    return spark.read.parquet(f"{folder}/events.parquet").repartition(spark.sparkContext.defaultParallelism)
 
 
 SENSOR_PAYLOAD = f"""
@@ -54,6 +54,10 @@ POST_BODY = """
     when 7 then concat('{"device_id":', user_id)
     when 8 then concat('[', user_id, ']')
     when 9 then concat('{"device_id":', user_id, ',"device":"x"}')
+    when 10 then concat('{"device_id":', user_id, '} garbage')
+    when 11 then concat("{'device_id':", user_id, '}')
+    when 12 then concat('{"device_id":', user_id, ',"v":NaN}')
+    when 13 then concat('{"device_id":', user_id, '}{"device_id":', user_id + 1, '}')
     else concat('{"device_id":', user_id, ',"device":', user_id + 1, ',"lndc_cpm":', cast(value as decimal(18,2)), '}')
   end
 """

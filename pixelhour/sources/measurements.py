@@ -29,7 +29,7 @@ def judge_posts(posts: DataFrame, payload: str = "payload") -> DataFrame:
     object), ``bad_type`` (``device_id`` or ``device`` present but no integer),
     ``missing_device`` (neither given).
     """
-    parsed = payloads.with_fields(posts, payload)
+    parsed = payloads.with_fields(posts, payload, strict=True)
     texts = {k: F.nullif(F.trim(F.col("fields")[k]), F.lit("")) for k in DEVICE_KEYS}
     numbers = {k: guards.to_integer(text) for k, text in texts.items()}
     bad_type = F.lit(False)
@@ -83,7 +83,7 @@ def mark_as_test(lines: DataFrame, text: str = "value") -> DataFrame:
     spelling; a ``dev_test`` given earlier loses because the last equal key wins.
     """
     line = F.col(text)
-    fields = payloads.parse_fields(line)
+    fields = payloads.parse_strict(line)
     checked = F.when(fields.isNull(), F.raise_error(F.concat(F.lit("not a JSON object: "), line)).cast("string"))
     body = F.regexp_replace(line, r"\}\s*$", "")
     empty = F.size(F.map_keys(fields)) == 0

@@ -29,6 +29,19 @@ def parse_fields(payload: Column, options: dict[str, str] | None = None) -> Colu
     return F.from_json(payload, PAYLOAD_MAP, options or {})
 
 
+def parse_strict(payload: Column) -> Column:
+    """Fields of a text that is one JSON object and nothing else; NULL for any other text.
+
+    The parser stops where a value ends. Inside an array, a second value or any
+    trailing text shows as another element or an error; inside an object, what
+    could close the array early is an error.
+    """
+    strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+    alone = F.from_json(F.concat(F.lit("["), payload, F.lit("]")), f"array<{PAYLOAD_MAP}>", strict)
+    inside = F.from_json(F.concat(F.lit('{"a":'), payload, F.lit(',"z":0}')), PAYLOAD_MAP, strict)
+    return F.when((F.size(alone) == 1) & (F.size(F.map_keys(inside)) == 2), alone[0])
+
+
 def unique_fields(fields: Column) -> Column:
     """Parsed fields where the last of several equal keys wins."""
     keys = F.map_keys(fields)
@@ -41,14 +54,15 @@ def has_key(fields: Column, key: str) -> Column:
     return F.map_contains_key(fields, F.lit(key))
 
 
-def with_fields(df: DataFrame, payload: str = "payload", into: str = "fields", filtered: bool = True) -> DataFrame:
-    """Add the parsed payload.
+def with_fields(df: DataFrame, payload: str = "payload", into: str = "fields", filtered: bool = True,
+                strict: bool = False) -> DataFrame:
+    """Add the parsed payload, by :func:`parse_strict` if asked.
 
     ``filtered`` says that rows will be filtered on the fields: each payload is
     then parsed exactly once. Otherwise a plain projection leaves Catalyst free
     to drop the parse when nothing reads it.
     """
-    parsed = df.withColumn("__raw_fields", parse_fields(F.col(payload)))
+    parsed = df.withColumn("__raw_fields", (parse_strict if strict else parse_fields)(F.col(payload)))
     fields = unique_fields(F.col("__raw_fields"))
     with_both = staged(parsed, {into: fields}) if filtered else parsed.withColumn(into, fields)
     return with_both.drop("__raw_fields")

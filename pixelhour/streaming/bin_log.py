@@ -64,8 +64,10 @@ def append_pairs(pairs: DataFrame, root: str, batch_id: int) -> None:
     _write_batch(pairs.select("xyt", "device_id").distinct(), HOUR, f"{root}/pairs", batch_id)
 
 
-def _read(spark: SparkSession, path: str, schema: T.StructType, days: range | None = None) -> DataFrame:
-    """The rows of a folder, or of its partitions for the given days; empty if there are none yet."""
+def _read(spark: SparkSession, path: str, schema: T.StructType, days: range | int | None = None) -> DataFrame:
+    """The rows of a folder, of its partitions for the given days, or of those from a first day on; empty if there are none yet."""
+    if isinstance(days, int):
+        return _read(spark, path, schema).filter(F.col("epoch_day") >= days)
     chosen = path if days is None else f"{path}/epoch_day={{{','.join(map(str, days))}}}"
     try:
         return spark.read.schema(schema).option("basePath", path).parquet(chosen)
@@ -76,9 +78,8 @@ def _read(spark: SparkSession, path: str, schema: T.StructType, days: range | No
 
 
 def _newest_fold(folded: DataFrame) -> DataFrame:
-    """epoch_day, newest. Days lie between 2011 and the day after tomorrow, so
-    this is a few thousand rows whatever the data size, and safe to broadcast."""
-    return F.broadcast(folded.groupBy("epoch_day").agg(F.max("upto").alias("newest")))
+    """epoch_day, newest: a row for each day."""
+    return folded.groupBy("epoch_day").agg(F.max("upto").alias("newest"))
 
 
 def _current(folded: DataFrame, delta: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -89,15 +90,15 @@ def _current(folded: DataFrame, delta: DataFrame) -> tuple[DataFrame, DataFrame]
     return base.select(*_COLUMNS, "epoch_day"), fresh.select(*_COLUMNS, "epoch_day")
 
 
-def read(spark: SparkSession, root: str, level: str = HOUR, days: range | None = None) -> DataFrame:
-    """Current bins of the given days, or of all: xyt, u, sum_v, n, v."""
+def read(spark: SparkSession, root: str, level: str = HOUR, days: range | int | None = None) -> DataFrame:
+    """Current bins of the given days, from a first day on, or of all: xyt, u, sum_v, n, v."""
     folded = _read(spark, f"{root}/{level}/folded", _FOLDED, days)
     delta = _read(spark, f"{root}/{level}/delta", _DELTA, days)
     base, fresh = _current(folded, delta)
     return bins.merge(base, fresh)
 
 
-def read_pairs(spark: SparkSession, root: str, days: range | None = None) -> DataFrame:
+def read_pairs(spark: SparkSession, root: str, days: range | int | None = None) -> DataFrame:
     return _read(spark, f"{root}/pairs", _PAIRS, days).select("xyt", "device_id").distinct()
 
 
@@ -110,8 +111,7 @@ def fold(spark: SparkSession, root: str, upto: int, level: str = HOUR) -> None:
     folded = _read(spark, f"{root}/{level}/folded", _FOLDED)
     delta = _read(spark, f"{root}/{level}/delta", _DELTA).filter(F.col("batch_id") <= upto)
     base, fresh = _current(folded, delta)
-    # One row per day: bounded like _newest_fold.
-    touched = F.broadcast(fresh.select("epoch_day").distinct())
+    touched = fresh.select("epoch_day").distinct()
     merged = bins.merge(base.join(touched, "epoch_day", "left_semi"), fresh)
     (
         merged.select(*_COLUMNS, _epoch_day(level).alias("epoch_day"), F.lit(upto).cast("long").alias("upto"))

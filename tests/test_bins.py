@@ -77,14 +77,13 @@ def test_series_slots(spark):
     assert got[(3, "b")][-2] == 6.0
 
 
-def test_dynamic_pivot_names_come_from_data(spark):
+def test_pivots(spark):
     rows = spark.createDataFrame([("r", "a", 1), ("r", "b", 2), ("s", "c", 3)], "r string, c string, v int")
-    names = spark.createDataFrame([("b",), ("a",)], "c string")
-    got = shaping.dynamic_pivot(rows, "r", "c", "v", names)
+    got = shaping.pivot(rows, "r", "c", "v", ["b", "a"])
     assert got.columns == ["r", "b", "a"]
     assert {tuple(r) for r in got.collect()} == {("r", 2, 1), ("s", None, None)}
-    with pytest.raises(ValueError):
-        shaping.dynamic_pivot(rows, "r", "c", "v", names, limit=1)
+    found = {r["r"]: r["cells"] for r in shaping.pivot_to_map(rows, "r", "c", "v").collect()}
+    assert found == {"r": {"a": 1, "b": 2}, "s": {"c": 3}}
 
 
 def brute_force(places, radius):

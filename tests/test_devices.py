@@ -84,11 +84,16 @@ def test_details_pick_the_telling_term(spark):
 def test_backfill_fills_only_gaps(spark):
     docs = documents(spark, [(1, None, "own"), (1, "own", None), (5, None, None), (None, None, None)])
     details = documents(spark, [(1, "urn:1", "sn-1"), (2, "urn:2", "sn-2")])
-    for bound in (None, 2):
-        got = device_details.backfill(docs, details, bound)
-        assert got.columns == docs.columns
-        assert {tuple(r) for r in got.collect()} == {
-            (1, "urn:1", "own"), (1, "own", "sn-1"), (5, None, None), (None, None, None)}
+    got = device_details.backfill(docs, details)
+    assert got.columns == docs.columns
+    assert {tuple(r) for r in got.collect()} == {
+        (1, "urn:1", "own"), (1, "own", "sn-1"), (5, None, None), (None, None, None)}
+
+
+def test_details_of_every_device(spark):
+    docs = documents(spark, [(d, f"urn:{d}", None if k else f"sn-{d}") for d in range(1500) for k in range(4)])
+    got = device_details.backfill(docs, device_details.device_details(docs, min_documents=1))
+    assert got.filter("device_sn is null").count() == 0 and got.count() == 6000
 
 
 def test_device_table(spark):

@@ -3,6 +3,7 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
+from pixelhour.functions import guards
 from pixelhour.operators import documents
 from pixelhour.sinks import writers
 
@@ -45,10 +46,19 @@ def test_typed_fields(spark):
     assert (row["device"], row["pms_c00_30"], row["env_temp"]) == (12, 7, 21.5)
     assert row["bat_charge"] is None and row["opc_pm01_0"] is None
     assert row["dev_test"] is True and row["dev_motion"] is False
-    assert row["loc_name"] is None and len(row["device_sn"]) == 1024
+    assert len(row["loc_name"]) == 1025 and len(row["device_sn"]) == 1024
     assert row["when_captured"] is None and str(row["service_uploaded"]) == "2024-01-02 03:04:05"
-    assert row["timestamp"] is None and row["ingest_location"] is None and row["loc_lat"] == 91.0
-    assert row["extra"] == {"other": '{"a":1}', "long_note": None}
+    assert row["timestamp"] is None and row["geo_point"] is None and row["loc_lat"] == 91.0
+    assert row["extra"] == {"other": '{"a":1}', "long_note": "x" * 2000}
+    assert row["ignored_fields"] == ["loc_name", "long_note"]
+
+
+def test_document_dates(spark):
+    texts = ["2024-01-30T09:00:00+09:00", "2024-01-30T09:00:00Z", "2024-01-30", "1706605200000", "2024-01-30T09:00:00.5-0130", "soon", "1998-19-250T04:35:59Z"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [str(r["d"]) for r in rows.select("i", guards.to_instant(F.col("t")).alias("d")).orderBy("i").collect()]
+    assert got == ["2024-01-30 00:00:00", "2024-01-30 09:00:00", "2024-01-30 00:00:00", "2024-01-30 09:00:00",
+                   "2024-01-30 10:30:00.500000", "None", "None"]
 
 
 def test_csv_dump_round_trip(spark, tmp_path):

@@ -120,4 +120,4 @@ def test_enrichment(spark, tmp_path):
     jobs.enrich_messages(stream, str(tmp_path / "out"), str(tmp_path / "c"), clock, None).awaitTermination()
     row = spark.read.parquet(str(tmp_path / "out")).first()
     assert (row["device"], row["extra"], str(row["index_date"])) == (4, {"x": "y"}, "2024-01-30")
-    assert row["ingest_location"].asDict() == {"lat": 1.0, "lon": 2.0} and row["timestamp"] == datetime(2024, 1, 30, 20)
+    assert row["geo_point"].asDict() == {"lat": 1.0, "lon": 2.0} and row["timestamp"] == datetime(2024, 1, 30, 20)

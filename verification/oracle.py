@@ -129,7 +129,7 @@ CTES = {
       CASE WHEN event_id % 6 = 0 THEN NULL ELSE CAST((user_id % 7) * 20 - 55 AS VARCHAR) END AS lat,
       CASE WHEN event_id % 30 = 7 THEN 'east' ELSE CAST((user_id % 7) * 50 - 150 AS VARCHAR) END AS lon,
       event_id % 2 = 0 AS dev_test, event_id AS pms, CAST(value AS DECIMAL(18,2)) AS env_temp,
-      CASE WHEN event_id % 40 = 9 THEN NULL ELSE 'place ' || user_id % 7 END AS loc_name, event_type AS x_note FROM events""",
+      CASE WHEN event_id % 40 = 9 THEN repeat('n', 1100) ELSE 'place ' || user_id % 7 END AS loc_name, event_type AS x_note FROM events""",
     "svc_time": f"SELECT *, coalesce(when_captured, service_uploaded, strftime({NOW}, {ISO})) AS document_time FROM svc",
     "top": "SELECT device, count(*) AS n FROM svc GROUP BY device ORDER BY n DESC, device LIMIT 1000",
     "long": "SELECT device, 'device_sn' AS field, device_sn AS term FROM svc UNION ALL SELECT device, 'device_urn', device_urn FROM svc",
@@ -141,7 +141,7 @@ CTES = {
     "best": """SELECT device, field, term FROM (SELECT *, row_number() OVER (PARTITION BY device, field ORDER BY score DESC, n DESC, term) AS rn
       FROM scored) WHERE rn = 1""",
     "details": """SELECT top.device, max(term) FILTER (field = 'device_sn') AS device_sn, max(term) FILTER (field = 'device_urn') AS device_urn
-      FROM top LEFT JOIN best ON best.device = top.device GROUP BY top.device""",
+      FROM (SELECT DISTINCT device FROM svc) top LEFT JOIN best ON best.device = top.device GROUP BY top.device""",
     "devices": """SELECT user_id, min(ts) AS created_at, max(ts) AS updated_at, md5('device-' || user_id) AS h FROM events GROUP BY user_id""",
     "device_rows": """SELECT h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] AS id,
       CAST((user_id % 360) - 180 + 0.25 AS DOUBLE) AS longitude, CAST((user_id % 170) - 85 + 0.5 AS DOUBLE) AS latitude,
@@ -157,6 +157,10 @@ CTES = {
       WHEN 7 THEN '{"device_id":' || user_id
       WHEN 8 THEN '[' || user_id || ']'
       WHEN 9 THEN '{"device_id":' || user_id || ',"device":"x"}'
+      WHEN 10 THEN '{"device_id":' || user_id || '} garbage'
+      WHEN 11 THEN '{''device_id'':' || user_id || '}'
+      WHEN 12 THEN '{"device_id":' || user_id || ',"v":NaN}'
+      WHEN 13 THEN '{"device_id":' || user_id || '}{"device_id":' || user_id + 1 || '}'
       ELSE '{"device_id":' || user_id || ',"device":' || user_id + 1 || ',"lndc_cpm":' || CAST(value AS DECIMAL(18,2)) || '}' END AS payload
       FROM events""",
     "judged": r"""SELECT *, CASE WHEN NOT ok THEN 'malformed'
@@ -165,7 +169,7 @@ CTES = {
       FROM (SELECT *, CASE WHEN ok THEN json_extract_string(payload, '$.device_id') END AS a,
                       CASE WHEN ok THEN json_extract_string(payload, '$.device') END AS b,
                       CASE WHEN ok THEN json_extract_string(payload, '$.device_urn') END AS device_urn
-        FROM (SELECT *, json_valid(payload) AND payload[1:1] = '{' AS ok FROM posts))""",
+        FROM (SELECT *, json_valid(payload) AND payload[1:1] = '{' AND NOT contains(payload, ':NaN') AS ok FROM posts))""",
     "legacy": f"""SELECT event_id AS id, user_id AS device_id, ts AS created_at,
       CASE WHEN event_id % 11 IN (3, 4) THEN NULL ELSE (user_id % 170) - 85 + 0.5 END AS latitude,
       CASE WHEN event_id % 13 = 5 THEN NULL ELSE (user_id % 360) - 180 + 0.25 END AS longitude,
@@ -281,7 +285,8 @@ def _snapped(places: str, radius: int) -> str:
 
 DOCUMENT_ROW = f"""id, {_clock('document_time')} AS timestamp, {_clock('when_captured')} AS when_captured,
   {_clock('service_uploaded')} AS service_uploaded, device, device_sn, device_urn, dev_test, pms AS pms_c00_30,
-  round(CAST(CAST(env_temp AS FLOAT) AS DOUBLE), 3) AS env_temp, loc_name, CAST(NULL AS FLOAT) AS bat_charge,
+  round(CAST(CAST(env_temp AS FLOAT) AS DOUBLE), 3) AS env_temp, loc_name,
+  CASE WHEN length(loc_name) > 1024 THEN 'loc_name' ELSE '' END AS ignored, CAST(NULL AS FLOAT) AS bat_charge,
   try_cast(lat AS DOUBLE) AS loc_lat, try_cast(lon AS DOUBLE) AS loc_lon,
   CASE WHEN try_cast(lon AS DOUBLE) IS NOT NULL THEN try_cast(lat AS DOUBLE) END AS lat,
   CASE WHEN lat IS NOT NULL THEN try_cast(lon AS DOUBLE) END AS lon, x_note, CAST(1 AS BIGINT) AS n_extra"""

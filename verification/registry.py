@@ -412,8 +412,7 @@ def series_summary(spark, folder):
 
 def dynamic_pivot(spark, folder):
     rows = accepted(spark, folder).groupBy("device_id", "unit").agg(F.count(F.lit(1)).alias("n"))
-    names = accepted(spark, folder).select("unit").distinct().orderBy("unit")
-    return shaping.dynamic_pivot(rows, "device_id", "unit", "n", names)
+    return shaping.pivot(rows, "device_id", "unit", "n", ["env_temp", "lnd_7128ec", "lnd_7318u", "opc_pm02_5"])
 
 
 def _map(spark, folder, date_filter=True, test_filter=True, radius=0):
@@ -482,17 +481,17 @@ def device_stats_report(spark, folder):
 
 
 def top_devices(spark, folder):
-    return device_details.top_devices(typed_documents(spark, folder).select("device"))
+    return device_details.top_devices(typed_documents(spark, folder).select("device"), 1000)
 
 
 def device_details_query(spark, folder):
-    return device_details.device_details(typed_documents(spark, folder).select("device", "device_sn", "device_urn"))
+    return device_details.device_details(typed_documents(spark, folder).select("device", "device_sn", "device_urn"), min_documents=3)
 
 
 def backfill_device_details(spark, folder):
     docs = typed_documents(spark, folder).select("id", "device", "device_sn", "device_urn")
-    details = device_details.device_details(docs)
-    return device_details.backfill(docs, details, device_details.TOP_DEVICES)
+    details = device_details.device_details(docs, min_documents=3)
+    return device_details.backfill(docs, details)
 
 
 # -- documents and sinks ---------------------------------------------------
@@ -511,8 +510,8 @@ def _show_typed(df: DataFrame) -> DataFrame:
         "id", "timestamp", "when_captured", "service_uploaded", "device", "device_sn", "device_urn", "dev_test",
         "pms_c00_30", F.round(F.col("env_temp").cast("double"), 3).alias("env_temp"), "loc_name", "bat_charge",
         F.col("loc_lat").cast("double").alias("loc_lat"), F.col("loc_lon").cast("double").alias("loc_lon"),
-        F.col("ingest_location.lat").alias("lat"), F.col("ingest_location.lon").alias("lon"),
-        F.col("extra")["x_note"].alias("x_note"), F.size(F.map_keys("extra")).cast("bigint").alias("n_extra"),
+        F.col("geo_point.lat").alias("lat"), F.col("geo_point.lon").alias("lon"),
+        F.concat_ws(",", "ignored_fields").alias("ignored"), F.col("extra")["x_note"].alias("x_note"), F.size(F.map_keys("extra")).cast("bigint").alias("n_extra"),
     )
 
 
@@ -633,7 +632,7 @@ def stream_documents(spark, folder):
     path = _run(jobs.enrich_messages, spark, messages, "documents")
     return spark.read.parquet(path).groupBy(
         F.col("index_date").cast("string").alias("index_date"), "device"
-    ).agg(F.count(F.lit(1)).alias("n"), F.count("when_captured").alias("n_dated"), F.count("ingest_location").alias("n_placed"))
+    ).agg(F.count(F.lit(1)).alias("n"), F.count("when_captured").alias("n_dated"), F.count("geo_point").alias("n_placed"))
 
 
 QUERIES = {
