@@ -31,10 +31,11 @@ def _place_of(rank) -> list:
     ]
 
 
-def targets(places: DataFrame, radius: int = 0) -> DataFrame:
+def targets(places: DataFrame, radius: int = 0, others: DataFrame | None = None) -> DataFrame:
     """x, y → to_x, to_y: the place with the most samples closer than ``radius`` pixels.
 
-    Radius 0 is the identity. Otherwise places fall into square cells so small
+    ``others`` (x, y) are places that move to one of ``places`` but are no target
+    themselves; one without a target nearby has no row. Radius 0 is the identity. Otherwise places fall into square cells so small
     that any two places of one cell are within the radius: a cell's own winner
     is a single row, and a neighbouring cell's place matters only if it outranks
     that winner. Such survivors are few, and only they meet the cell's places,
@@ -49,7 +50,12 @@ def targets(places: DataFrame, radius: int = 0) -> DataFrame:
     ranked = written(places.select(
         "x", "y", _rank().cast("decimal(38,0)").alias("rank"), cell_of("x").alias("cx"), cell_of("y").alias("cy")
     ), "places")
-    winners = ranked.groupBy("cx", "cy").agg(F.max("rank").alias("own_rank"))
+    movers = ranked.select("x", "y", "cx", "cy")
+    if others is not None:
+        movers = movers.union(others.select("x", "y", cell_of("x").alias("cx"), cell_of("y").alias("cy"))).distinct()
+    winners = movers.select("cx", "cy").distinct().join(
+        ranked.groupBy("cx", "cy").agg(F.max("rank").alias("own_rank")), ["cx", "cy"], "left",
+    )
     steps = F.array(*[
         F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy"))
         for i in range(-reach, reach + 1) for j in range(-reach, reach + 1) if (i, j) != (0, 0)
@@ -60,18 +66,20 @@ def targets(places: DataFrame, radius: int = 0) -> DataFrame:
         .select("vx", "vy", "visitor_rank",
                 (F.col("cx") + F.col("step.dx")).alias("cx"), (F.col("cy") + F.col("step.dy")).alias("cy"))
     )
-    survivors = visitors.join(winners, ["cx", "cy"]).filter(F.col("visitor_rank") > F.col("own_rank"))
+    survivors = visitors.join(winners, ["cx", "cy"]).filter(
+        F.col("own_rank").isNull() | (F.col("visitor_rank") > F.col("own_rank"))
+    )
     in_radius = (
         (F.col("x") - F.col("vx")) * (F.col("x") - F.col("vx"))
         + (F.col("y") - F.col("vy")) * (F.col("y") - F.col("vy"))
     ) < radius * radius
     foreign = (
-        ranked.join(survivors.drop("own_rank"), ["cx", "cy"]).filter(in_radius)
+        movers.join(survivors.drop("own_rank"), ["cx", "cy"]).filter(in_radius)
         .groupBy("x", "y").agg(F.max("visitor_rank").alias("foreign_rank"))
     )
     best = F.greatest("own_rank", "foreign_rank")
     return (
-        ranked.join(winners, ["cx", "cy"]).join(foreign, ["x", "y"], "left")
+        movers.join(winners, ["cx", "cy"]).join(foreign, ["x", "y"], "left").filter(best.isNotNull())
         .select("x", "y", *_place_of(best))
     )
 

@@ -90,7 +90,9 @@ def map_24h(hourly: DataFrame, daily: DataFrame, pairs: DataFrame, now: datetime
     days = windowed_days(daily, hour, date_filter, test_filter)
     pairs = _device_pairs(pairs, hour, date_filter, test_filter)
     if radius > 0:
-        moves = snapping.targets(bins.density(hours), radius)
+        # Day bins of a place without hours in view count for the place they lie near.
+        day_places = days.select(packing.decode_x(F.col("xyt")).alias("x"), packing.decode_y(F.col("xyt")).alias("y"))
+        moves = snapping.targets(bins.density(hours), radius, day_places.distinct())
         hours = bins.regroup(snapping.snap_bins(hours, moves))
         days = bins.regroup(snapping.snap_bins(days, moves))
         pairs = snapping.snap_bins(pairs.distinct(), moves)

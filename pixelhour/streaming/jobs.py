@@ -77,7 +77,8 @@ def archive_messages(messages: DataFrame, root: str, checkpoint: str, clock: Clo
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
-            writers.write_raw_archive(documents.message_text(batch), root, clock(), batch_id)
+            run = writers.run_of_batch(batch.sparkSession, root, batch_id, clock())
+            writers.write_raw_archive(documents.message_text(batch), root, run, batch_id)
 
     return _start(messages, handle, checkpoint, "raw-archive", interval)
 
@@ -86,7 +87,7 @@ def enrich_messages(messages: DataFrame, root: str, checkpoint: str, clock: Cloc
                     interval: str | None = "10 seconds") -> StreamingQuery:
     """Unwrap, enrich and type messages into the daily document dataset."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        now = clock()
+        now = writers.run_of_batch(batch.sparkSession, root, batch_id, clock())
         enriched = documents.enrich(documents.unwrap(batch), now)
         typed = documents.typed_projection(enriched, ["index_date", "payload"])
         writers.write_daily_documents(typed, root, batch_id)
