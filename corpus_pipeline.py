@@ -18,10 +18,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pixelhour.llm import byte_bpe, exact_dedup, mixing, near_dedup, quality
-from pixelhour.llm.common import documents, written
+from pixelhour.llm.common import documents, ship, written
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return quality.drop_low_quality(spark, docs, sf_dir)
 
 
@@ -30,14 +31,17 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return near_dedup.drop_near_copies(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return mixing.mixed_texts(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pixelhour.llm.common import documents, saved, small_or_joined, text_or_empty
 
 PREFIX_CHARS = 64
+ADDED = ("keep_id", "group_size", "kept")
 #: A level's shared keys are broadcast up to this number of rows (24 to 100 bytes each).
 BROADCAST_KEYS = 200_000
 
@@ -36,9 +37,8 @@ def mark_copies(docs: DataFrame, text: str = "text", prefix_chars: int = PREFIX_
     do, as do rows that repeat the largest id: nothing tells those apart. Columns
     of ``docs`` named like an added one are replaced. An empty table gives no row.
     """
-    added = ("keep_id", "group_size", "kept")
     whole = normal if normal is not None else text_or_empty(text)
-    rows = docs.drop(*added).withColumn("_length", F.octet_length(whole))
+    rows = docs.drop(*ADDED).withColumn("_length", F.octet_length(whole))
     rows = _lookup(rows, ["_length"], "_same_length")
     rows = rows.withColumn("_prefix", F.when(F.col("_same_length"), F.xxhash64(F.substring(whole, 1, prefix_chars))))
     rows = _lookup(rows, ["_length", "_prefix"], "_same_prefix")
@@ -55,13 +55,15 @@ def mark_copies(docs: DataFrame, text: str = "text", prefix_chars: int = PREFIX_
         rows.withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")))
         .withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long")))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
-        .select(*[c for c in docs.columns if c not in added], *added)
+        .select(*[c for c in docs.columns if c not in ADDED], *ADDED)
     )
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with its columns."""
-    return mark_copies(docs).filter("kept").select(*[c for c in docs.columns if c not in ("keep_id", "group_size", "kept")])
+    given = {c: f"_given_{c}" for c in ADDED if c in docs.columns}
+    kept = mark_copies(docs.withColumnsRenamed(given)).filter("kept").drop(*ADDED)
+    return kept.withColumnsRenamed({new: old for old, new in given.items()})
 
 
 def op4_exact_dedup(spark, folder: str) -> DataFrame:

@@ -163,9 +163,9 @@ def _model(spark, docs: DataFrame, folder: str) -> Model:
 
 def drop_low_quality(spark, docs: DataFrame, folder: str) -> DataFrame:
     """The rows of ``docs`` that score at least ``KEEP``, learnt from their own labelled rows."""
-    scored = score(docs.withColumnRenamed("score", "score_given") if "score" in docs.columns else docs, _model(spark, docs, folder))
-    kept = scored.filter(F.col("score") >= KEEP).drop("score")
-    return kept.withColumnRenamed("score_given", "score") if "score" in docs.columns else kept
+    given = {"score": "_given_score"} if "score" in docs.columns else {}
+    scored = score(docs.withColumnsRenamed(given), _model(spark, docs, folder))
+    return scored.filter(F.col("score") >= KEEP).drop("score").withColumnsRenamed({new: old for old, new in given.items()})
 
 
 def op7_quality(spark, folder: str) -> DataFrame:
