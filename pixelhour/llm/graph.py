@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from pixelhour.llm.common import saved
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether every edge (a, b) is a star's: a has no other and b is no edge's a."""
+    roles = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        edges.select("b", F.lit(0), F.lit(1)),
+    ).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return roles.filter("up > 1 or up = 1 and down = 1").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,15 +26,11 @@ def components(edges: DataFrame) -> DataFrame:
     edges are stars. Loops and repeated edges do no harm; no edges give no rows.
     """
     now = saved(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = _mark(now)
-    while mark[0]:
+    while not _settled(now):
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = saved(small.union(down.select("a", F.col("m").alias("b"))).distinct())
-        last, mark = mark, _mark(now)
-        if last == mark:
-            break
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())

@@ -1,11 +1,12 @@
 """Near-duplicate documents by a multi-index Hamming join of b-bit MinHash signatures, confirmed on full sets.
 
-A document's word shingles give one 8-bit value for each of ``CHUNKS * WIDTH``
-hash functions. Signatures are cut into chunks; two that differ in at most
-``2 * CHUNKS - 1`` places have a chunk that differs in at most one place
-(pigeonhole), so each chunk is indexed once for every place that may be wrong, by
-its other values, and such pairs share a key. At a similarity of 0.8 a chunk so
-matches with probability 0.58, and all chunks miss with 1e-6.
+A document's word shingles give one 8-bit value for each of ``PLACES`` hash
+functions. The first ``CHUNKS * WIDTH`` values are cut into chunks; two signatures
+that differ in at most ``2 * CHUNKS - 1`` of these places have a chunk that differs
+in at most one (pigeonhole), so each chunk is indexed once for every place that may
+be wrong, by its other values, and such pairs share a key. At a similarity of 0.8 a
+chunk so matches with probability 0.65, and all chunks miss with 3e-6. The other
+values only sharpen the estimate that rules pairs out before full sets are read.
 
 Keys are not expanded into pairs. Documents of equal sets are one class; in each
 key every class is held against the smallest one (its hub), and confirmed links
@@ -20,16 +21,16 @@ sets that share a key is lost.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelhour.llm.common import documents, saved, small_or_joined, text_or_empty
+from pixelhour.llm.common import batches_of, documents, saved, small_or_joined, text_or_empty
 from pixelhour.llm.graph import components
 from pixelhour.llm.words import distinct, mix, shingles, slices, split, text_buffers
 
-CHUNKS, WIDTH = 16, 7
+CHUNKS, WIDTH = 12, 6
+PLACES = 112
 #: Pairs whose signatures differ in more places than this cannot be confirmed: at a similarity of 0.8
 #: the number of differing places has mean 22.3 and deviation 4.2.
 MOST_DIFFERENT = 46
@@ -37,12 +38,14 @@ MOST_DIFFERENT = 46
 FEW = 32
 #: A tile has about so many classes, and about so many shingles.
 TILE, TILE_SHINGLES = 1000, 2_000_000
+#: Rows of an Arrow batch; texts are whole.
+BATCH_ROWS = 1000
 #: Ids to drop are broadcast up to this number (8 bytes each).
 BROADCAST_IDS = 500_000
 #: Stand-ins for missing ids start here, above all ids.
 NO_ID = 1 << 62
 
-_SALT = mix(np.arange(1, CHUNKS * WIDTH + 1, dtype=np.uint64) * np.uint64(0x51_7C_C1_B7_27_22_0A_95))
+_SALT = mix(np.arange(1, PLACES + 1, dtype=np.uint64) * np.uint64(0x51_7C_C1_B7_27_22_0A_95))
 _XOR = (_SALT >> np.uint64(32)).astype(np.uint32)
 _MULTIPLY = (_SALT & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
 
@@ -60,7 +63,7 @@ def _signed(size: int):
             n = batch.num_rows
             count = np.zeros(n, np.int64)
             keys = np.zeros((n, 2), np.uint64)
-            values = np.zeros((n, CHUNKS * WIDTH), np.uint8)
+            values = np.zeros((n, PLACES), np.uint8)
             for row, _, words in slices(batch.column("text")):
                 present, first, hashes = _sets(words, size)
                 if not len(present):
@@ -69,7 +72,7 @@ def _signed(size: int):
                 for k, salt in enumerate((0x1234567, 0x7654321)):
                     keys[row + present, k] = np.add.reduceat(mix(hashes ^ np.uint64(salt)), first)
                 short = (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                for k in range(CHUNKS * WIDTH):
+                for k in range(PLACES):
                     least = np.minimum.reduceat((short ^ _XOR[k]) * _MULTIPLY[k], first)
                     values[row + present, k] = (least * np.uint32(0x9E3779B1)) >> np.uint32(24)
             some = count > 0
@@ -88,9 +91,9 @@ def _index(batches):
     """(key, node) for every chunk and place that may be wrong."""
     for batch in batches:
         n = batch.num_rows
-        values = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(n, CHUNKS, WIDTH)
+        values = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(n, PLACES)
         chunk = np.zeros((n, CHUNKS, 8), np.uint8)
-        chunk[:, :, :WIDTH] = values
+        chunk[:, :, :WIDTH] = values[:, : CHUNKS * WIDTH].reshape(n, CHUNKS, WIDTH)
         whole = chunk.view("<u8")[:, :, 0]
         kinds = np.arange(CHUNKS * WIDTH, dtype=np.uint64).reshape(CHUNKS, WIDTH)
         keys = np.empty((n, CHUNKS, WIDTH), np.uint64)
@@ -143,10 +146,10 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
 
 def _tile_links(size: int, percent: int):
     """Links between a tile pair's classes of different components, one for each class and component."""
-    def run(tile: pd.DataFrame) -> pd.DataFrame:
-        data, at = text_buffers(pa.array(tile["text"], pa.large_string()))
+    def run(tile: pa.Table) -> pa.Table:
+        data, at = text_buffers(tile.column("text").cast(pa.large_string()))
         sets = []
-        for low in range(0, len(tile), 256):
+        for low in range(0, tile.num_rows, 256):
             words = split(data, at[low: low + 257])
             _, first, hashes = _sets(words, size)
             sets += np.split(hashes, first[1:])
@@ -157,10 +160,10 @@ def _tile_links(size: int, percent: int):
         posted = owner[order]
         bounds = np.searchsorted(code[order], np.arange(len(vocabulary) + 1))
         begin = np.concatenate([[0], np.cumsum(n)])
-        component, side, nodes = (tile[c].to_numpy() for c in ("component", "tile", "node"))
+        component, side, nodes = (tile.column(c).to_numpy() for c in ("component", "tile", "node"))
         names, counts = np.unique(component, return_counts=True)
         largest = names[counts.argmax()]
-        alone = tile["first"].iloc[0] == tile["second"].iloc[0]
+        alone = tile.column("first")[0].as_py() == tile.column("second")[0].as_py()
         out: list[tuple[int, int]] = []
         for x in np.flatnonzero(component != largest):
             codes = code[begin[x]: begin[x + 1]]
@@ -173,7 +176,7 @@ def _tile_links(size: int, percent: int):
             found = np.flatnonzero(similar)
             _, one = np.unique(component[found], return_index=True)
             out += [(int(nodes[x]), int(nodes[y])) for y in found[one]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
     return run
 
 
@@ -192,11 +195,11 @@ def _in_tiles(rows: DataFrame, classes: DataFrame, texts: DataFrame, size: int,
     dealt = dealt.select(
         "group", "node", "component", "tile", "text", F.least("tile", "other").alias("first"), F.greatest("tile", "other").alias("second"),
     )
-    return dealt.groupBy("group", "first", "second").applyInPandas(_tile_links(size, percent), "a long, b long")
+    return dealt.groupBy("group", "first", "second").applyInArrow(_tile_links(size, percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """For each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id and n_links.
+    """For each row of ``docs`` (doc_id, text): doc_id, n_shingles and component_id.
 
     Texts are lower-cased (A-Z) and cut into words; a text of fewer than ``size``
     words has its whole sequence as one shingle. Two documents are linked when 100
@@ -204,53 +207,49 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     component_id is the smallest doc_id reachable over links. A text without words
     (or null) has no shingles, no links and itself as component. Rows that share a
     doc_id are one document; rows without one take part, and a component of
-    such rows alone has a null id. ``n_links`` counts the links found between its
-    class (rows of equal sets) and others while components were made, at least one
-    for each class that has any.
+    such rows alone has a null id.
     """
-    text = text_or_empty()
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"),
-        F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64(text), 2).bitwiseOR(F.lit(NO_ID))).alias("own"),
-    )
-    signed = saved(rows.mapInArrow(_signed(size), "doc_id long, own long, n_shingles long, set_key binary, signature binary"))
-    classes = saved(signed.filter("set_key is not null").groupBy("set_key").agg(
-        F.min("own").alias("node"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"),
-    ))
-    keyed = classes.select("node", "signature").mapInArrow(_index, "key long, node long")
-    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = saved(keyed.join(hubs, "key").filter("node <> hub"))
-    texts = rows.select(F.col("own").alias("node"), "text")
-
-    def links(pairs: DataFrame) -> DataFrame:
-        near = saved(_similar_signatures(pairs.distinct(), classes, percent))
-        ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-        return saved(_confirmed(near, texts.join(ends, "node"), size, percent))
-
-    starred = links(shared.select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    label = components(starred)
-    # Of the hub, whose links are all tested, only the component matters.
-    known = shared.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = known.groupBy("key").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("left_over"),
-    ).filter("low <> high").select("key", "left_over")
-    rest = saved(known.join(mixed, "key").select("key", "node", "hub", "component", "left_over"))
-    few = rest.filter(F.col("left_over") <= FEW).select("key", "node", "component")
-    other = few.select("key", F.col("node").alias("b"), F.col("component").alias("component_b"))
-    pairs = few.join(other, "key").filter("node < b and component <> component_b").select(F.col("node").alias("a"), "b")
-    small = links(pairs)
-    large = saved(_in_tiles(rest.filter(F.col("left_over") > FEW).select("node", "hub", "component").distinct(), classes, texts, size, percent))
-    edges = starred.union(small).union(large)
-    label = saved(components(edges))
-    ends = edges.select(F.col("a").alias("node")).union(edges.select("b"))
-    by_class = classes.select("set_key", "node").join(label, "node", "left").join(ends.groupBy("node").count(), "node", "left").select(
-        "set_key", F.coalesce("component", "node").alias("component"), F.coalesce("count", F.lit(0)).alias("n_links"),
-    )
-    with_words = signed.filter("set_key is not null").select("doc_id", "n_shingles", "set_key").join(by_class, "set_key").select(
-        "doc_id", "n_shingles", F.when(F.col("component") < NO_ID, F.col("component")).alias("component_id"), "n_links",
-    )
-    without = signed.filter("set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return with_words.unionByName(without)
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        text = text_or_empty()
+        rows = docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"),
+            F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64(text), 2).bitwiseOR(F.lit(NO_ID))).alias("own"),
+        )
+        signed = saved(rows.mapInArrow(_signed(size), "doc_id long, own long, n_shingles long, set_key binary, signature binary"))
+        classes = saved(signed.filter("set_key is not null").groupBy("set_key").agg(
+            F.min("own").alias("node"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"),
+        ))
+        keyed = classes.select("node", "signature").mapInArrow(_index, "key long, node long")
+        hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"))
+        shared = saved(keyed.join(hubs, "key").filter("node <> hub"))
+        texts = rows.select(F.col("own").alias("node"), "text")
+
+        def links(pairs: DataFrame) -> DataFrame:
+            near = saved(_similar_signatures(pairs.distinct(), classes, percent))
+            ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+            return saved(_confirmed(near, texts.join(ends, "node"), size, percent))
+
+        starred = links(shared.select(F.col("node").alias("a"), F.col("hub").alias("b")))
+        label = components(starred)
+        # Of the hub, whose links are all tested, only the component matters.
+        known = shared.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = known.groupBy("key").agg(
+            F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("left_over"),
+        ).filter("low <> high").select("key", "left_over")
+        rest = saved(known.join(mixed, "key").select("key", "node", "hub", "component", "left_over"))
+        few = rest.filter(F.col("left_over") <= FEW).select("key", "node", "component")
+        other = few.select("key", F.col("node").alias("b"), F.col("component").alias("component_b"))
+        pairs = few.join(other, "key").filter("node < b and component <> component_b").select(F.col("node").alias("a"), "b")
+        small = links(pairs)
+        large = saved(_in_tiles(rest.filter(F.col("left_over") > FEW).select("node", "hub", "component").distinct(), classes, texts, size, percent))
+    with_words = signed.filter("set_key is not null")
+    members = with_words.join(classes.select("set_key", "node"), "set_key").filter("own <> node").select(F.col("own").alias("a"), F.col("node").alias("b"))
+    label = components(starred.union(small).union(large).union(members))
+    labelled = with_words.join(label, with_words["own"] == label["node"], "left").withColumn("component", F.coalesce("component", "own"))
+    without = signed.filter("set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return labelled.select(
+        "doc_id", "n_shingles", F.when(F.col("component") < NO_ID, F.col("component")).alias("component_id"),
+    ).unionByName(without)
 
 
 def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -263,4 +262,4 @@ def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
 
 def op3_near_dedup(spark, folder: str) -> DataFrame:
     found = near_duplicates(documents(spark, folder), size=4)
-    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "n_links")
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

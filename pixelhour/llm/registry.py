@@ -18,6 +18,5 @@ QUERIES = {
 }
 
 SQL = {
-    "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
 }
