@@ -3,15 +3,31 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this library to the executors' Python workers, once for each application."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        archive = os.path.join(tempfile.mkdtemp(), "library")
+        context.addPyFile(shutil.make_archive(archive, "zip", os.path.dirname(package), os.path.basename(package)))
+        _SHIPPED.add(context.applicationId)
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
@@ -42,11 +58,36 @@ def small_or_joined(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Arrow batches of so many rows for the jobs run inside: whole texts then take less memory in a Python worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def fetched(df: DataFrame) -> dict[str, np.ndarray]:
     """The columns of a table of bounded size as arrays on the driver, without a row object each."""
     return {name: column.to_numpy() for name, column in zip(df.columns, df.toArrow().columns, strict=True)}
 
 
+def most_frequent(counts: DataFrame, most: int, n: str = "n") -> DataFrame:
+    """The rows with the highest counts: as many levels of the count as have at most ``most`` rows together.
+
+    Levels are counted first (they are few: a corpus of N tokens has less than
+    sqrt(2 N)), so that only the rows wanted travel.
+    """
+    levels = fetched(counts.groupBy(n).agg(F.count(F.lit(1)).alias("rows")))
+    order = np.argsort(-levels[n].astype(np.int64))
+    fits = np.cumsum(levels["rows"].astype(np.int64)[order]) <= most
+    least = levels[n][order][fits]
+    return counts.filter(F.col(n) >= int(least[-1])) if len(least) else counts.limit(0)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -8,7 +8,8 @@ over all training tokens, in segments, and add up expected counts across
 partitions; a text's score is the exact scaled forward recursion over all of it.
 
 The model has a fixed size. Counts of all words stay distributed: the ``KNOWN``
-most frequent ones are looked up from a broadcast table, the rest in a join.
+most frequent ones (whole levels of the count) are looked up from a broadcast
+table, the rest in a join.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelhour.llm.common import documents, fetched, remainder, saved
+from pixelhour.llm.common import documents, fetched, most_frequent, remainder, saved
 from pixelhour.llm.words import Words, mix, slices
 
 CORE = 1 << 15
@@ -87,7 +88,9 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
     """``counts``: word, class, n of every word."""
-    top = fetched(counts.orderBy(F.desc("n"), "word").limit(KNOWN))
+    top = fetched(most_frequent(counts, KNOWN).select("word", "class", "n"))
+    by_rank = np.lexsort((top["word"], -top["n"].astype(np.int64)))
+    top = {name: column[by_rank] for name, column in top.items()}
     kinds = fetched(counts.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")))
     number = top["n"].astype(np.int64)
     symbol = np.where(np.arange(len(number)) < CORE, np.arange(len(number)), -1)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelhour.llm.common import documents, fetched, remainder, saved
+from pixelhour.llm.common import documents, fetched, most_frequent, remainder, saved
 from pixelhour.llm.words import Words, mix, slices
 
 WORDS = 1 << 18
@@ -144,7 +144,7 @@ def train(docs: DataFrame, words: int = WORDS) -> Model:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     by_language = [F.coalesce(F.sum(F.when(F.col("lang") == name, F.col("n"))), F.lit(0)).alias(f"l{i}") for i, name in enumerate(languages)]
     table = counts.filter("kind = 0").groupBy("item").agg(F.sum("n").alias("n"), *by_language)
-    top = fetched(table.orderBy(F.desc("n"), "item").limit(words))
+    top = fetched(most_frequent(saved(table), words))
     names = [f"l{i}" for i in range(len(languages))]
     hashes = top["item"].astype(np.int64).view(np.uint64)
     order = np.argsort(hashes)
