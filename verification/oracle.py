@@ -407,9 +407,12 @@ BODIES = {
       round(coalesce(arg_max(value, {'t': created_at, 'i': id}) FILTER (id > (SELECT mid FROM mid)), arg_max(value, {'t': created_at, 'i': id})), 6) AS v_val,
       count(*) AS n, min(created_at) AS min_ts, max(created_at) AS max_ts FROM stat_kv GROUP BY device_id, unit""",
     "device_meta": "SELECT device_id, unit, val, ts FROM meta",
-    "dev_test_cleared": f"""SELECT DISTINCT device_id, 'dev_test' AS unit, 'false' AS val, {NOW} AS ts FROM m
+    "dev_test_cleared": f"""SELECT DISTINCT device_id, 'dev_test' AS unit, 'false' AS val, {NOW} AS ts, 'second' AS load FROM m
       WHERE id > (SELECT mid FROM mid) AND device_id NOT IN
-        (SELECT device_id FROM sent WHERE unit = 'dev_test' AND id > (SELECT mid FROM mid))""",
+        (SELECT device_id FROM sent WHERE unit = 'dev_test' AND id > (SELECT mid FROM mid))
+      UNION ALL SELECT DISTINCT device_id, 'dev_test', 'false', TIMESTAMP '2024-01-30 18:00:00', 'first' FROM m
+      WHERE id <= (SELECT mid FROM mid) AND device_id NOT IN
+        (SELECT device_id FROM sent WHERE unit = 'dev_test' AND id <= (SELECT mid FROM mid))""",
     "merge_device_meta": f"""SELECT coalesce(b.device_id, a.device_id) AS device_id, coalesce(b.unit, a.unit) AS unit,
       CASE WHEN b.unit IS NOT NULL THEN b.val ELSE a.val END AS val, CASE WHEN b.unit IS NOT NULL THEN b.ts ELSE a.ts END AS ts FROM (
         SELECT device_id, unit, arg_max(val, {{'t': ts, 'i': id}}) AS val, max(ts) AS ts FROM sent WHERE id <= (SELECT mid FROM mid) GROUP BY 1, 2
@@ -450,6 +453,8 @@ BODIES = {
 }
 
 BODIES["stream_map_daily"] = BODIES["map_daily"]
+for _name in ("map_24h", "map_daily", "device_stats_report"):
+    BODIES[f"{_name}_written"] = BODIES[_name]
 BODIES["sql_functions"] = BODIES["decode_xyt"]
 BODIES["sql_rekey"] = BODIES["rekey_xyt"]
 

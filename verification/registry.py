@@ -461,9 +461,13 @@ def device_meta(spark, folder):
 
 
 def dev_test_cleared(spark, folder):
-    """Devices of the second load that sent no test mode in it."""
-    _, second = two_loads(spark, folder)
-    return device_stats.cleared_test_mode(second, device_stats.sent_metadata(second), NOW)
+    """Devices that sent no test mode in a load, for both loads."""
+    first, second = two_loads(spark, folder)
+    cleared = [
+        device_stats.cleared_test_mode(rows, device_stats.sent_metadata(rows), run).withColumn("load", F.lit(name))
+        for name, rows, run in (("first", first, EARLIER_RUN), ("second", second, NOW))
+    ]
+    return cleared[0].union(cleared[1])
 
 
 def merge_device_meta(spark, folder):
@@ -533,6 +537,31 @@ def csv_dump(spark, folder):
     return writers.read_csv_dump(spark, path, table.schema)
 
 
+def _read_back(spark, report: DataFrame, write) -> DataFrame:
+    path = work_dir(spark, "report")
+    write(report, path)
+    return spark.read.schema(report.schema).json(path).select(report.columns)
+
+
+def map_24h_written(spark, folder):
+    return _read_back(spark, map_24h(spark, folder), writers.write_report)
+
+
+def map_daily_written(spark, folder):
+    """Written for its date after another one, which stays."""
+    day = DAY_MOMENT.date()
+
+    def write(report, path):
+        writers.write_daily_report(report.limit(0), path, EARLIER_RUN.date())
+        writers.write_daily_report(report, path, day)
+
+    return _read_back(spark, map_daily(spark, folder), write)
+
+
+def device_stats_report_written(spark, folder):
+    return _read_back(spark, device_stats_report(spark, folder), writers.write_report)
+
+
 def monthly_report_counts(spark, folder):
     table = service(spark, folder).select(
         "id", (F.col("ts") + F.expr("interval 90 seconds") - F.expr("make_dt_interval(cast(id % 45 as int))")).alias("service_uploaded")
@@ -655,7 +684,9 @@ QUERIES = {
     "incremental_candidates": incremental_candidates, "incremental_by_ts": incremental_by_ts,
     "accepted_candidates": accepted_candidates,
     "series_24h": series_24h, "series_30d": series_30d, "series_day": series_day,
-    "series_devtest": series_devtest, "series_summary": series_summary, "dynamic_pivot": dynamic_pivot,
+    "series_devtest": series_devtest, "series_summary": series_summary, "map_24h_written": map_24h_written, "map_daily_written": map_daily_written,
+    "device_stats_report_written": device_stats_report_written,
+    "dynamic_pivot": dynamic_pivot,
     "map_24h": map_24h, "map_24h_devtest": map_24h_devtest, "map_24h_all_dates": map_24h_all_dates,
     "map_daily": map_daily, "map_daily_from_start": map_daily_from_start,
     "device_stats": device_stats_query, "merge_device_stats": merge_device_stats,
