@@ -143,3 +143,41 @@ def test_languages_back_off(spark, odd, nothing):
         found = language_id.predict(docs, language_id.train(docs)).collect()
         assert len(found) == n
         assert all((r["lang_pred"] == "und") == (not any(c.isalpha() for c in r["text"] or "")) for r in found)
+
+
+def _language_scores(rows, text):
+    """Log scores by language, with plain counts of all words and character n-grams."""
+    runs = lambda w, n: [("^" + w + "^")[i: i + n] for i in range(len(w) + 3 - n)]
+    words = [(w, lang) for _, t, lang in rows for w in t.split()]
+    made = [Counter(words)] + [Counter((g, lang) for w, lang in words for g in runs(w, n)) for n in range(1, 5)]
+    share = lambda n, item, lang: math.log(
+        (made[n][item, lang] + 0.5) / (sum(v for (_, k), v in made[n].items() if k == lang) + 0.5 * (len({i for i, _ in made[n]}) + 1)))
+    seen = [{i for i, _ in m} for m in made]
+    out = []
+    for lang in sorted({lang for _, _, lang in rows}):
+        total = 0.0
+        for w in text.split():
+            if w in seen[0]:
+                total += share(0, w, lang)
+                continue
+            found = next(f for n in (4, 3, 2, 1) if (f := [share(n, g, lang) for g in runs(w, n) if g in seen[n]]))
+            total += sum(found) / len(found)
+        out.append(total)
+    return out
+
+
+def test_languages_use_all_training_words(spark):
+    rows = [
+        (0, "the cat sat on the mat the end", "en"), (1, "the the the der der rare häuser", "en"),
+        (2, "der hund lag auf der matte der tür", "de"), (3, "größe über straße häuser das das", "de"), (4, "el niño está aquí", "es"),
+    ]
+    texts = ["cat", "häuser", "niño", "größe rare", "matten strassen", "häuse", "niñ", "the hund über unbekannt", "漢字 cat"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    asked = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for sizes in ((0, 0), (3, 5), (1000, 1000)):
+        got = {r["doc_id"]: r for r in language_id.predict(asked, language_id.train(docs, *sizes)).collect()}
+        for i, text in enumerate(texts):
+            scores = _language_scores(rows, text)
+            best = max(range(3), key=lambda k: scores[k])
+            assert got[i]["lang_pred"] == ["de", "en", "es"][best] and got[i]["text"] == text
+            assert math.isclose(got[i]["score"], 1 / sum(math.exp(s - scores[best]) for s in scores), rel_tol=1e-9)
