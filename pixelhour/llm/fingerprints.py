@@ -26,7 +26,8 @@ from pixelhour.llm.common import documents
 from pixelhour.llm.words import Words, mix, slices, text_buffers
 
 WIDE = 8
-LEVELS, LANES = 12, 16
+#: Levels for any text: the estimate is full at 16 * ln(32) * 2**39 differing runs.
+LEVELS, LANES = 40, 16
 RUN = 8
 WIDTH = 8 * WIDE + 8 + LEVELS * LANES  # bytes: wide lanes, the number of runs, levels
 #: Neighbours are found in ranges of ids: so many for each shuffle partition of the session, from so many sampled ids each.
@@ -81,8 +82,9 @@ def vectors(column: pa.Array) -> np.ndarray:
         out[row:stop, 8 * WIDE: 8 * WIDE + 8] = number.view(np.uint8).reshape(n, 8)
         low = h & (~h + np.uint64(1))  # the lowest bit set draws the level
         level = np.minimum(np.log2(np.maximum(low, 1).astype(np.float64)), LEVELS - 1).astype(np.int64)
-        lane = (h >> np.uint64(40)).astype(np.int64) % LANES
-        value = (h >> np.uint64(52)).astype(np.int64) % 255 + 1
+        other = mix(h + np.uint64(0x9E3779B97F4A7C15))  # its bits are independent of the level's
+        lane = (other >> np.uint64(40)).astype(np.int64) % LANES
+        value = (other >> np.uint64(52)).astype(np.int64) % 255 + 1
         sums = np.bincount((owner * LEVELS + level) * LANES + lane, value, n * LEVELS * LANES)
         out[row:stop, 8 * WIDE + 8:] = (sums.astype(np.int64) & 255).astype(np.uint8).reshape(n, -1)
     return out

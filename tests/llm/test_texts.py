@@ -181,3 +181,14 @@ def test_fingerprints_of_odd_rows(spark, odd, nothing):
     assert fingerprints.beside(nothing).count() == 0
     one = spark.createDataFrame([(1, "a\nb c d")], "doc_id long, text string")
     assert fingerprints.beside(one).count() == 2  # the only row follows itself
+
+
+def test_likeness_of_very_long_texts():
+    draw = np.random.Generator(np.random.PCG64(5))
+    lines = lambda: [" ".join(map(str, row)) for row in draw.integers(0, 1 << 40, (20_000, 80)).tolist()]
+    texts = [lines() for _ in range(6)]
+    found = fingerprints.vectors(pa.array(["\n".join(t) for t in texts]))
+    apart = fingerprints.likeness(found[:-1], found[1:])
+    assert apart.mean() < 0.25 and apart.max() < 0.6  # 200,000 runs each, none the same
+    mixed = fingerprints.vectors(pa.array(["\n".join(a[:15_000] + b[15_000:]) for a, b in zip(texts[:-1], texts[1:], strict=True)]))
+    assert abs(fingerprints.likeness(found[:-1], mixed).mean() - 0.75) < 0.1
