@@ -122,15 +122,16 @@ def _listed(batches):
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Fit on texts of ``docs`` whose id has a ``quality`` of 0 or 1 in ``labels``: of each class the
-    ``per_class`` ids with the smallest hash. An id with several labels counts as bad if one says so."""
+    ``per_class`` ids with the smallest hash. An id with several labels counts as bad if one says so;
+    of several texts with one id the one with the smallest hash counts."""
     marked = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("good"))
     marked = saved(marked.withColumn("draw", F.xxhash64("doc_id")))
     counts = {r["good"]: r["count"] for r in marked.groupBy("good").count().collect()}
     picked = [marked.filter(F.col("good") == k).orderBy("draw", "doc_id").limit(per_class) for k in (0, 1)]
     picked = saved(picked[0].union(picked[1]).select("doc_id", "good"))  # at most 2 * per_class rows
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "good")
-    # Rows of an id that is repeated a great many times are not all needed.
-    found = rows.mapInArrow(_listed, "buckets binary, good int").limit(4 * per_class).toPandas()
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").withColumn("draw", F.xxhash64("text"))
+    one = rows.groupBy("doc_id", "good").agg(F.min_by("text", "draw").alias("text"))  # a row for each picked id, however often it is repeated
+    found = one.select("text", "good").mapInArrow(_listed, "buckets binary, good int").toPandas()
     order = sorted(range(len(found)), key=lambda i: (found["buckets"][i], found["good"][i]))
     lists = [np.frombuffer(found["buckets"][i], np.int32) for i in order]
     total = sum(counts.values())

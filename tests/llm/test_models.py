@@ -181,3 +181,14 @@ def test_languages_use_all_training_words(spark):
             best = max(range(3), key=lambda k: scores[k])
             assert got[i]["lang_pred"] == ["de", "en", "es"][best] and got[i]["text"] == text
             assert math.isclose(got[i]["score"], 1 / sum(math.exp(s - scores[best]) for s in scores), rel_tol=1e-9)
+
+
+def test_quality_repeated_id(spark):
+    once = [(i, f"word{i} {'clear plain' if i % 2 else 'junk spam'} text") for i in range(10)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, quality int")
+    asked = spark.createDataFrame(once, "doc_id long, text string")
+    hot = spark.createDataFrame([once[0]] * 500 + once, "doc_id long, text string").coalesce(1)
+    want, got = (
+        {r["doc_id"]: r["score"] for r in quality.score(asked, quality.train(docs, labels, 5)).collect()} for docs in (asked, hot)
+    )
+    assert want == got and want[1] > want[0]
