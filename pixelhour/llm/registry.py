@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pixelhour.llm import byte_bpe, exact_dedup, fingerprints, hmm, language_id, mixing, near_dedup, personal_data, quality, sharding
+from pixelhour.llm import (
+    binary_packing, byte_bpe, conversations, exact_dedup, fingerprints, hard_negatives, hmm, language_id, mixing, near_dedup, personal_data,
+    quality, sharding,
+)
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,8 +18,13 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_personal_data": personal_data.op9_personal_data,
     "op10_fingerprints": fingerprints.op10_fingerprints,
+    "op11_conversations": conversations.op11_conversations,
+    "op12_binary_packing": binary_packing.op12_binary_packing,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
 SQL = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
+    "op11_conversations": conversations.OP11_SQL,
+    "op13_hard_negatives": hard_negatives.OP13_SQL,
 }

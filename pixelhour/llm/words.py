@@ -7,6 +7,7 @@ never cross documents. Null and empty texts have no words. Hashes have 64 bits.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -154,3 +155,16 @@ def shapes(words: Words) -> Words:
     place = np.cumsum(keep)
     start = place[words.start] - 1
     return Words(kind[keep], start, place[words.start + words.length - 1] - start, words.first)
+
+
+_BESIDE_SPACE = re.compile(r"\s(?= )| (?=\s)")
+_SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+
+
+def cut_at_spaces(text: str) -> list[str]:
+    """The parts of a text between single spaces; every part but the first stands for itself with a space before it.
+
+    Only spaces with no other white space beside them are cut, which is where the
+    pre-tokens of byte-level vocabularies (`` ?\\p{L}+`` and so on) always begin.
+    """
+    return text.split(" ") if _BESIDE_SPACE.search(text) is None else _SINGLE_SPACE.split(text)
