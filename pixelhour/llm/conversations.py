@@ -207,7 +207,7 @@ def repair(rows: DataFrame, conversations: DataFrame) -> DataFrame:
 
     ``rows`` (conv_id, turn, role, text) are a conversation's by turn, nulls first;
     rows of one turn go by role, then text. A null conv_id is a conversation like any
-    other, a null role or text is a space. A row's first fault counts:
+    other, a null role or text is a space; an empty role fits no place of the pattern. A row's first fault counts:
     blank (nothing but white space), duplicate (role and text of an earlier row),
     truncated (does not end in ``.``, ``!`` or ``?``). Edits: Keep 0, Rerole to
     user or assistant 3, Delete 4 (the only one for blank and duplicate rows),
