@@ -1,11 +1,15 @@
 """Byte-level BPE encoding and decoding by merge replay over a corpus.
 
-A batch of documents is a corpus. Its distinct pre-tokens stand one after
-another as byte tokens; an inverted index leads from the rank of a merge to the
-positions of the pairs that make it. Merges are applied in rank order, at all
-positions of a rank together (the leftmost of each pre-token at a time), and only
-the pairs beside a merged one are looked up again. Distinct pre-tokens are merged
-once a batch; documents then look their pieces up.
+The distinct pre-tokens of a corpus stand one after another as byte tokens; an
+inverted index leads from the rank of a merge to the positions of the pairs that
+make it. Merges are applied in rank order, at all positions of a rank together (the
+leftmost of each pre-token at a time), and only the pairs beside a merged one are
+looked up again.
+
+Texts are worked on in slices. A first pass counts for every pre-token the slices
+that have it: those of several slices are replayed once for the whole corpus, and
+the results go to every task (a table of bounded size, the widest spread first). A
+slice replays the pre-tokens that it has alone, and those beyond that bound.
 """
 
 from __future__ import annotations
@@ -13,7 +17,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -21,14 +24,19 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from pixelhour.llm.common import documents
+from pixelhour.llm.common import documents, fetched, most_frequent, saved, ship
+from pixelhour.llm.words import cut_at_spaces
 
 #: White space as Unicode defines it; the regex module's \s also has \x1c to \x1f.
 _SPACE = r"\p{White_Space}"
-_SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-#: A document batch is worked on in slices of about so many characters.
-SLICE_CHARS = 12 << 20
+#: A slice has about so many characters, one text at least.
+SLICE_CHARS = 4 << 20
+#: So many pre-tokens of at most so many characters are sent to all tasks.
+SHARED_WORDS, SHARED_CHARS = 1 << 18, 32
+#: A Python worker remembers about so many parts of texts, of so many characters together.
+KNOWN, KNOWN_CHARS = 600_000, 8 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -37,14 +45,24 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def compiled(pattern: str) -> regex.Pattern:
+    return regex.compile(pattern.replace(r"[^\s", f"[^{_SPACE}").replace(r"\s", _SPACE).replace(r"\S", r"\P{White_Space}"))
+
+
 class Merger:
     """Encodes pre-tokens by the ranks of a vocabulary, and decodes ids."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, shared: dict[str, bytes] | None = None) -> None:
         self.ranks = ranks
+        self.shared = shared or {}
+        self.known: dict[str, bytes] = {}
+        self.said: dict[str, str] = {}
+        self.spelled: dict[str, bytes] = {}
+        self.chars = 0
         self.tokens = {i: t for t, i in ranks.items()}
+        self.decimal = {i: f" {i}" for i in self.tokens}
         self.size = max(self.tokens) + 1
-        self.pieces = regex.compile(pattern.replace(r"[^\s", f"[^{_SPACE}").replace(r"\s", _SPACE).replace(r"\S", r"\P{White_Space}"))
+        self.pieces = compiled(pattern)
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         made: dict[int, int] = {}
         for token, rank in ranks.items():
@@ -61,9 +79,9 @@ class Merger:
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         return np.where((self.pairs[at] == key) & (left >= 0) & (right >= 0), self.made[at], -1)
 
-    def merge(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of each pre-token."""
-        out: list[list[int]] = [[self.ranks[w]] if w in self.ranks else [] for w in words]
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each pre-token, as little-endian 32-bit numbers."""
+        out = [self.ranks[w].to_bytes(4, "little") if w in self.ranks else b"" for w in words]
         todo = [i for i, w in enumerate(words) if w and not out[i]]
         if not todo:
             return out
@@ -114,31 +132,65 @@ class Merger:
             rank[left] = self._rank(token[left], token[after[left]])
             add(np.concatenate([at, left, rest]))
         alive = token[:n] >= 0
-        ids = np.split(token[:n][alive], np.cumsum(np.bincount(word[alive], minlength=len(todo)))[:-1])
-        for i, found in zip(todo, ids, strict=True):
-            out[i] = found.tolist()
+        ids = token[:n][alive].astype("<i4").tobytes()
+        ends = (4 * np.cumsum(np.bincount(word[alive], minlength=len(todo)))).tolist()
+        for i, begin, end in zip(todo, [0, *ends], ends, strict=False):
+            out[i] = ids[begin:end]
         return out
 
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        """The ids of each text; the texts are one corpus for the replay.
+    def _coded(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; the texts are one corpus for the replay."""
+        split = [self.pieces.findall(t) for t in texts]
+        new = [w for w in set(chain.from_iterable(split)) if w not in self.shared]
+        look = dict(zip(new, self.merge([w.encode() for w in new]), strict=True))
+        shared = self.shared
+        return [b"".join([look[w] if w in look else shared[w] for w in found]) for found in split]
+
+    def _slice(self, texts: list[str], digests: bool) -> tuple[list[list[str]], list[bytes]]:
+        """The parts of each text and the ids of its first; the ids of the others (or what digests are made of) are remembered."""
+        if len(self.known) + len(self.said) > KNOWN or self.chars > KNOWN_CHARS:
+            self.known, self.said, self.spelled, self.chars = {}, {}, {}, 0
+        parts = [cut_at_spaces(t) for t in texts]
+        seen = self.said if digests else self.known
+        new = [p for p in set(chain.from_iterable(p[1:] for p in parts)) if p not in seen]
+        self.chars += sum(map(len, new))
+        coded = self._coded([*[p[0] for p in parts], *[" " + p for p in new]])
+        heads, rest = coded[: len(parts)], coded[len(parts):]
+        if digests:
+            for part, ids in zip(new, rest, strict=True):
+                self.said[part], self.spelled[part] = self._said(ids)
+        else:
+            self.known.update(zip(new, rest, strict=True))
+        return parts, heads
+
+    def _said(self, ids: bytes) -> tuple[str, bytes]:
+        """Ids in decimal, each after a space, and the bytes they stand for."""
+        numbers = np.frombuffer(ids, "<i4").tolist()
+        return "".join(map(self.decimal.__getitem__, numbers)), self.decode(numbers)
+
+    def encode_bytes(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text, as little-endian 32-bit numbers.
 
         Texts are first cut at single spaces between characters that aren't white
         space, where a pre-token always ends; what follows such a space is split
         and merged with it once for all its occurrences.
         """
-        heads, rests = [], []
-        for text in texts:
-            head, *rest = _SINGLE_SPACE.split(text)
-            heads.append(head)
-            rests.append(rest)
-        chunks = {*heads, *(" " + c for c in set(chain.from_iterable(rests)))}
-        split = {c: self.pieces.findall(c) for c in chunks}
-        words = list(set(chain.from_iterable(split.values())))
-        merged = dict(zip(words, self.merge([w.encode() for w in words]), strict=True))
-        known = {c: merged[found[0]] if len(found) == 1 else [i for w in found for i in merged[w]] for c, found in split.items()}
-        spaced = {c[1:]: ids for c, ids in known.items() if c[:1] == " "}
-        for head, rest in zip(heads, rests, strict=True):
-            yield [*known[head], *chain.from_iterable(map(spaced.__getitem__, rest))]
+        parts, heads = self._slice(texts, False)
+        for head, part in zip(heads, parts, strict=True):
+            yield b"".join([head, *map(self.known.__getitem__, part[1:])])
+
+    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+        """The ids of each text."""
+        return (np.frombuffer(ids, "<i4").tolist() for ids in self.encode_bytes(texts))
+
+    def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
+        """For each text the number of its ids, and digests of the ids in decimal and of the bytes they stand for."""
+        parts, heads = self._slice(texts, True)
+        for head, part in zip(heads, parts, strict=True):
+            said, spelled = self._said(head)
+            said = "".join([said, *map(self.said.__getitem__, part[1:])])
+            spelled = b"".join([spelled, *map(self.spelled.__getitem__, part[1:])])
+            yield said.count(" "), hashlib.sha256(said[1:].encode()).hexdigest(), hashlib.sha256(spelled).hexdigest()
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes of some ids; an id outside the vocabulary is an error."""
@@ -153,15 +205,47 @@ def merger(shared, pattern: str) -> Merger:
     key = (shared.value["key"], pattern)
     if key not in _MERGERS:
         _MERGERS.clear()
-        _MERGERS[key] = Merger(shared.value["ranks"], pattern)
+        _MERGERS[key] = Merger(shared.value["ranks"], pattern, shared.value["words"])
     return _MERGERS[key]
 
 
-def share_ranks(spark, path: str):
-    """The rank file's content for all executors (its size is the vocabulary's, whatever the corpus)."""
-    ranks = read_ranks(path)
-    key = hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
-    return spark.sparkContext.broadcast({"key": key, "ranks": ranks})
+def share_ranks(spark, path: str, words: dict[str, bytes] | None = None):
+    """The rank file's content for all executors (its size is the vocabulary's, whatever the corpus), and the ids of some words."""
+    ship(spark)
+    ranks, words = read_ranks(path), words or {}
+    key = hashlib.sha256(repr((sorted(ranks.items()), sorted(words.items()))).encode()).hexdigest()
+    return spark.sparkContext.broadcast({"key": key, "ranks": ranks, "words": words})
+
+
+def spread_words(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame:
+    """(word, n) of the pre-tokens that several slices of the texts have, n slices each."""
+    def run(batches):
+        pieces = compiled(pattern)
+        for batch in batches:
+            for texts in text_slices(batch.column(0)):
+                parts = [cut_at_spaces(t) for t in texts]
+                chunks = {*[p[0] for p in parts], *[" " + p for p in set(chain.from_iterable(p[1:] for p in parts))]}
+                found = set(chain.from_iterable(map(pieces.findall, chunks)))
+                yield pa.record_batch([pa.array([w for w in found if len(w) <= SHARED_CHARS], pa.string())], ["word"])
+
+    ship(docs.sparkSession)
+    return docs.select(text).mapInArrow(run, "word string").groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def shared_ids(docs: DataFrame, rank_file: str, pattern: str, text: str = "text") -> dict[str, bytes]:
+    """The ids of the corpus's most widely spread pre-tokens, each replayed once."""
+    spark = docs.sparkSession
+    ranks = share_ranks(spark, rank_file)
+
+    def run(batches):
+        coder = merger(ranks, pattern)
+        for batch in batches:
+            words = batch.column("word").to_pylist()
+            yield pa.record_batch([batch.column("word"), pa.array(coder.merge([w.encode() for w in words]), pa.binary())], ["word", "ids"])
+
+    words = most_frequent(saved(spread_words(docs, pattern, text)), SHARED_WORDS)
+    found = fetched(words.select("word").mapInArrow(run, "word string, ids binary"))
+    return dict(zip(found["word"].tolist(), found["ids"].tolist(), strict=True))
 
 
 def text_slices(column: pa.Array) -> Iterator[list[str]]:
@@ -185,14 +269,15 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", in
     No text gets special tokens; null and empty texts have no ids. An empty table
     gives no row.
     """
-    shared = share_ranks(docs.sparkSession, rank_file)
+    shared = share_ranks(docs.sparkSession, rank_file, shared_ids(docs, rank_file, pattern, text))
     columns = [c for c in docs.columns if c != into]
 
     def run(batches):
         coder = merger(shared, pattern)
         for batch in batches:
-            ids = [pa.array(list(coder.encode(texts)), pa.list_(pa.int32())) for texts in text_slices(batch.column(text))]
-            ids = pa.concat_arrays(ids) if ids else pa.array([], pa.list_(pa.int32()))
+            coded = [ids for texts in text_slices(batch.column(text)) for ids in coder.encode_bytes(texts)]
+            ends = np.cumsum([0, *map(len, coded)]) // 4
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), "<i4"), pa.int32()))
             yield pa.record_batch([*[batch.column(c) for c in columns], ids], [*columns, into])
 
     rows = docs.select(columns)
@@ -219,17 +304,13 @@ def digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
 
     Encodes and decodes as :func:`encode` and :func:`decode` do, in one pass over the texts.
     """
-    shared = share_ranks(docs.sparkSession, rank_file)
+    shared = share_ranks(docs.sparkSession, rank_file, shared_ids(docs, rank_file, pattern))
 
     def run(batches):
         coder = merger(shared, pattern)
         for batch in batches:
-            sizes, coded, decoded = [], [], []
-            for texts in text_slices(batch.column("text")):
-                for ids in coder.encode(texts):
-                    sizes.append(len(ids))
-                    coded.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(coder.decode(ids)).hexdigest())
+            rows = [row for texts in text_slices(batch.column("text")) for row in coder.digests(texts)]
+            sizes, coded, decoded = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.record_batch(
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
