@@ -32,10 +32,13 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where that is unset, as in tests, a temporary folder is set."""
+    """The session's ``spark.checkpoint.dir``. Where that is unset, a local session, as in tests, gets a temporary
+    folder; on a cluster it is an error."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
         given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(given or os.path.join(tempfile.gettempdir(), "llm-checkpoints"))
     return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
 
@@ -53,6 +56,38 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one run in the shared folder, deleted as soon as nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.name = spark, name
+        self.paths: list[tuple[DataFrame, str]] = []
+
+    def save(self, df: DataFrame) -> DataFrame:
+        """The rows as a Parquet table: computed once, whoever reads them and how often."""
+        path = f"{shared_folder(self.spark).rstrip('/')}/{self.name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths.append((table, path))
+        return table
+
+    def drop(self, *keep: DataFrame) -> None:
+        """Delete all tables saved so far but those in ``keep``."""
+        gone = [path for table, path in self.paths if not any(table is k for k in keep)]
+        self.paths = [(table, path) for table, path in self.paths if path not in gone]
+        for path in gone:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def private(name: str, *tables: DataFrame) -> str:
+    """A column name like ``name`` that none of the tables has."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_or_joined(df: DataFrame, most_rows: int) -> DataFrame:
     """A saved side of a join, broadcast if it has at most ``most_rows`` rows, else left to a shuffled join."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

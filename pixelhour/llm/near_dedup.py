@@ -20,12 +20,14 @@ sets that share a key is lost.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelhour.llm.common import batches_of, documents, saved, small_or_joined, text_or_empty
+from pixelhour.llm.common import Scratch, batches_of, documents, private, ship, small_or_joined, text_or_empty
 from pixelhour.llm.graph import components
 from pixelhour.llm.words import distinct, mix, shingles, slices, split, text_buffers
 
@@ -180,13 +182,13 @@ def _tile_links(size: int, percent: int):
     return run
 
 
-def _in_tiles(rows: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _in_tiles(rows: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
     """Links between classes of different components among (node, hub, component) rows of large keys."""
     groups = components(rows.select(F.col("node").alias("a"), F.col("hub").alias("b")))
     members = rows.select("node", "component").distinct().join(groups.withColumnRenamed("component", "group"), "node").join(
         classes.select("node", "n_shingles"), "node",
     )
-    members = saved(members)
+    members = scratch.save(members)
     tiles = members.groupBy("group").agg(
         F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n_shingles") / TILE_SHINGLES)).cast("int").alias("tiles"),
     )
@@ -209,43 +211,66 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     doc_id are one document; rows without one take part, and a component of
     such rows alone has a null id.
     """
+    ship(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "near-dedup")
     with batches_of(docs.sparkSession, BATCH_ROWS):
         text = text_or_empty()
         rows = docs.select(
             F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"),
             F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64(text), 2).bitwiseOR(F.lit(NO_ID))).alias("own"),
         )
-        signed = saved(rows.mapInArrow(_signed(size), "doc_id long, own long, n_shingles long, set_key binary, signature binary"))
-        classes = saved(signed.filter("set_key is not null").groupBy("set_key").agg(
+        signed = scratch.save(rows.mapInArrow(_signed(size), "doc_id long, own long, n_shingles long, set_key binary, signature binary"))
+        classes = scratch.save(signed.filter("set_key is not null").groupBy("set_key").agg(
             F.min("own").alias("node"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"),
         ))
         keyed = classes.select("node", "signature").mapInArrow(_index, "key long, node long")
-        hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"))
-        shared = saved(keyed.join(hubs, "key").filter("node <> hub"))
+        hubs = scratch.save(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select("key", "hub"))
+        shared = scratch.save(keyed.join(hubs, "key").filter("node <> hub"))
         texts = rows.select(F.col("own").alias("node"), "text")
 
         def links(pairs: DataFrame) -> DataFrame:
-            near = saved(_similar_signatures(pairs.distinct(), classes, percent))
+            near = scratch.save(_similar_signatures(pairs.distinct(), classes, percent))
             ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-            return saved(_confirmed(near, texts.join(ends, "node"), size, percent))
+            return scratch.save(_confirmed(near, texts.join(ends, "node"), size, percent))
 
-        starred = links(shared.select(F.col("node").alias("a"), F.col("hub").alias("b")))
-        label = components(starred)
+        label = components(links(shared.select(F.col("node").alias("a"), F.col("hub").alias("b"))))
         # Of the hub, whose links are all tested, only the component matters.
-        known = shared.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = known.groupBy("key").agg(
+        known = scratch.save(shared.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")))
+        scratch.drop(signed, classes, known)
+        mixed = scratch.save(known.groupBy("key").agg(
             F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("left_over"),
-        ).filter("low <> high").select("key", "left_over")
-        rest = saved(known.join(mixed, "key").select("key", "node", "hub", "component", "left_over"))
-        few = rest.filter(F.col("left_over") <= FEW).select("key", "node", "component")
-        other = few.select("key", F.col("node").alias("b"), F.col("component").alias("component_b"))
-        pairs = few.join(other, "key").filter("node < b and component <> component_b").select(F.col("node").alias("a"), "b")
-        small = links(pairs)
-        large = saved(_in_tiles(rest.filter(F.col("left_over") > FEW).select("node", "hub", "component").distinct(), classes, texts, size, percent))
-    with_words = signed.filter("set_key is not null")
-    members = with_words.join(classes.select("set_key", "node"), "set_key").filter("own <> node").select(F.col("own").alias("a"), F.col("node").alias("b"))
-    label = components(starred.union(small).union(large).union(members))
-    labelled = with_words.join(label, with_words["own"] == label["node"], "left").withColumn("component", F.coalesce("component", "own"))
+        ).filter("low <> high").select("key", "left_over"))
+        found = []
+        if not mixed.isEmpty():
+            rest = scratch.save(known.join(mixed, "key").select("key", "node", "hub", "component", "left_over"))
+            few = rest.filter(F.col("left_over") <= FEW).select("key", "node", "component")
+            other = few.select("key", F.col("node").alias("b"), F.col("component").alias("component_b"))
+            pairs = few.join(other, "key").filter("node < b and component <> component_b").select(F.col("node").alias("a"), "b")
+            found.append(links(pairs))
+            large = rest.filter(F.col("left_over") > FEW).select("node", "hub", "component").distinct()
+            if not large.isEmpty():
+                found.append(scratch.save(_in_tiles(large, classes, texts, size, percent, scratch)))
+        # An id with several texts ties their classes together.
+        kind = F.xxhash64("set_key")
+        several = scratch.save(signed.filter("set_key is not null").groupBy("own").agg(
+            F.min(kind).alias("low"), F.max(kind).alias("high"),
+        ).filter("low < high").select("own"))
+        if not several.isEmpty():
+            tied = signed.join(several, "own").select("own", "set_key").join(classes.select("set_key", "node"), "set_key")
+            found.append(tied.select(F.col("own").alias("a"), F.col("node").alias("b")))
+        classes = classes.select("set_key", "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        if found:
+            # Links between components, which are few next to those inside them.
+            between = reduce(DataFrame.union, found)
+            for end in ("a", "b"):
+                up = label.select(F.col("node").alias(end), F.col("component").alias(f"component_{end}"))
+                between = between.join(up, end, "left").withColumn(f"component_{end}", F.coalesce(f"component_{end}", end))
+            joined = components(between.select(F.col("component_a").alias("a"), F.col("component_b").alias("b")))
+            up = joined.select(F.col("node").alias("component"), F.col("component").alias("joint"))
+            classes = classes.join(up, "component", "left").withColumn("component", F.coalesce("joint", "component"))
+        classes = scratch.save(classes.select("set_key", "component"))
+    scratch.drop(signed, classes)
+    labelled = signed.filter("set_key is not null").join(classes, "set_key")
     without = signed.filter("set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return labelled.select(
         "doc_id", "n_shingles", F.when(F.col("component") < NO_ID, F.col("component")).alias("component_id"),
@@ -253,11 +278,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 
 def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose document is the smallest of its component; rows without an id stay."""
+    """The rows of ``docs`` whose document is the smallest of its component.
+
+    A row without an id goes where its component has one with an id or with a
+    smaller stand-in; rows alike in id and text are one, and the first of them by
+    their other columns stays.
+    """
+    scratch = Scratch(docs.sparkSession, "near-dedup")
+    name = private("_gone", docs)
     found = near_duplicates(docs, size, percent)
-    gone = saved(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct())
+    gone = scratch.save(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(name)).distinct())
     side = small_or_joined(gone, BROADCAST_IDS)
-    return docs.join(side, docs["doc_id"] == side["_gone"], "left_anti")
+    return docs.join(side, docs["doc_id"] == side[name], "left_anti")
 
 
 def op3_near_dedup(spark, folder: str) -> DataFrame:
