@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelhour.functions import guards, scalars, units
@@ -82,22 +82,23 @@ def cleared_test_mode(measurements: DataFrame, sent: DataFrame, now: datetime) -
     )
 
 
-def device_meta(measurements: DataFrame, now: datetime) -> DataFrame:
+def device_meta(measurements: DataFrame, now: datetime | Column) -> DataFrame:
     """Latest text per device and unit from one batch: device_id, unit, val, ts.
 
-    A device without a test mode gets ``false`` at ``now``. Sent texts are
+    A device without a test mode gets ``false`` at ``now``, which may be an
+    aggregate of the batch's columns. Sent texts are
     extracted once and joined to the batch's device list, which reads a single
     column; both sides are reduced before they meet.
     """
     latest = _latest_text(sent_metadata(measurements), scalars.latest_key(F.col("ts"), F.col("id")))
-    slots = measurements.select("device_id").distinct().select(
-        "device_id", F.explode(F.array(*[F.lit(u) for u in units.TEXT_UNITS])).alias("unit")
+    slots = measurements.groupBy("device_id").agg(F.max(clock_literal(now)) if isinstance(now, datetime) else now).toDF("device_id", "now").select(
+        "device_id", "now", F.explode(F.array(*[F.lit(u) for u in units.TEXT_UNITS])).alias("unit")
     )
     joined = slots.join(latest, KEY, "left").filter(F.col("val").isNotNull() | (F.col("unit") == "dev_test"))
     silent = F.col("val").isNull()
     return joined.select(
         *KEY, F.when(silent, "false").otherwise(F.col("val")).alias("val"),
-        F.when(silent, clock_literal(now)).otherwise(F.col("ts")).alias("ts"),
+        F.when(silent, F.col("now")).otherwise(F.col("ts")).alias("ts"),
     )
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelhour.functions import guards
+from pixelhour.operators.readings import clock_literal
 from pixelhour.sources import payloads
 
 # Field names and types of the published document mapping.
@@ -67,9 +69,9 @@ def unwrap(messages: DataFrame, body: str = "body") -> DataFrame:
     return messages.select(*rest, F.get_json_object(inner, "$.payload").alias("payload"))
 
 
-def message_text(messages: DataFrame, body: str = "body") -> DataFrame:
-    """The ``Message`` of each body, as archived."""
-    return messages.select(F.get_json_object(F.col(body), "$.Message").alias("value"))
+def message_text(messages: DataFrame, body: str = "body", keep: Sequence[Column] = ()) -> DataFrame:
+    """The ``Message`` of each body, as archived, and the columns to keep."""
+    return messages.select(F.get_json_object(F.col(body), "$.Message").alias("value"), *keep)
 
 
 def _given(text: Column) -> Column:
@@ -77,7 +79,7 @@ def _given(text: Column) -> Column:
     return F.when(text != "false", text)
 
 
-def enrich(documents: DataFrame, now: datetime) -> DataFrame:
+def enrich(documents: DataFrame, now: datetime | Column) -> DataFrame:
     """Add fields, document time, location and index date to rows with a ``payload`` text column.
 
     ``document_time`` is when_captured, else service_uploaded, else ``now``.
@@ -85,15 +87,16 @@ def enrich(documents: DataFrame, now: datetime) -> DataFrame:
     processing date, which names the daily dataset.
     """
     parsed = payloads.with_fields(documents, filtered=False)
+    moment = clock_literal(now)
     f = F.col("fields")
     both = payloads.has_key(f, "loc_lat") & payloads.has_key(f, "loc_lon")
     return parsed.select(
         *documents.columns, "fields",
         F.coalesce(
-            _given(f["when_captured"]), _given(f["service_uploaded"]), F.lit(now.strftime("%Y-%m-%dT%H:%M:%SZ"))
+            _given(f["when_captured"]), _given(f["service_uploaded"]), F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'"),
         ).alias("document_time"),
         F.when(both, F.struct(f["loc_lat"].alias("lat"), f["loc_lon"].alias("lon"))).alias("location"),
-        F.lit(now.strftime("%Y-%m-%d")).cast("date").alias("index_date"),
+        moment.cast("date").alias("index_date"),
     )
 
 

@@ -20,8 +20,9 @@ FUTURE_ALLOWANCE = timedelta(hours=48)
 TIME_KEYS = ("when_captured", "gateway_received")
 
 
-def clock_literal(moment: datetime) -> Column:
-    return F.lit(moment.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
+def clock_literal(moment: datetime | Column) -> Column:
+    """A moment as a column; a column is taken as it is, so a stream can pass its batch time."""
+    return moment if isinstance(moment, Column) else F.lit(moment.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
 
 
 def place_is_valid(lat: Column, lon: Column) -> Column:
@@ -31,9 +32,9 @@ def place_is_valid(lat: Column, lon: Column) -> Column:
     return guards.taken(on_map & off_island)
 
 
-def time_is_valid(present: Column, clock: Column, now: datetime) -> Column:
+def time_is_valid(present: Column, clock: Column, now: datetime | Column) -> Column:
     """An absent key passes; a present one must parse and lie in range, so JSON null fails."""
-    in_range = clock.between(F.lit(EARLIEST).cast("timestamp_ntz"), clock_literal(now + FUTURE_ALLOWANCE))
+    in_range = clock.between(F.lit(EARLIEST).cast("timestamp_ntz"), clock_literal(now) + F.lit(FUTURE_ALLOWANCE))
     return ~present | guards.taken(in_range)
 
 
@@ -46,7 +47,7 @@ def motion_flag(fields: Column) -> Column:
     )
 
 
-def annotate(measurements: DataFrame, now: datetime) -> DataFrame:
+def annotate(measurements: DataFrame, now: datetime | Column) -> DataFrame:
     """One row per measurement with parsed place, time, flags and validity verdicts."""
     f = F.col("fields")
     typed = staged(payloads.with_fields(measurements), {
@@ -67,7 +68,7 @@ def annotate(measurements: DataFrame, now: datetime) -> DataFrame:
     )
 
 
-def explode_readings(measurements: DataFrame, now: datetime) -> DataFrame:
+def explode_readings(measurements: DataFrame, now: datetime | Column) -> DataFrame:
     """Accepted map readings: original_id, device_id, unit, value, xyt, event_time, created_at, updated_at.
 
     Rows without a place are skipped on the raw text before parsing, only map
@@ -106,7 +107,7 @@ def unpivot_payload(measurements: DataFrame) -> DataFrame:
     return payloads.unpivot(payloads.with_fields(measurements), ["id", "device_id"])
 
 
-def reject_reasons(measurements: DataFrame, now: datetime) -> DataFrame:
+def reject_reasons(measurements: DataFrame, now: datetime | Column) -> DataFrame:
     """Each measurement's first failed rule (``accepted`` if none): id, device_id, reason."""
     f = F.col("fields")
     reason = (

@@ -11,7 +11,7 @@ from pixelhour.functions import packing, scalars, units
 from pixelhour.operators import bins, shaping, snapping
 from pixelhour.operators.readings import clock_literal
 from pixelhour.session import written
-from pixelhour.streaming import bin_log
+from pixelhour.streaming import bin_state
 
 # Slot lengths in seconds.
 DAY_SECONDS = 86400
@@ -132,8 +132,8 @@ def map_24h_from_state(spark: SparkSession, root: str, now: datetime, test_filte
     hour = reference_hour(now)
     hour_days, day_days = (hour - 23) // 24, hour // 24 - 29
     return map_24h(
-        bin_log.read(spark, root, bin_log.HOUR, hour_days), bin_log.read(spark, root, bin_log.DAY, day_days),
-        bin_log.read_pairs(spark, root, hour_days), now, True, test_filter,
+        bin_state.read(spark, root, bin_state.HOUR, hour_days), bin_state.read(spark, root, bin_state.DAY, day_days),
+        bin_state.read_pairs(spark, root, hour_days), now, True, test_filter,
     )
 
 
@@ -143,7 +143,7 @@ def map_daily_from_state(spark: SparkSession, root: str, moment: datetime, test_
     day = reference_hour(moment) // 24
     days = range(day, day + 1)
     return map_daily(
-        bin_log.read(spark, root, bin_log.HOUR, days), bin_log.read_pairs(spark, root, days), moment, test_filter, anchor
+        bin_state.read(spark, root, bin_state.HOUR, days), bin_state.read_pairs(spark, root, days), moment, test_filter, anchor
     )
 
 

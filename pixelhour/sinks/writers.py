@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelhour.operators import documents
+from pixelhour.operators.readings import clock_literal
 
 
 def write_csv_dump(table: DataFrame, path: str) -> None:
@@ -37,25 +37,16 @@ def write_daily_report(report: DataFrame, root: str, day: date) -> None:
     write_report(report, f"{root}/year={day:%Y}/month={day:%m}/day={day:%d}")
 
 
-def run_of_batch(spark: SparkSession, root: str, batch_id: int, now: datetime) -> datetime:
-    """The moment a micro-batch first ran, kept beside its output: a retry writes where the first attempt wrote."""
-    path = f"{root}/_runs/batch={batch_id}"
-    try:
-        kept = spark.read.text(path).first()
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        kept = None
-    if kept:
-        return datetime.fromisoformat(kept[0])
-    spark.createDataFrame([(now.isoformat(),)], "value string").write.mode("overwrite").text(path)
-    return now
-
-
-def write_raw_archive(messages: DataFrame, root: str, run: datetime, batch_id: int) -> None:
-    """Messages separated by a blank line under date/hour/minute of the run, and the batch that wrote them."""
-    messages.select("value").write.mode("overwrite").option("lineSep", "\n\n").text(
-        f"{root}/date={run:%Y-%m-%d}/hour={run:%H}/minute={run:%M}/batch={batch_id}"
+def write_raw_archive(messages: DataFrame, root: str, run: datetime | Column, batch_id: int) -> None:
+    """Messages separated by a blank line under date/hour/minute of the run, and the batch that wrote them.
+
+    Writing a batch of a run again replaces it; no messages write nothing.
+    """
+    moment = clock_literal(run)
+    parts = [F.date_format(moment, form).alias(name) for name, form in (("date", "yyyy-MM-dd"), ("hour", "HH"), ("minute", "mm"))]
+    (
+        messages.select("value", *parts, F.lit(batch_id).alias("batch")).write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").option("lineSep", "\n\n").partitionBy("date", "hour", "minute", "batch").text(root)
     )
 
 

@@ -7,55 +7,74 @@ order are not lost; sinks are idempotent per micro-batch.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timezone
+from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pixelhour.operators import bins, documents, readings
+from pixelhour.operators import device_stats, documents, readings
+from pixelhour.operators.readings import clock_literal
 from pixelhour.sinks import writers
-from pixelhour.streaming import bin_log
+from pixelhour.streaming import bin_state, changes
 
 Clock = Callable[[], datetime]
 
 
-def utc_now() -> datetime:
-    return datetime.now(timezone.utc).replace(tzinfo=None)
+def _moment(clock: Clock | None) -> Column:
+    """A micro-batch's own time, which Spark keeps with its offsets, so that a retry has it again; a given clock is read once."""
+    return clock_literal(clock()) if clock else F.current_timestamp().cast("timestamp_ntz")
 
 
-def _start(stream: DataFrame, handle, checkpoint: str, name: str, interval: str | None) -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).queryName(name)
+def _start(stream: DataFrame, handle, checkpoint: str, name: str, interval: str | None, mode: str = "append") -> StreamingQuery:
+    writer = stream.writeStream.foreachBatch(handle).outputMode(mode).option("checkpointLocation", checkpoint).queryName(name)
     writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
     return writer.start()
 
 
-def keep_hourly_state(measurements: DataFrame, root: str, checkpoint: str, clock: Clock = utc_now,
+def append_changes(groups: DataFrame, root: str, checkpoint: str, name: str, interval: str | None, *partition_by: str) -> StreamingQuery:
+    """Write the groups that each micro-batch changes; see ``changes``."""
+    handle = lambda changed, batch_id: changes.append(changed, root, batch_id, *partition_by)
+    return _start(groups, handle, checkpoint, name, interval, "update")
+
+
+def keep_hourly_state(measurements: DataFrame, root: str, checkpoint: str, clock: Clock | None = None,
                       interval: str | None = "15 minutes") -> StreamingQuery:
-    """Add every micro-batch's readings to the hour and day bin state, however late they are.
+    """Keep hour bins, day bins and key/device pairs of a stream, however late its readings are.
 
-    The micro-batch is read once, into device bins, which are small next to the
-    readings and kept for the three writes. Every write replaces the same
-    micro-batch's earlier attempt, so a batch that failed half-way is repeated
-    whole and counted once.
+    One streaming aggregation keeps all three in Spark's state store; what a
+    micro-batch changes is written at once. A batch that failed half-way is
+    repeated whole from the state before it and counted once.
     """
+    groups = bin_state.grouped(readings.explode_readings(measurements, _moment(clock)))
+    return append_changes(groups, root, checkpoint, "hourly-state", interval, *bin_state.PARTITIONS)
+
+
+def keep_device_stats(measurements: DataFrame, root: str, checkpoint: str, interval: str | None = "10 minutes") -> StreamingQuery:
+    """Keep the statistics of every device and unit; ``device_state.read_stats`` has their current values."""
+    return append_changes(device_stats.device_stats(measurements), root, checkpoint, "device-stats", interval)
+
+
+def keep_device_texts(measurements: DataFrame, root: str, checkpoint: str, clock: Clock | None = None,
+                      interval: str | None = "10 minutes") -> StreamingQuery:
+    """Keep the latest label and test mode of every device; ``device_state.read_texts`` has their current values.
+
+    A micro-batch is a load of the batch job: its texts replace the kept ones, and
+    a device that sent measurements but no test mode in it is not testing from now.
+    """
+    timed = measurements.withColumn("_moment", _moment(clock))
+
     def handle(batch: DataFrame, batch_id: int) -> None:
-        kept = bins.device_bins(readings.explode_readings(batch, clock())).persist()
-        try:
-            hourly = bins.regroup(kept)
-            bin_log.append(hourly, root, batch_id, bin_log.HOUR)
-            bin_log.append(bins.daily_rollup(hourly), root, batch_id, bin_log.DAY)
-            bin_log.append_pairs(kept, root, batch_id)
-        finally:
-            kept.unpersist()
+        changes.append(device_stats.device_meta(batch, F.max("_moment")), root, batch_id)
 
-    return _start(measurements, handle, checkpoint, "hourly-state", interval)
+    return _start(timed, handle, checkpoint, "device-texts", interval)
 
 
 def windowed_hours(measurements: DataFrame, now: datetime, lateness: str) -> DataFrame:
     """Bounded-state variant: tumbling hours centred on the full hour, closed once the watermark passes.
 
-    A row later than ``lateness`` is dropped, unlike in :func:`keep_hourly_state`.
+    A row later than ``lateness`` is dropped, unlike in :func:`keep_hourly_state`;
+    the query's progress counts them (``numRowsDroppedByWatermark``).
     """
     accepted = readings.explode_readings(measurements, now)
     return (
@@ -67,29 +86,22 @@ def windowed_hours(measurements: DataFrame, now: datetime, lateness: str) -> Dat
     )
 
 
-def archive_messages(messages: DataFrame, root: str, checkpoint: str, clock: Clock = utc_now,
+def archive_messages(messages: DataFrame, root: str, checkpoint: str, clock: Clock | None = None,
                      interval: str | None = "1 hour") -> StreamingQuery:
     """Write each micro-batch's raw messages under date/hour/minute of the run.
 
     Cap a micro-batch at the source (``maxFilesPerTrigger`` / ``maxBytesPerTrigger``
     or Kafka's ``maxOffsetsPerTrigger``). Offsets commit after the write, so
-    delivery is at least once; an empty micro-batch writes nothing.
+    delivery is at least once; a retry has the time of the first attempt and
+    replaces what that wrote. An empty micro-batch writes nothing.
     """
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        if not batch.isEmpty():
-            run = writers.run_of_batch(batch.sparkSession, root, batch_id, clock())
-            writers.write_raw_archive(documents.message_text(batch), root, run, batch_id)
+    timed = documents.message_text(messages, keep=[_moment(clock).alias("run")])
+    return _start(timed, lambda batch, batch_id: writers.write_raw_archive(batch, root, F.col("run"), batch_id), checkpoint, "raw-archive", interval)
 
-    return _start(messages, handle, checkpoint, "raw-archive", interval)
 
-
-def enrich_messages(messages: DataFrame, root: str, checkpoint: str, clock: Clock = utc_now,
+def enrich_messages(messages: DataFrame, root: str, checkpoint: str, clock: Clock | None = None,
                     interval: str | None = "10 seconds") -> StreamingQuery:
     """Unwrap, enrich and type messages into the daily document dataset."""
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        now = writers.run_of_batch(batch.sparkSession, root, batch_id, clock())
-        enriched = documents.enrich(documents.unwrap(batch), now)
-        typed = documents.typed_projection(enriched, ["index_date", "payload"])
-        writers.write_daily_documents(typed, root, batch_id)
-
-    return _start(messages, handle, checkpoint, "document-enrich", interval)
+    enriched = documents.enrich(documents.unwrap(messages), _moment(clock))
+    typed = documents.typed_projection(enriched, ["index_date", "payload"])
+    return _start(typed, lambda batch, batch_id: writers.write_daily_documents(batch, root, batch_id), checkpoint, "document-enrich", interval)

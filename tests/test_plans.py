@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from conftest import SMALL
 from pixelhour.operators import readings
 from pixelhour.session import written
-from pixelhour.streaming import bin_log
+from pixelhour.streaming import bin_state
 from verification import registry
 
 
@@ -54,12 +54,14 @@ def test_scan_reads_only_what_is_needed(spark):
 
 def test_state_reads_open_only_their_days(spark, tmp_path):
     root = str(tmp_path / "state")
-    bin_log.append(registry.hourly(spark, SMALL), root, 0)
-    bin_log.fold(spark, root, 0)
-    bin_log.append(registry.hourly(spark, SMALL), root, 1)
-    files = bin_log.read(spark, root, days=range(19750, 19752)).inputFiles()
+    groups = bin_state.grouped(registry.accepted(spark, SMALL))
+    for batch in range(2):
+        bin_state.append(groups, root, batch)
+    files = bin_state.read(spark, root, days=range(19750, 19752)).inputFiles()
     assert files and {re.search(r"epoch_day=(\d+)", f).group(1) for f in files} == {"19750", "19751"}
-    assert {"delta", "folded"} == {re.search(r"hour/(\w+)/", f).group(1) for f in files}
+    assert {re.search(r"level=(\w+)/", f).group(1) for f in files} == {"hour"}
+    later = plan_of(bin_state.read(spark, root, days=19752))
+    assert re.search(r"PartitionFilters: \[[^\]]*epoch_day#\d+ >= 19752", later)
 
 
 def test_report_reads_the_written_bins_not_the_payloads(spark):

@@ -1,15 +1,16 @@
 import json
+import time
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from conftest import SMALL
-from pixelhour.operators import bins, readings
+from pixelhour.operators import bins, device_stats, readings
 from pixelhour.plans import map_reports
 from pixelhour.sinks import writers
 from pixelhour.sources import event_feed
 from pixelhour.sources.measurements import MEASUREMENTS
-from pixelhour.streaming import bin_log, jobs
+from pixelhour.streaming import bin_state, device_state, jobs
 from verification import registry
 
 NOW = registry.NOW
@@ -39,26 +40,28 @@ def test_state_equals_batch_over_many_micro_batches(spark, tmp_path):
     jobs.keep_hourly_state(stream, root, check, clock, None).awaitTermination()
     accepted = readings.explode_readings(rows, NOW)
     hourly = bins.hourly_bins(accepted)
-    assert {p.name for p in (tmp_path / "state" / "hour" / "delta").glob("epoch_day=*/batch_id=*")} == {
-        f"batch_id={i}" for i in range(4)}
-    assert rounded(bin_log.read(spark, root)) == rounded(hourly)
-    assert rounded(bin_log.read(spark, root, bin_log.DAY)) == rounded(bins.daily_rollup(hourly))
+    batches = spark.read.parquet(root)
+    assert {r[0] for r in batches.select("batch_id").distinct().collect()} == set(range(4))
+    by_level = batches.filter("level = 'hour'").select("batch_id").distinct().count(), batches.filter("level = 'day'").select("batch_id").distinct().count()
+    assert by_level == (4, 4)
+    assert rounded(bin_state.read(spark, root)) == rounded(hourly)
+    assert rounded(bin_state.read(spark, root, bin_state.DAY)) == rounded(bins.daily_rollup(hourly))
     pairs = lambda df: {tuple(r) for r in df.collect()}
-    assert pairs(bin_log.read_pairs(spark, root)) == pairs(accepted.select("xyt", "device_id").distinct())
-
-    # A repeated batch and folding change nothing; later batches add to folded days.
-    bin_log.append(bin_log.read(spark, root).limit(0), root, 99)
-    before = rounded(bin_log.read(spark, root))
-    bin_log.fold(spark, root, 1)
-    assert rounded(bin_log.read(spark, root)) == before
-    bin_log.fold(spark, root, 3)
-    bin_log.fold(spark, root, 3)
-    assert rounded(bin_log.read(spark, root)) == before
+    assert pairs(bin_state.read_pairs(spark, root)) == pairs(accepted.select("xyt", "device_id").distinct())
+
+    # Compacting changes nothing, of some days or all; nor does a run without new files.
+    before, rows_before = rounded(bin_state.read(spark, root)), batches.count()
+    bin_state.compact(spark, root, F.col("epoch_day") % 3 == 0)
+    assert rounded(bin_state.read(spark, root)) == before
+    bin_state.compact(spark, root)
+    bin_state.compact(spark, root)
+    assert rounded(bin_state.read(spark, root)) == before
+    assert spark.read.parquet(root).count() < rows_before
     jobs.keep_hourly_state(stream, root, check, clock, None).awaitTermination()
-    assert rounded(bin_log.read(spark, root)) == before
+    assert rounded(bin_state.read(spark, root)) == before
 
     day = map_reports.reference_hour(NOW) // 24
-    part = bin_log.read(spark, root, days=range(day - 1, day + 1))
+    part = bin_state.read(spark, root, days=range(day - 1, day + 1))
     assert rounded(part) == rounded(hourly.filter(bins.epoch_day(F.col("xyt")).between(day - 1, day)))
     shown = lambda df: sorted(map(str, map_reports.flat(df).collect()))
     assert shown(map_reports.map_24h_from_state(spark, root, NOW)) == shown(
@@ -68,21 +71,75 @@ def test_state_equals_batch_over_many_micro_batches(spark, tmp_path):
         map_reports.map_daily(hourly, accepted.select("xyt", "device_id"), moment))
 
 
+def replay_last(check):
+    """As if the query had stopped after its last write: Spark does not know that the batch is done."""
+    commits = sorted((p for p in (check / "commits").iterdir() if p.name.isdigit()), key=lambda p: int(p.name))
+    commits[-1].unlink()
+    (check / "commits" / f".{commits[-1].name}.crc").unlink(missing_ok=True)
+
+
 def test_replayed_batch_counts_once(spark, tmp_path):
-    root = str(tmp_path / "state")
-    delta = bins.hourly_bins(registry.accepted(spark, SMALL))
-    bin_log.append(delta, root, 0)
-    bin_log.append(delta, root, 0)
-    assert rounded(bin_log.read(spark, root)) == rounded(delta)
-    bin_log.fold(spark, root, 0)
-    bin_log.append(delta, root, 1)
-    assert bin_log.read(spark, root).agg(F.sum("n")).first()[0] == 2 * delta.agg(F.sum("n")).first()[0]
+    source, root, check = (str(tmp_path / n) for n in ("in", "state", "check"))
+    rows = table(spark, source, 3)
+    stream = spark.readStream.schema(MEASUREMENTS).option("maxFilesPerTrigger", 1).parquet(source)
+    jobs.keep_hourly_state(stream, root, check, clock, None).awaitTermination()
+    written = spark.read.parquet(root).count()
+    replay_last(tmp_path / "check")
+    jobs.keep_hourly_state(stream, root, check, clock, None).awaitTermination()
+    assert spark.read.parquet(root).count() > written  # it was written twice
+    assert rounded(bin_state.read(spark, root)) == rounded(bins.hourly_bins(readings.explode_readings(rows, NOW)))
+
+
+def test_replayed_device_statistics(spark, tmp_path):
+    source = str(tmp_path / "in")
+    rows = table(spark, source, 3)
+    stream = spark.readStream.schema(MEASUREMENTS).option("maxFilesPerTrigger", 1).parquet(source)
+    start = lambda: jobs.keep_device_stats(stream, str(tmp_path / "stats"), str(tmp_path / "check"), None).awaitTermination()
+    start()
+    replay_last(tmp_path / "check")
+    start()
+    shown = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    assert shown(device_state.read_stats(spark, str(tmp_path / "stats"))) == shown(device_stats.device_stats(rows))
+
+
+def test_device_texts_follow_the_newest_load(spark, tmp_path, measure):
+    """A later load replaces texts; a device silent about its test mode is not testing; others stay."""
+    source = str(tmp_path / "in")
+    at = "2024-01-02 03:00:00"
+    loads = [
+        measure((1, 7, {"dev_test": True, "dev_label": "a"}, at), (2, 8, {"dev_test": True}, at)),
+        measure((3, 7, {"dev_label": "b"}, at)),
+    ]
+    for load in loads:
+        load.coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(loads[0].schema).option("maxFilesPerTrigger", 1).parquet(source)
+    for _ in range(2):
+        jobs.keep_device_texts(stream, str(tmp_path / "out"), str(tmp_path / "c"), clock, None).awaitTermination()
+    got = {(r["device_id"], r["unit"]): (r["val"], r["ts"]) for r in device_state.read_texts(spark, str(tmp_path / "out")).collect()}
+    sent = datetime(2024, 1, 2, 3)
+    assert got == {(7, "dev_label"): ("b", sent), (7, "dev_test"): ("false", NOW), (8, "dev_test"): ("true", sent)}
+
+
+def test_batch_time_is_the_same_in_a_retry(spark, tmp_path):
+    """Without a clock the run's time is the micro-batch's, which Spark keeps with its offsets."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text(json.dumps({"Message": "m"}))
+    stream = spark.readStream.text(str(tmp_path / "in")).withColumnRenamed("value", "body")
+    root = str(tmp_path / "out")
+    for _ in range(2):
+        jobs.archive_messages(stream, root, str(tmp_path / "c"), None, None).awaitTermination()
+        folders = {str(p.relative_to(root)) for p in (tmp_path / "out").glob("*/*/*/*")}
+        assert len(folders) == 1
+        replay_last(tmp_path / "c")
+        time.sleep(1)
+    times = {r[0] for r in writers.read_raw_archive(spark, root).select("minute").collect()}
+    assert len(times) == 1 and writers.read_raw_archive(spark, root).count() == 1
 
 
 def test_empty_state(spark, tmp_path):
-    assert bin_log.read(spark, str(tmp_path / "none")).count() == 0
-    assert bin_log.read_pairs(spark, str(tmp_path / "none")).count() == 0
-    assert bin_log.read(spark, str(tmp_path / "none"), days=range(5)).count() == 0
+    assert bin_state.read(spark, str(tmp_path / "none")).count() == 0
+    assert bin_state.read_pairs(spark, str(tmp_path / "none")).count() == 0
+    assert bin_state.read(spark, str(tmp_path / "none"), days=range(5)).count() == 0
 
 
 def test_windowed_variant_closes_hours(spark, tmp_path):

@@ -448,11 +448,15 @@ BODIES = {
     "stream_archive": ARCHIVE,
     "stream_hourly_state": f"SELECT {V6} FROM hh",
     "stream_daily_state": f"SELECT {V6} FROM dd",
+    "stream_windowed_hours": f"SELECT {V6} FROM hh",
     "stream_documents": f"""SELECT '2024-01-30' AS index_date, device, count(*) AS n, count({_clock('when_captured')}) AS n_dated,
       count(CASE WHEN try_cast(lon AS DOUBLE) IS NOT NULL THEN lat END) AS n_placed FROM svc GROUP BY device""",
 }
 
 BODIES["stream_map_daily"] = BODIES["map_daily"]
+BODIES["stream_device_stats"] = BODIES["device_stats"]
+BODIES["stream_device_texts"] = BODIES["merge_device_meta"].replace("TIMESTAMP '2024-01-30 18:00:00'", NOW)
+BODIES["stream_device_report"] = BODIES["device_stats_report"].replace("FROM meta", f"FROM ({BODIES['merge_device_meta']})")
 for _name in ("map_24h", "map_daily", "device_stats_report"):
     BODIES[f"{_name}_written"] = BODIES[_name]
 BODIES["sql_functions"] = BODIES["decode_xyt"]

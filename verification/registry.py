@@ -19,7 +19,7 @@ from pixelhour.plans import device_report, map_reports
 from pixelhour.session import prepare, work_dir
 from pixelhour.sinks import writers
 from pixelhour.sources import devices, event_feed, measurements, payloads
-from pixelhour.streaming import bin_log, jobs
+from pixelhour.streaming import bin_state, device_state, jobs
 
 NOW = datetime(2024, 1, 30, 20, 0, 0)
 EARLIER_RUN = datetime(2024, 1, 30, 18, 0, 0)
@@ -624,41 +624,81 @@ def event_stream(spark, folder) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
 
 
-def _run(start, spark, stream, purpose):
+def _run(start, spark, stream, purpose, **options):
     root = work_dir(spark, purpose)
-    start(stream, f"{root}/out", f"{root}/checkpoint", clock=lambda: NOW, interval=None).awaitTermination()
+    start(stream, f"{root}/out", f"{root}/checkpoint", interval=None, **options).awaitTermination()
     return f"{root}/out"
 
 
+def fixed_clock() -> datetime:
+    return NOW
+
+
+def load_stream(spark, folder) -> DataFrame:
+    """Both loads as files of one folder, a micro-batch each."""
+    path = work_dir(prepare(spark), "loads")
+    for load in two_loads(spark, folder):
+        load.coalesce(1).write.mode("append").parquet(path)  # a file is a micro-batch
+    return spark.readStream.schema(load.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def stream_hourly_state(spark, folder):
-    root = _run(jobs.keep_hourly_state, spark, event_feed.measurements(event_stream(spark, folder)), "state")
-    return show_bins(bin_log.read(spark, root))
+    root = _run(jobs.keep_hourly_state, spark, event_feed.measurements(event_stream(spark, folder)), "state", clock=fixed_clock)
+    return show_bins(bin_state.read(spark, root))
 
 
 def stream_daily_state(spark, folder):
-    root = _run(jobs.keep_hourly_state, spark, event_feed.measurements(event_stream(spark, folder)), "state")
-    bin_log.fold(spark, root, 0, bin_log.DAY)
-    return show_bins(bin_log.read(spark, root, bin_log.DAY))
+    root = _run(jobs.keep_hourly_state, spark, event_feed.measurements(event_stream(spark, folder)), "state", clock=fixed_clock)
+    bin_state.compact(spark, root, F.col("epoch_day") % 2 == 0)
+    return show_bins(bin_state.read(spark, root, bin_state.DAY))
 
 
 def stream_map_24h(spark, folder):
-    root = _run(jobs.keep_hourly_state, spark, event_feed.measurements(event_stream(spark, folder)), "state")
+    root = _run(jobs.keep_hourly_state, spark, event_feed.measurements(event_stream(spark, folder)), "state", clock=fixed_clock)
     return map_reports.flat(map_reports.map_24h_from_state(spark, root, NOW))
 
 
 def stream_map_daily(spark, folder):
-    root = _run(jobs.keep_hourly_state, spark, event_feed.measurements(event_stream(spark, folder)), "state")
+    root = _run(jobs.keep_hourly_state, spark, event_feed.measurements(event_stream(spark, folder)), "state", clock=fixed_clock)
     return map_reports.flat(map_reports.map_daily_from_state(spark, root, DAY_MOMENT))
 
 
+def _kept_devices(spark, folder) -> tuple[str, str]:
+    loads = load_stream(spark, folder)
+    return _run(jobs.keep_device_stats, spark, loads, "stats"), _run(jobs.keep_device_texts, spark, loads, "texts", clock=fixed_clock)
+
+
+def stream_device_stats(spark, folder):
+    return _show_stats(device_state.read_stats(spark, _run(jobs.keep_device_stats, spark, load_stream(spark, folder), "stats")))
+
+
+def stream_device_texts(spark, folder):
+    texts = _run(jobs.keep_device_texts, spark, load_stream(spark, folder), "texts", clock=fixed_clock)
+    return device_state.read_texts(spark, texts)
+
+
+def stream_device_report(spark, folder):
+    return device_report.flat(device_state.report(spark, *_kept_devices(spark, folder)))
+
+
+def stream_windowed_hours(spark, folder):
+    """The bounded variant with a lateness no row exceeds."""
+    def start(stream, root, checkpoint, interval):
+        windows = jobs.windowed_hours(stream, NOW, "100 days")
+        return jobs.append_changes(windows, root, checkpoint, "windowed-hours", interval)
+
+    root = _run(start, spark, event_feed.measurements(event_stream(spark, folder)), "windows")
+    return show_bins(spark.read.parquet(root))
+
+
 def stream_archive(spark, folder):
     messages = event_feed.queue_messages(event_feed.service_payloads(event_stream(spark, folder)))
-    return _archive_index(spark, _run(jobs.archive_messages, spark, messages, "archive"))
+    return _archive_index(spark, _run(jobs.archive_messages, spark, messages, "archive", clock=fixed_clock))
 
 
 def stream_documents(spark, folder):
     messages = event_feed.queue_messages(event_feed.service_payloads(event_stream(spark, folder)))
-    path = _run(jobs.enrich_messages, spark, messages, "documents")
+    path = _run(jobs.enrich_messages, spark, messages, "documents", clock=fixed_clock)
     return spark.read.parquet(path).groupBy(
         F.col("index_date").cast("string").alias("index_date"), "device"
     ).agg(F.count(F.lit(1)).alias("n"), F.count("when_captured").alias("n_dated"), F.count("geo_point").alias("n_placed"))
@@ -699,6 +739,7 @@ QUERIES = {
     "yearly_compaction_counts": yearly_compaction_counts, "retention_remaining": retention_remaining,
     "raw_archive_index": raw_archive_index,
     "stream_hourly_state": stream_hourly_state, "stream_daily_state": stream_daily_state,
-    "stream_map_24h": stream_map_24h,
+    "stream_map_24h": stream_map_24h, "stream_device_stats": stream_device_stats, "stream_device_texts": stream_device_texts,
+    "stream_device_report": stream_device_report, "stream_windowed_hours": stream_windowed_hours,
     "stream_map_daily": stream_map_daily, "stream_archive": stream_archive, "stream_documents": stream_documents,
 }
