@@ -6,10 +6,11 @@ make it. Merges are applied in rank order, at all positions of a rank together (
 leftmost of each pre-token at a time), and only the pairs beside a merged one are
 looked up again.
 
-Texts are worked on in slices. A first pass counts for every pre-token the slices
-that have it: those of several slices are replayed once for the whole corpus, and
-the results go to every task (a table of bounded size, the widest spread first). A
-slice replays the pre-tokens that it has alone, and those beyond that bound.
+Texts are worked on in slices, and cut into parts at single spaces. A first pass
+counts for every part the slices that have it: the pre-tokens of those of several
+slices are replayed once for the whole corpus, and the results go to every task (a
+table of bounded size, the widest spread first). A slice replays what it has alone,
+and what is beyond that bound.
 """
 
 from __future__ import annotations
@@ -26,17 +27,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelhour.llm.common import documents, fetched, most_frequent, saved, ship
+from pixelhour.llm.common import Scratch, documents, fetched, most_frequent, ship
 from pixelhour.llm.words import cut_at_spaces
 
 #: White space as Unicode defines it; the regex module's \s also has \x1c to \x1f.
 _SPACE = r"\p{White_Space}"
 #: A slice has about so many characters, one text at least.
 SLICE_CHARS = 4 << 20
-#: So many pre-tokens of at most so many characters are sent to all tasks.
-SHARED_WORDS, SHARED_CHARS = 1 << 18, 32
-#: A Python worker remembers about so many parts of texts, of so many characters together.
-KNOWN, KNOWN_CHARS = 600_000, 8 << 20
+#: So many parts of at most so many characters are sent to all tasks.
+SHARED_PARTS, SHARED_CHARS = 1 << 18, 32
+#: A task remembers about so many parts of texts, of so many characters together.
+KNOWN, KNOWN_CHARS = 250_000, 8 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -141,27 +142,31 @@ class Merger:
     def _coded(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; the texts are one corpus for the replay."""
         split = [self.pieces.findall(t) for t in texts]
-        new = [w for w in set(chain.from_iterable(split)) if w not in self.shared]
-        look = dict(zip(new, self.merge([w.encode() for w in new]), strict=True))
-        shared = self.shared
-        return [b"".join([look[w] if w in look else shared[w] for w in found]) for found in split]
+        words = list(set(chain.from_iterable(split)))
+        look = dict(zip(words, self.merge([w.encode() for w in words]), strict=True)).__getitem__
+        return [look(found[0]) if len(found) == 1 else b"".join(map(look, found)) for found in split]
 
     def _slice(self, texts: list[str], digests: bool) -> tuple[list[list[str]], list[bytes]]:
         """The parts of each text and the ids of its first; the ids of the others (or what digests are made of) are remembered."""
         if len(self.known) + len(self.said) > KNOWN or self.chars > KNOWN_CHARS:
-            self.known, self.said, self.spelled, self.chars = {}, {}, {}, 0
+            self.forget()
         parts = [cut_at_spaces(t) for t in texts]
         seen = self.said if digests else self.known
         new = [p for p in set(chain.from_iterable(p[1:] for p in parts)) if p not in seen]
         self.chars += sum(map(len, new))
-        coded = self._coded([*[p[0] for p in parts], *[" " + p for p in new]])
-        heads, rest = coded[: len(parts)], coded[len(parts):]
+        alone = [p for p in new if p not in self.shared]
+        coded = self._coded([*[p[0] for p in parts], *[" " + p for p in alone]])
+        found = dict(zip(alone, coded[len(parts):], strict=True))
+        found.update((p, self.shared[p]) for p in new if p in self.shared)
         if digests:
-            for part, ids in zip(new, rest, strict=True):
+            for part, ids in found.items():
                 self.said[part], self.spelled[part] = self._said(ids)
         else:
-            self.known.update(zip(new, rest, strict=True))
-        return parts, heads
+            self.known.update(found)
+        return parts, coded[: len(parts)]
+
+    def forget(self) -> None:
+        self.known, self.said, self.spelled, self.chars = {}, {}, {}, 0
 
     def _said(self, ids: bytes) -> tuple[str, bytes]:
         """Ids in decimal, each after a space, and the bytes they stand for."""
@@ -205,47 +210,45 @@ def merger(shared, pattern: str) -> Merger:
     key = (shared.value["key"], pattern)
     if key not in _MERGERS:
         _MERGERS.clear()
-        _MERGERS[key] = Merger(shared.value["ranks"], pattern, shared.value["words"])
+        _MERGERS[key] = Merger(shared.value["ranks"], pattern, shared.value["parts"])
     return _MERGERS[key]
 
 
-def share_ranks(spark, path: str, words: dict[str, bytes] | None = None):
-    """The rank file's content for all executors (its size is the vocabulary's, whatever the corpus), and the ids of some words."""
+def share_ranks(spark, path: str, parts: dict[str, bytes] | None = None):
+    """The rank file's content for all executors (its size is the vocabulary's, whatever the corpus), and the ids of some parts."""
     ship(spark)
-    ranks, words = read_ranks(path), words or {}
-    key = hashlib.sha256(repr((sorted(ranks.items()), sorted(words.items()))).encode()).hexdigest()
-    return spark.sparkContext.broadcast({"key": key, "ranks": ranks, "words": words})
+    ranks, parts = read_ranks(path), parts or {}
+    key = hashlib.sha256(repr((sorted(ranks.items()), sorted(parts.items()))).encode()).hexdigest()
+    return spark.sparkContext.broadcast({"key": key, "ranks": ranks, "parts": parts})
 
 
-def spread_words(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame:
-    """(word, n) of the pre-tokens that several slices of the texts have, n slices each."""
+def spread_parts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(part, n) of the parts (after a single space) that several slices of the texts have, n slices each."""
     def run(batches):
-        pieces = compiled(pattern)
         for batch in batches:
             for texts in text_slices(batch.column(0)):
-                parts = [cut_at_spaces(t) for t in texts]
-                chunks = {*[p[0] for p in parts], *[" " + p for p in set(chain.from_iterable(p[1:] for p in parts))]}
-                found = set(chain.from_iterable(map(pieces.findall, chunks)))
-                yield pa.record_batch([pa.array([w for w in found if len(w) <= SHARED_CHARS], pa.string())], ["word"])
+                found = set(chain.from_iterable(cut_at_spaces(t)[1:] for t in texts))
+                yield pa.record_batch([pa.array([p for p in found if len(p) <= SHARED_CHARS], pa.string())], ["part"])
 
     ship(docs.sparkSession)
-    return docs.select(text).mapInArrow(run, "word string").groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return docs.select(text).mapInArrow(run, "part string").groupBy("part").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
 def shared_ids(docs: DataFrame, rank_file: str, pattern: str, text: str = "text") -> dict[str, bytes]:
-    """The ids of the corpus's most widely spread pre-tokens, each replayed once."""
-    spark = docs.sparkSession
-    ranks = share_ranks(spark, rank_file)
+    """The ids of the corpus's most widely spread parts with the space before them, replayed once."""
+    ranks = share_ranks(docs.sparkSession, rank_file)
 
     def run(batches):
         coder = merger(ranks, pattern)
         for batch in batches:
-            words = batch.column("word").to_pylist()
-            yield pa.record_batch([batch.column("word"), pa.array(coder.merge([w.encode() for w in words]), pa.binary())], ["word", "ids"])
+            coded = coder._coded([" " + p for p in batch.column("part").to_pylist()])
+            yield pa.record_batch([batch.column("part"), pa.array(coded, pa.binary())], ["part", "ids"])
 
-    words = most_frequent(saved(spread_words(docs, pattern, text)), SHARED_WORDS)
-    found = fetched(words.select("word").mapInArrow(run, "word string, ids binary"))
-    return dict(zip(found["word"].tolist(), found["ids"].tolist(), strict=True))
+    scratch = Scratch(docs.sparkSession, "spread-parts")
+    parts = most_frequent(scratch.save(spread_parts(docs, text)), SHARED_PARTS)
+    found = fetched(parts.select("part").mapInArrow(run, "part string, ids binary"))
+    scratch.drop()
+    return dict(zip(found["part"].tolist(), found["ids"].tolist(), strict=True))
 
 
 def text_slices(column: pa.Array) -> Iterator[list[str]]:
@@ -279,6 +282,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", in
             ends = np.cumsum([0, *map(len, coded)]) // 4
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), "<i4"), pa.int32()))
             yield pa.record_batch([*[batch.column(c) for c in columns], ids], [*columns, into])
+        coder.forget()
 
     rows = docs.select(columns)
     return rows.mapInArrow(run, rows.limit(0).selectExpr("*", f"cast(null as array<int>) as {into}").schema)
@@ -315,6 +319,7 @@ def digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        coder.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
