@@ -16,7 +16,7 @@ def _renamed(edges: DataFrame, parents: DataFrame) -> DataFrame:
     """
     for end in ("a", "b"):
         side = parents.select(F.col("node").alias(end), F.col("parent").alias(f"parent_{end}"))
-        edges = edges.join(side, end)
+        edges = edges.join(side.hint("merge"), end)
     return edges.select(F.col("parent_a").alias("a"), F.col("parent_b").alias("b")).filter("a <> b").distinct()
 
 
@@ -54,7 +54,7 @@ def components(edges: DataFrame) -> DataFrame:
     label = rounds[-1].withColumnRenamed("parent", "component")
     for parents in reversed(rounds[:-1]):
         up = label.select(F.col("node").alias("parent"), "component")
-        label = parents.join(up, "parent", "left").select("node", F.coalesce("component", "parent").alias("component"))
+        label = parents.join(up.hint("merge"), "parent", "left").select("node", F.coalesce("component", "parent").alias("component"))
     if len(rounds) > 1:  # hashed rounds end at some node of a component
         label = scratch.save(label)
         least = scratch.save(label.groupBy("component").agg(F.min("node").alias("least")))

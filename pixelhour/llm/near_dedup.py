@@ -116,7 +116,7 @@ def _similar_signatures(pairs: DataFrame, classes: DataFrame, percent: int) -> D
             near = (one != two).sum(axis=1) <= MOST_DIFFERENT
             yield batch.select(["a", "b"]).filter(pa.array(near))
 
-    side = classes.select("node", "signature", "n_shingles")
+    side = classes.select("node", "signature", "n_shingles").hint("merge")
     for end in ("a", "b"):
         pairs = pairs.join(side.select(F.col("node").alias(end), F.col("signature").alias(f"sig_{end}"), F.col("n_shingles").alias(f"n_{end}")), end)
     pairs = pairs.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
@@ -141,6 +141,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
                     linked[i] = 100 * both >= percent * (len(one) + len(two) - both)
                 yield part.select(["a", "b"]).filter(pa.array(linked))
 
+    texts = texts.hint("merge")
     for end in ("a", "b"):
         pairs = pairs.join(texts.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}")), end)
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
@@ -225,17 +226,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         ))
         keyed = classes.select("node", "signature").mapInArrow(_index, "key long, node long")
         hubs = scratch.save(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select("key", "hub"))
-        shared = scratch.save(keyed.join(hubs, "key").filter("node <> hub"))
+        # Hinted joins go one way at every size; a hot key is split.
+        shared = scratch.save(keyed.join(hubs.hint("merge"), "key").filter("node <> hub"))
         texts = rows.select(F.col("own").alias("node"), "text")
 
         def links(pairs: DataFrame) -> DataFrame:
             near = scratch.save(_similar_signatures(pairs.distinct(), classes, percent))
             ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-            return scratch.save(_confirmed(near, texts.join(ends, "node"), size, percent))
+            return scratch.save(_confirmed(near, texts.join(ends.hint("merge"), "node"), size, percent))
 
         label = components(links(shared.select(F.col("node").alias("a"), F.col("hub").alias("b"))))
         # Of the hub, whose links are all tested, only the component matters.
-        known = scratch.save(shared.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")))
+        known = scratch.save(shared.join(label.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node")))
         scratch.drop(signed, classes, known)
         mixed = scratch.save(known.groupBy("key").agg(
             F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("left_over"),
@@ -270,7 +272,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             classes = classes.join(up, "component", "left").withColumn("component", F.coalesce("joint", "component"))
         classes = scratch.save(classes.select("set_key", "component"))
     scratch.drop(signed, classes)
-    labelled = signed.filter("set_key is not null").join(classes, "set_key")
+    labelled = signed.filter("set_key is not null").join(classes.hint("merge"), "set_key")
     without = signed.filter("set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return labelled.select(
         "doc_id", "n_shingles", F.when(F.col("component") < NO_ID, F.col("component")).alias("component_id"),
