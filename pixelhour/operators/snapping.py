@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelhour.functions import packing
@@ -31,57 +31,73 @@ def _place_of(rank) -> list:
     ]
 
 
+#: Cells of one level hold 4 x 4 cells of the next finer one.
+STEP = 2
+
+
+def _meets_disk(level: int, radius: int) -> Column:
+    """Whether a pixel of the cell (cx, cy) lies closer than ``radius`` to (x, y)."""
+    side = 1 << level
+
+    def gap(place: str, cell: str) -> Column:
+        low = F.col(cell) * side
+        return F.greatest(F.lit(0).cast("long"), low - F.col(place), F.col(place) - (low + (side - 1)))
+
+    dx, dy = gap("x", "cx"), gap("y", "cy")
+    return dx * dx + dy * dy < radius * radius
+
+
+def _cells(frontier: DataFrame, first: Column, second: Column, offsets: range, level: int, radius: int) -> DataFrame:
+    """The frontier's rows with every cell at ``first + i, second + j`` that the disk meets."""
+    steps = F.array(*[F.struct((first + i).alias("cx"), (second + j).alias("cy")) for i in offsets for j in offsets])
+    return frontier.select("x", "y", "best", F.inline(steps)).filter(_meets_disk(level, radius))
+
+
 def targets(places: DataFrame, radius: int = 0, others: DataFrame | None = None) -> DataFrame:
     """x, y → to_x, to_y: the place with the most samples closer than ``radius`` pixels.
 
     ``others`` (x, y) are places that move to one of ``places`` but are no target
-    themselves; one without a target nearby has no row. Radius 0 is the identity. Otherwise places fall into square cells so small
-    that any two places of one cell are within the radius: a cell's own winner
-    is a single row, and a neighbouring cell's place matters only if it outranks
-    that winner. Such survivors are few, and only they meet the cell's places,
-    so neither a cross join nor the pairs of a dense cell arise.
+    themselves; one without a target nearby has no row. Radius 0 is the identity.
+
+    Cells of halving size form a pyramid, each with the best place in it. From the
+    coarsest level, a place looks at the best of the few cells around it: one that
+    does not outrank what is known is done with, one that lies inside the disk is
+    the new best of its cell, and only a cell whose best lies outside, while a part
+    of it lies inside, is opened into the finer cells that the disk meets. So a
+    place opens cells along the rim of its disk only, whatever the number of places
+    in them, and the best of a cell is one row. Ends when no cell is left to open.
     """
     if radius <= 0:
         return places.select("x", "y", F.col("x").alias("to_x"), F.col("y").alias("to_y"))
-    side = max(1, math.floor(radius / math.sqrt(2)))
-    reach = math.ceil(radius / side)
-    cell_of = lambda c: F.floor(F.col(c) / side)
-    # Read four times below; places are few next to the readings they come from.
-    ranked = written(places.select(
-        "x", "y", _rank().cast("decimal(38,0)").alias("rank"), cell_of("x").alias("cx"), cell_of("y").alias("cy")
-    ), "places")
-    movers = ranked.select("x", "y", "cx", "cy")
+    whole = [F.col(c).cast("long").alias(c) for c in ("x", "y")]
+    # Read once for each level; places are few next to the readings they come from.
+    ranked = written(places.select(*whole, _rank().cast("decimal(38,0)").alias("rank")), "places")
+    movers = ranked.select("x", "y", F.col("rank").alias("best"))
     if others is not None:
-        movers = movers.union(others.select("x", "y", cell_of("x").alias("cx"), cell_of("y").alias("cy"))).distinct()
-    winners = movers.select("cx", "cy").distinct().join(
-        ranked.groupBy("cx", "cy").agg(F.max("rank").alias("own_rank")), ["cx", "cy"], "left",
-    )
-    steps = F.array(*[
-        F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy"))
-        for i in range(-reach, reach + 1) for j in range(-reach, reach + 1) if (i, j) != (0, 0)
-    ])
-    visitors = (
-        ranked.select(F.col("x").alias("vx"), F.col("y").alias("vy"), F.col("rank").alias("visitor_rank"),
-                      "cx", "cy", F.explode(steps).alias("step"))
-        .select("vx", "vy", "visitor_rank",
-                (F.col("cx") + F.col("step.dx")).alias("cx"), (F.col("cy") + F.col("step.dy")).alias("cy"))
-    )
-    survivors = visitors.join(winners, ["cx", "cy"]).filter(
-        F.col("own_rank").isNull() | (F.col("visitor_rank") > F.col("own_rank"))
-    )
-    in_radius = (
-        (F.col("x") - F.col("vx")) * (F.col("x") - F.col("vx"))
-        + (F.col("y") - F.col("vy")) * (F.col("y") - F.col("vy"))
-    ) < radius * radius
-    foreign = (
-        movers.join(survivors.drop("own_rank"), ["cx", "cy"]).filter(in_radius)
-        .groupBy("x", "y").agg(F.max("visitor_rank").alias("foreign_rank"))
-    )
-    best = F.greatest("own_rank", "foreign_rank")
-    return (
-        movers.join(winners, ["cx", "cy"]).join(foreign, ["x", "y"], "left").filter(best.isNotNull())
-        .select("x", "y", *_place_of(best))
-    )
+        unranked = others.select(*whole, F.lit(None).cast("decimal(38,0)").alias("best"))
+        movers = written(movers.union(unranked).groupBy("x", "y").agg(F.max("best").alias("best")), "movers")
+    level = STEP * -(-(radius - 1).bit_length() // STEP)
+    at_level = lambda c, k: F.shiftright(F.col(c), k)
+    frontier = _cells(movers, at_level("x", level), at_level("y", level), range(-1, 2), level, radius)
+    found = [movers]
+    while True:
+        cells = ranked.groupBy(at_level("x", level).alias("cx"), at_level("y", level).alias("cy")).agg(F.max("rank").alias("rank"))
+        to_x, to_y = _place_of(F.col("rank"))
+        dx, dy = F.col("x") - to_x, F.col("y") - to_y
+        met = frontier.join(cells, ["cx", "cy"]).filter(F.col("best").isNull() | (F.col("rank") > F.col("best")))
+        met = met.withColumn("inside", dx * dx + dy * dy < radius * radius)
+        nearer = F.max(F.when(F.col("inside"), F.col("rank"))).over(Window.partitionBy("x", "y"))
+        met = written(met.withColumn("best", F.greatest("best", nearer)), "cells")
+        found.append(met.select("x", "y", "best"))
+        frontier = met.filter(~F.col("inside") & (F.col("best").isNull() | (F.col("rank") > F.col("best"))))
+        if level == 0 or frontier.isEmpty():
+            break
+        level -= STEP
+        frontier = _cells(
+            frontier, F.shiftleft(F.col("cx"), STEP), F.shiftleft(F.col("cy"), STEP), range(1 << STEP), level, radius,
+        )
+    best = reduce(DataFrame.union, found).groupBy("x", "y").agg(F.max("best").alias("best"))
+    return best.filter("best is not null").select("x", "y", *_place_of(F.col("best")))
 
 
 def snap_bins(bins: DataFrame, moves: DataFrame) -> DataFrame:

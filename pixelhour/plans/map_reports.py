@@ -148,12 +148,12 @@ def map_daily_from_state(spark: SparkSession, root: str, moment: datetime, test_
 
 
 def map_daily(hourly: DataFrame, pairs: DataFrame, moment: datetime, test_filter: bool = True,
-              anchor: str = "reference") -> DataFrame:
+              anchor: str = "reference", radius: int = 0) -> DataFrame:
     """One row per place for the calendar day of ``moment``: 24 slots, no category.
 
     With ``anchor='reference'`` (established output) slots count from the
     moment's own hour, with ``'start'`` from the day's first hour. The end date
-    is one second before the last hour begins.
+    is one second before the last hour begins. ``radius`` is that of :func:`map_24h`.
     """
     if anchor not in ("reference", "start"):
         raise ValueError(f"unknown anchor {anchor!r}")
@@ -162,6 +162,10 @@ def map_daily(hourly: DataFrame, pairs: DataFrame, moment: datetime, test_filter
     last = first + 23
     hours = bins.in_display_units(bins.only_still(bins.calendar_day(hourly, hour), test_filter))
     pairs = bins.only_still(bins.calendar_day(pairs, hour), test_filter).select("xyt", "device_id")
+    if radius > 0:
+        moves = snapping.targets(bins.density(hours), radius)
+        hours = bins.regroup(snapping.snap_bins(hours, moves))
+        pairs = snapping.snap_bins(pairs.distinct(), moves)
     rows = shaping.series(hours, hour if anchor == "reference" else first, shaping.DATE_SLOTS, "vs", not test_filter)
     span = _span(
         _seconds_text(first * HOUR_SECONDS), _seconds_text(last * HOUR_SECONDS - 1), first, last, HOUR_SECONDS

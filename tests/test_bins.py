@@ -112,6 +112,27 @@ def test_snapping_one_hot_cell(spark):
     assert {(r["to_x"], r["to_y"]) for r in snapping.targets(df, 26).collect()} == {(9, 9)}
 
 
+def test_snapping_a_quiet_cell_among_busy_ones(spark, monkeypatch):
+    """Busy neighbours are not held against a quiet cell's places: a place meets a bounded number of cells."""
+    rng = random.Random(7)
+    places = [(x, y, (1 if 36 <= x < 54 and 36 <= y < 54 else 100) + rng.randrange(9)) for x in range(90) for y in range(90)]
+    met = Counter()
+
+    def counted(df, purpose, *more):
+        table = written(df, purpose, *more)
+        if purpose == "cells":
+            met.update({(r["x"], r["y"]): r["count"] for r in table.groupBy("x", "y").count().collect()})
+        return table
+
+    written = snapping.written
+    monkeypatch.setattr(snapping, "written", counted)
+    df = spark.createDataFrame(places, "x long, y long, n long")
+    got = {(r["x"], r["y"]): (r["to_x"], r["to_y"]) for r in snapping.targets(df, 26).collect()}
+    assert got == brute_force(places, 26)
+    # Of the 2121 pixels of a disk, at most those along its rim are met.
+    assert max(met.values()) <= 8 * 26 and sum(met.values()) < 40 * len(places), (max(met.values()), sum(met.values()))
+
+
 def test_snapped_bins_add_up(spark):
     hours = bins.hourly_bins(reading_rows(spark))
     moved = bins.regroup(snapping.snap_bins(hours, snapping.targets(bins.density(hours), 26)))
@@ -159,6 +180,9 @@ def test_map_report_with_snapping(spark):
     got = {tuple(d["device_ids"]): [ts["values"][-1] for ts in d["data"][0]["time_series"]] for d in docs}
     assert got == {(1, 2): [20.0, 20.0], (3,): [7.0, 7.0]}
     assert map_reports.map_24h(*inputs, now).count() == 3
+    daily = map_reports.map_daily(inputs[0], inputs[2], now, radius=26).collect()
+    got = {tuple(d["device_ids"]): [v for v in d["data"][0]["time_series"][0]["values"] if v is not None] for d in daily}
+    assert got == {(1, 2): [20.0], (3,): [7.0]}
 
 
 def test_daily_report_anchor_and_end(spark):

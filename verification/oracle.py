@@ -64,6 +64,18 @@ def _series(value: str, slots: str) -> str:
 
 ISO = "'%Y-%m-%dT%H:%M:%SZ'"
 
+DIVISOR = ("CASE WHEN unit LIKE 'lnd_7318%' THEN 334.0::DOUBLE WHEN unit LIKE 'lnd_712%' THEN 120.5::DOUBLE "
+           "WHEN unit LIKE 'lnd_78017%' THEN 960.0::DOUBLE ELSE 1.0::DOUBLE END")
+
+
+def _nearby(movers: str, source: str, radius: int = 26) -> str:
+    """Brute force: where each place moves, the places of ``source`` being the targets."""
+    best = "{'n': b.n, 'x': -b.x, 'y': -b.y}"
+    return f"""SELECT a.x, a.y, arg_max(b.x, {best}) AS to_x, arg_max(b.y, {best}) AS to_y FROM ({movers}) a
+      JOIN (SELECT x, y, sum(n) AS n FROM {source} GROUP BY x, y) b
+      ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < {radius * radius} GROUP BY a.x, a.y"""
+
+
 CTES = {
     "m": f"""SELECT event_id AS id, user_id AS device_id, ts AS created_at, ts AS updated_at, '{{"device":' || user_id ||
       CASE WHEN event_id % 50 = 6 THEN '' ELSE ',"loc_lat":' || CASE event_id % 50 WHEN 3 THEN '95.5' WHEN 7 THEN '0.5'
@@ -117,6 +129,19 @@ CTES = {
            "WHEN u LIKE 'lnd_78017%' THEN 960.0::DOUBLE ELSE 1.0::DOUBLE END AS d FROM hh",
     "ddu": "SELECT *, CASE WHEN u LIKE 'lnd_7318%' THEN 334.0::DOUBLE WHEN u LIKE 'lnd_712%' THEN 120.5::DOUBLE "
            "WHEN u LIKE 'lnd_78017%' THEN 960.0::DOUBLE ELSE 1.0::DOUBLE END AS d FROM dd",
+    "jittered": "SELECT * REPLACE (x + id % 61 AS x, y + id % 47 AS y) FROM readings",
+    "jhh": f"SELECT x, y, m, t, unit AS u, avg(value) / any_value({DIVISOR}) AS v, count(*) AS n FROM jittered GROUP BY x, y, m, t, unit",
+    "jhh24": f"SELECT * FROM jhh WHERE t > {HOUR} - 24 AND m = 0",
+    "jday": f"SELECT * FROM jhh WHERE t BETWEEN {DAY_FIRST} AND {DAY_FIRST + 23} AND m = 0",
+    "jdd30": f"""SELECT x, y, m, t // 24 AS t, u, sum(v * n) / sum(n) AS v, sum(n) AS n FROM jhh
+      WHERE t // 24 > {DAY} - 30 AND m = 0 GROUP BY x, y, m, t // 24, u""",
+    "moves24": _nearby("SELECT x, y FROM jhh24 UNION SELECT x, y FROM jdd30", "jhh24"),
+    "moves_day": _nearby("SELECT DISTINCT x, y FROM jday", "jday"),
+    **{name: f"""SELECT to_x AS x, to_y AS y, m, t, u, sum(v * n) / sum(n) AS v, sum(n) AS n FROM {rows} JOIN {moves} USING (x, y)
+      GROUP BY to_x, to_y, m, t, u""" for name, rows, moves in (
+        ("shh24", "jhh24", "moves24"), ("sdd30", "jdd30", "moves24"), ("sday", "jday", "moves_day"))},
+    **{name: f"SELECT to_x AS x, to_y AS y, m, t, device_id FROM jittered JOIN {moves} USING (x, y)" for name, moves in (
+        ("seen24", "moves24"), ("seen_day", "moves_day"))},
     "stat_kv": f"""SELECT * FROM (SELECT id, device_id, created_at, k AS unit, {_float('txt')} AS value FROM kv
       WHERE k IN {_in(STAT_UNITS)}) WHERE value IS NOT NULL AND {_in_range('value', 'unit')}""",
     "mid": "SELECT max(event_id) // 2 AS mid FROM events",
@@ -236,9 +261,9 @@ LAT = "round(90 - 360 * atan(exp(-(0.5::DOUBLE - y / 2097152.0::DOUBLE) * 6.2831
 LON = "round(360 * (x / 2097152.0::DOUBLE - 0.5::DOUBLE), 6)"
 
 
-def _device_lists(condition: str) -> str:
+def _device_lists(condition: str, source: str = "readings") -> str:
     return (f"SELECT x, y, array_to_string(list_sort(list(DISTINCT device_id)), ',') AS device_ids "
-            f"FROM readings WHERE {condition} GROUP BY x, y")
+            f"FROM {source} WHERE {condition} GROUP BY x, y")
 
 
 def _summary(vs: str) -> str:
@@ -250,7 +275,7 @@ def _newest(vs: str) -> str:
             f"CASE WHEN {vs} IS NOT NULL THEN {vs}[1] IS NULL AND {vs}[2] IS NULL END AS is_offline")
 
 
-def _map_sql(hours: str, days: str, devices: str) -> str:
+def _map_sql(hours: str, days: str, devices: str, source: str = "readings") -> str:
     def part(vs, first, last, seconds, start):
         return (f"SELECT x, y, u, strftime(make_timestamp({start}::BIGINT * 1000000), {ISO}) AS start_date, "
                 f"strftime({NOW}, {ISO}) AS end_date, CAST({first} AS BIGINT) AS start_epoch_timepart, "
@@ -263,17 +288,17 @@ def _map_sql(hours: str, days: str, devices: str) -> str:
         both_series AS (SELECT h.x, h.y, h.u, h.vs AS vs_h, d.vs AS vs_d FROM hour_series h
           LEFT JOIN day_series d ON d.x = h.x AND d.y = h.y AND d.u = h.u)
         {part('vs_d', DAY - 29, DAY, 86400, (DAY - 29) * 86400)} UNION ALL {part('vs_h', HOUR - 23, HOUR, 3600, (HOUR - 23) * 3600)}) s
-      LEFT JOIN ({_device_lists(devices)}) l USING (x, y)"""
+      LEFT JOIN ({_device_lists(devices, source)}) l USING (x, y)"""
 
 
-def _daily_sql(anchor: int) -> str:
+def _daily_sql(anchor: int, hours: str = "hh_day", source: str = "readings") -> str:
     first, last = DAY_FIRST, DAY_FIRST + 23
     return f"""SELECT {LAT} AS lat, {LON} AS lon, device_ids, u AS unit, {SI} AS si, {MODEL} AS model,
         strftime(make_timestamp({first * 3600}::BIGINT * 1000000), {ISO}) AS start_date,
         strftime(make_timestamp({last * 3600 - 1}::BIGINT * 1000000), {ISO}) AS end_date, CAST({first} AS BIGINT) AS start_epoch_timepart,
         CAST({last} AS BIGINT) AS end_epoch_timepart, 3600 AS ss_per_epoch_timepart, {_summary('vs')}
-      FROM ({_slot_series('hh_day', anchor, D24)}) s
-      LEFT JOIN ({_device_lists(f't BETWEEN {first} AND {last} AND m = 0')}) l USING (x, y)"""
+      FROM ({_slot_series(hours, anchor, D24)}) s
+      LEFT JOIN ({_device_lists(f't BETWEEN {first} AND {last} AND m = 0', source)}) l USING (x, y)"""
 
 
 def _snapped(places: str, radius: int) -> str:
@@ -400,6 +425,8 @@ BODIES = {
     "map_24h_devtest": _map_sql("hh24_any", "dd30_any", f"t > {HOUR} - 24"),
     "map_24h_all_dates": _map_sql("hh_still", "dd_still", "m = 0"),
     "stream_map_24h": _map_sql("hh24", "dd30", f"t > {HOUR} - 24 AND m = 0"),
+    "map_24h_r26": _map_sql("shh24", "sdd30", f"t > {HOUR} - 24 AND m = 0", "seen24"),
+    "map_daily_r26": _daily_sql(DAY_HOUR, "sday", "seen_day"),
     "map_daily": _daily_sql(DAY_HOUR),
     "map_daily_from_start": _daily_sql(DAY_FIRST),
     "device_stats": "SELECT device_id, unit, round(v_min, 6) AS v_min, round(v_max, 6) AS v_max, round(v_val, 6) AS v_val, n, min_ts, max_ts FROM stats",

@@ -318,6 +318,22 @@ def reaggregate_snapped(spark, folder):
     return show_bins(bins.regroup(snapping.snap_bins(still, moves)))
 
 
+def _jittered(spark, folder) -> DataFrame:
+    """Accepted readings around their places, as GPS jitter puts them."""
+    rows, xyt = accepted(spark, folder), F.col("xyt")
+    x, y = (decode(xyt) + F.col("original_id") % most for decode, most in ((packing.decode_x, 61), (packing.decode_y, 47)))
+    return rows.withColumn("xyt", packing.with_xy(xyt, x, y))
+
+
+def map_24h_r26(spark, folder):
+    return map_reports.flat(map_reports.map_24h(*map_reports.report_inputs(_jittered(spark, folder)), NOW, radius=26))
+
+
+def map_daily_r26(spark, folder):
+    hours, _, pairs = map_reports.report_inputs(_jittered(spark, folder))
+    return map_reports.flat(map_reports.map_daily(hours, pairs, DAY_MOMENT, radius=26))
+
+
 # -- merges ----------------------------------------------------------------
 
 def _state_and_delta(spark, folder, build=bins.hourly_bins):
@@ -728,6 +744,7 @@ QUERIES = {
     "device_stats_report_written": device_stats_report_written,
     "dynamic_pivot": dynamic_pivot,
     "map_24h": map_24h, "map_24h_devtest": map_24h_devtest, "map_24h_all_dates": map_24h_all_dates,
+    "map_24h_r26": map_24h_r26, "map_daily_r26": map_daily_r26,
     "map_daily": map_daily, "map_daily_from_start": map_daily_from_start,
     "device_stats": device_stats_query, "merge_device_stats": merge_device_stats,
     "device_meta": device_meta, "dev_test_cleared": dev_test_cleared, "merge_device_meta": merge_device_meta,
