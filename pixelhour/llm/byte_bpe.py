@@ -33,11 +33,13 @@ from pixelhour.llm.words import cut_at_spaces
 #: White space as Unicode defines it; the regex module's \s also has \x1c to \x1f.
 _SPACE = r"\p{White_Space}"
 #: A slice has about so many characters, one text at least.
-SLICE_CHARS = 4 << 20
+SLICE_CHARS = 8 << 20
+#: Parts are counted over slices of about so many.
+COUNTED_CHARS = 16 << 20
 #: So many parts of at most so many characters are sent to all tasks.
 SHARED_PARTS, SHARED_CHARS = 1 << 18, 32
-#: A task remembers about so many parts of texts, of so many characters together.
-KNOWN, KNOWN_CHARS = 250_000, 8 << 20
+#: A Python worker remembers about so many parts of texts, of so many characters together.
+KNOWN, KNOWN_CHARS = 300_000, 8 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -226,7 +228,7 @@ def spread_parts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(part, n) of the parts (after a single space) that several slices of the texts have, n slices each."""
     def run(batches):
         for batch in batches:
-            for texts in text_slices(batch.column(0)):
+            for texts in text_slices(batch.column(0), COUNTED_CHARS):
                 found = set(chain.from_iterable(cut_at_spaces(t)[1:] for t in texts))
                 yield pa.record_batch([pa.array([p for p in found if len(p) <= SHARED_CHARS], pa.string())], ["part"])
 
@@ -251,13 +253,13 @@ def shared_ids(docs: DataFrame, rank_file: str, pattern: str, text: str = "text"
     return dict(zip(found["part"].tolist(), found["ids"].tolist(), strict=True))
 
 
-def text_slices(column: pa.Array) -> Iterator[list[str]]:
+def text_slices(column: pa.Array, most: int = 0) -> Iterator[list[str]]:
     """The texts (null: empty) in runs of bounded total length, one text at least."""
     run: list[str] = []
-    size = 0
-    for value in column:
-        text = value.as_py() or ""
-        if run and size + len(text) > SLICE_CHARS:
+    size, most = 0, most or SLICE_CHARS
+    for text in column.to_pylist():
+        text = text or ""
+        if run and size + len(text) > most:
             yield run
             run, size = [], 0
         run.append(text)
@@ -282,7 +284,6 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", in
             ends = np.cumsum([0, *map(len, coded)]) // 4
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), "<i4"), pa.int32()))
             yield pa.record_batch([*[batch.column(c) for c in columns], ids], [*columns, into])
-        coder.forget()
 
     rows = docs.select(columns)
     return rows.mapInArrow(run, rows.limit(0).selectExpr("*", f"cast(null as array<int>) as {into}").schema)
@@ -319,7 +320,6 @@ def digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
-        coder.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

