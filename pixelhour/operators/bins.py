@@ -118,16 +118,47 @@ def devices_of_bins(readings: DataFrame, bins: DataFrame) -> DataFrame:
     return pairs.join(bins.select("xyt"), "xyt", "left_semi")
 
 
+def device_words(pairs: DataFrame) -> DataFrame:
+    """x, y, word, bits: the devices of each place as a set of bits, 64 neighbouring ids in a row, from xyt/device pairs.
+
+    A set is merged by :func:`merge_words`. Building one is a hash aggregation of
+    long numbers, combined before its shuffle, so a place seen by very many devices
+    costs a row for each 64 of them and no list.
+    """
+    device = F.col("device_id")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), device.bitwiseAND(F.lit(63)).cast("int"))
+    return merge_words(pairs.filter(device.isNotNull()).select(
+        packing.decode_x(F.col("xyt")).alias("x"), packing.decode_y(F.col("xyt")).alias("y"),
+        F.shiftright(device.cast("long"), 6).alias("word"), bit.alias("bits"),
+    ))
+
+
+def merge_words(words: DataFrame) -> DataFrame:
+    """Sets of several sources as one."""
+    return words.groupBy("x", "y", "word").agg(F.bit_or("bits").alias("bits"))
+
+
+def _ids(word: Column, bits: Column) -> Column:
+    """The ids of a word's set bits, ascending."""
+    places = F.filter(
+        F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftright", bits, i).bitwiseAND(F.lit(1)) == 1,
+    )
+    return F.transform(places, lambda i: F.shiftleft(word, 6) + i)
+
+
+def devices_of_words(words: DataFrame) -> DataFrame:
+    """x, y, device_id: a row for each device of a place."""
+    return words.select("x", "y", F.explode(_ids(F.col("word"), F.col("bits"))).alias("device_id"))
+
+
 def devices_of_places(pairs: DataFrame) -> DataFrame:
-    """x, y, device_ids (distinct, ascending) from xyt/device pairs.
+    """x, y, device_ids (distinct, ascending) from xyt/device pairs, for the document of a place.
 
-    Duplicates go first, in a plain hash aggregation that can spill; the list
-    then holds each device of a place once.
+    Words of bits are gathered, and opened when the place is complete.
     """
-    places = pairs.select(
-        packing.decode_x(F.col("xyt")).alias("x"), packing.decode_y(F.col("xyt")).alias("y"), "device_id"
-    ).distinct()
-    return places.groupBy("x", "y").agg(F.sort_array(F.collect_list("device_id")).alias("device_ids"))
+    gathered = device_words(pairs).groupBy("x", "y").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("words"))
+    ids = F.flatten(F.transform("words", lambda w: _ids(w["word"], w["bits"])))
+    return gathered.select("x", "y", ids.alias("device_ids"))
 
 
 def epoch_day(xyt: Column) -> Column:

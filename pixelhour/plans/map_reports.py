@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -127,6 +127,37 @@ def report_inputs(readings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     return hourly, bins.daily_rollup(hourly), kept.select("xyt", "device_id")
 
 
+def inputs_24h(readings: DataFrame, now: datetime) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """:func:`report_inputs` of what the standard report looks at, so that no older bin is written.
+
+    Its 30 days begin before its 24 hours; devices are kept apart in those hours only.
+    """
+    hour, t = reference_hour(now), packing.decode_t(F.col("xyt"))
+    inside = readings.filter(t >= (hour // 24 - 29) * bins.HOURS_PER_DAY)
+    seen = F.when(t > hour - bins.HOURS_PER_DAY, F.col("device_id"))
+    hourly, daily, pairs = report_inputs(inside.withColumn("device_id", seen))
+    return hourly, daily, pairs.filter(F.col("device_id").isNotNull())
+
+
+def inputs_of_days(readings: DataFrame, moment: datetime, days: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Hour bins and pairs of the calendar day of ``moment`` and the days before it, ``days`` in all."""
+    first = (reference_hour(moment) // 24 - days + 1) * bins.HOURS_PER_DAY
+    t = packing.decode_t(F.col("xyt"))
+    hourly, _, pairs = report_inputs(readings.filter(t.between(first, first + days * bins.HOURS_PER_DAY - 1)))
+    return hourly, pairs
+
+
+def map_two_days(readings: DataFrame, now: datetime, **options) -> list[tuple[date, DataFrame]]:
+    """The daily reports of yesterday and today, with their dates: one pass over the readings for both.
+
+    Write each with ``writers.write_daily_report``. ``options`` are those of :func:`map_daily`.
+    """
+    hourly, pairs = inputs_of_days(readings, now, 2)
+    moments = [now - timedelta(days=1), now]
+    dates = [date(1970, 1, 1) + timedelta(days=reference_hour(m) // 24) for m in moments]
+    return [(d, map_daily(hourly, pairs, m, **options)) for d, m in zip(dates, moments, strict=True)]
+
+
 def map_24h_from_state(spark: SparkSession, root: str, now: datetime, test_filter: bool = True) -> DataFrame:
     """The standard report over streamed state, reading the partitions of its windows, which have no upper end."""
     hour = reference_hour(now)

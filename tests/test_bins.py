@@ -133,6 +133,22 @@ def test_snapping_a_quiet_cell_among_busy_ones(spark, monkeypatch):
     assert max(met.values()) <= 8 * 26 and sum(met.values()) < 40 * len(places), (max(met.values()), sum(met.values()))
 
 
+def test_devices_of_a_very_busy_place(spark):
+    """100,000 devices at one place, and ids far apart, negative or missing at another."""
+    busy, other = (packing.pack(*[F.lit(v).cast("long") for v in (x, 9, 0, 400000)]) for x in (5, 6))
+    pairs = spark.range(200_000).select(busy.alias("xyt"), (F.col("id") % 100_000 * 3).alias("device_id"))
+    ids = [2**62, -5, 0, 63, 64, None, -64, -5]
+    pairs = pairs.union(spark.createDataFrame([(i,) for i in ids], "device_id long").select(other.alias("xyt"), "device_id"))
+    words = bins.device_words(pairs)
+    assert words.filter("x = 5").count() == 300_000 // 64 + 1
+    again = bins.merge_words(words.union(words))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, words.collect()))
+    rows = bins.devices_of_words(words)
+    assert rows.filter("x = 5").select("device_id").distinct().count() == rows.filter("x = 5").count() == 100_000
+    lists = {r["x"]: r["device_ids"] for r in bins.devices_of_places(pairs).collect()}
+    assert lists == {5: list(range(0, 300_000, 3)), 6: [-64, -5, 0, 63, 64, 2**62]}
+
+
 def test_snapped_bins_add_up(spark):
     hours = bins.hourly_bins(reading_rows(spark))
     moved = bins.regroup(snapping.snap_bins(hours, snapping.targets(bins.density(hours), 26)))

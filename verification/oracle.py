@@ -122,6 +122,7 @@ CTES = {
     "hh24_any": f"SELECT * REPLACE (v / d AS v) FROM hhu WHERE t > {HOUR} - 24",
     "hh_still": "SELECT * REPLACE (v / d AS v) FROM hhu WHERE m = 0",
     "hh_day": f"SELECT * REPLACE (v / d AS v) FROM hhu WHERE t BETWEEN {DAY_FIRST} AND {DAY_FIRST + 23} AND m = 0",
+    "hh_day_before": f"SELECT * REPLACE (v / d AS v) FROM hhu WHERE t BETWEEN {DAY_FIRST - 24} AND {DAY_FIRST - 1} AND m = 0",
     "dd30": f"SELECT * REPLACE (v / d AS v) FROM ddu WHERE t > {DAY} - 30 AND m = 0",
     "dd30_any": f"SELECT * REPLACE (v / d AS v) FROM ddu WHERE t > {DAY} - 30",
     "dd_still": "SELECT * REPLACE (v / d AS v) FROM ddu WHERE m = 0",
@@ -291,8 +292,9 @@ def _map_sql(hours: str, days: str, devices: str, source: str = "readings") -> s
       LEFT JOIN ({_device_lists(devices, source)}) l USING (x, y)"""
 
 
-def _daily_sql(anchor: int, hours: str = "hh_day", source: str = "readings") -> str:
-    first, last = DAY_FIRST, DAY_FIRST + 23
+def _daily_sql(anchor: int, hours: str = "hh_day", source: str = "readings", first: int | None = None) -> str:
+    first = DAY_FIRST if first is None else first
+    last = first + 23
     return f"""SELECT {LAT} AS lat, {LON} AS lon, device_ids, u AS unit, {SI} AS si, {MODEL} AS model,
         strftime(make_timestamp({first * 3600}::BIGINT * 1000000), {ISO}) AS start_date,
         strftime(make_timestamp({last * 3600 - 1}::BIGINT * 1000000), {ISO}) AS end_date, CAST({first} AS BIGINT) AS start_epoch_timepart,
@@ -418,6 +420,9 @@ BODIES = {
       round(list_filter(vs, lambda q: q IS NOT NULL)[-1], 6) AS v_newest, vs[1] IS NULL AND vs[2] IS NULL AS offline_oldest,
       vs[24] IS NULL AND vs[23] IS NULL AS offline_latest, {_text('list_reverse(vs)')} AS reversed
       FROM ({_slot_series('hh24', HOUR, H24)})""",
+    "pivot_cells": """SELECT device_id, string_agg(unit || '=' || n, ',' ORDER BY unit) AS cells
+      FROM (SELECT device_id, unit, count(*) AS n FROM readings GROUP BY device_id, unit) GROUP BY device_id""",
+    "map_two_days": f"{_daily_sql(DAY_HOUR - 24, 'hh_day_before', 'readings', DAY_FIRST - 24)} UNION ALL {_daily_sql(DAY_HOUR)}",
     "dynamic_pivot": "SELECT device_id, " + ", ".join(
         f"nullif(count(*) FILTER (unit = '{u}'), 0) AS {u}" for u in ("env_temp", "lnd_7128ec", "lnd_7318u", "opc_pm02_5")
     ) + " FROM readings GROUP BY device_id",

@@ -326,11 +326,11 @@ def _jittered(spark, folder) -> DataFrame:
 
 
 def map_24h_r26(spark, folder):
-    return map_reports.flat(map_reports.map_24h(*map_reports.report_inputs(_jittered(spark, folder)), NOW, radius=26))
+    return map_reports.flat(map_reports.map_24h(*map_reports.inputs_24h(_jittered(spark, folder), NOW), NOW, radius=26))
 
 
 def map_daily_r26(spark, folder):
-    hours, _, pairs = map_reports.report_inputs(_jittered(spark, folder))
+    hours, pairs = map_reports.inputs_of_days(_jittered(spark, folder), DAY_MOMENT)
     return map_reports.flat(map_reports.map_daily(hours, pairs, DAY_MOMENT, radius=26))
 
 
@@ -385,8 +385,7 @@ def incremental_by_ts(spark, folder):
 
 def accepted_candidates(spark, folder):
     """Candidates that contributed at least one reading."""
-    candidates = raw(spark, folder).select(F.col("id").alias("original_id"))
-    return candidates.join(accepted(spark, folder), "original_id").select("original_id", "xyt", "unit").distinct()
+    return accepted(spark, folder).select("original_id", "xyt", "unit").distinct()
 
 
 # -- series and reports ----------------------------------------------------
@@ -431,8 +430,16 @@ def dynamic_pivot(spark, folder):
     return shaping.pivot(rows, "device_id", "unit", "n", ["env_temp", "lnd_7128ec", "lnd_7318u", "opc_pm02_5"])
 
 
+def pivot_cells(spark, folder):
+    """The pivot over all units the data has, a map for each device."""
+    rows = accepted(spark, folder).groupBy("device_id", "unit").agg(F.count(F.lit(1)).alias("n"))
+    cells = F.transform(F.map_entries("cells"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    return shaping.pivot_to_map(rows, "device_id", "unit", "n").select("device_id", F.array_join(F.sort_array(cells), ",").alias("cells"))
+
+
 def _map(spark, folder, date_filter=True, test_filter=True, radius=0):
-    inputs = map_reports.report_inputs(accepted(spark, folder))
+    rows = accepted(spark, folder)
+    inputs = map_reports.inputs_24h(rows, NOW) if date_filter else map_reports.report_inputs(rows)
     return map_reports.flat(map_reports.map_24h(*inputs, NOW, date_filter, test_filter, radius))
 
 
@@ -449,10 +456,19 @@ def map_24h_all_dates(spark, folder):
 
 
 def map_daily(spark, folder, anchor="reference"):
-    hours, _, pairs = map_reports.report_inputs(accepted(spark, folder))
+    hours, pairs = map_reports.inputs_of_days(accepted(spark, folder), DAY_MOMENT)
     return map_reports.flat(map_reports.map_daily(hours, pairs, DAY_MOMENT, anchor=anchor))
 
 
+def map_two_days(spark, folder):
+    """Both reports of one run, written by date and read back."""
+    path = work_dir(prepare(spark), "two-days")
+    for day, report in map_reports.map_two_days(accepted(spark, folder), DAY_MOMENT):
+        writers.write_daily_report(report, path, day)
+        schema = report.schema
+    return map_reports.flat(spark.read.schema(schema).json(path))
+
+
 def map_daily_from_start(spark, folder):
     return map_daily(spark, folder, "start")
 
@@ -742,7 +758,7 @@ QUERIES = {
     "series_24h": series_24h, "series_30d": series_30d, "series_day": series_day,
     "series_devtest": series_devtest, "series_summary": series_summary, "map_24h_written": map_24h_written, "map_daily_written": map_daily_written,
     "device_stats_report_written": device_stats_report_written,
-    "dynamic_pivot": dynamic_pivot,
+    "dynamic_pivot": dynamic_pivot, "pivot_cells": pivot_cells, "map_two_days": map_two_days,
     "map_24h": map_24h, "map_24h_devtest": map_24h_devtest, "map_24h_all_dates": map_24h_all_dates,
     "map_24h_r26": map_24h_r26, "map_daily_r26": map_daily_r26,
     "map_daily": map_daily, "map_daily_from_start": map_daily_from_start,
