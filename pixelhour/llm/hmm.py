@@ -3,7 +3,8 @@
 Tokens are lower-cased words and one end. Every word of the training texts is
 counted. The ``CORE`` most frequent words are symbols of their own; any other word
 is the symbol of its class (a hash of its first and last letters), within which it
-is drawn by its smoothed count. Latent states emit symbols. Baum-Welch passes run
+is drawn by its smoothed count. Latent states emit symbols. They start from a
+mixture over all training texts, fitted in distributed rounds; Baum-Welch passes run
 over all training tokens, in segments, and add up expected counts across
 partitions; a text's score is the exact scaled forward recursion over all of it.
 
@@ -14,6 +15,7 @@ table, the rest in a join.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,9 +32,9 @@ KNOWN = 1 << 18
 STATES = 8
 SEGMENT = 128
 PASSES = 2
-#: The states start from a mixture fitted to so many training texts (those with the smallest hashed ids).
-START_TEXTS = 2000
-START_ROUNDS = 12
+#: The states start from a mixture of unigrams over all training texts: at most so many rounds, fewer where the
+#: likelihood changes by less than this share.
+START_ROUNDS, SETTLED = 8, 5e-4
 SEED = 20240131
 ADD = 0.1
 STICKY = 0.9
@@ -223,21 +225,76 @@ def estimated(starts, moves, emissions, shares: np.ndarray) -> Hmm:
     return Hmm((starts + ADD) / (starts + ADD).sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def _started(texts: list[np.ndarray], shares: np.ndarray) -> Hmm:
-    """States from a mixture of unigrams over whole texts."""
-    draw = np.random.Generator(np.random.PCG64(SEED))
+def mixed(emit: np.ndarray, prior: np.ndarray, texts: list[np.ndarray], seeds: np.ndarray | None = None) -> np.ndarray:
+    """One round of a mixture of unigrams over whole texts: their log likelihood, then the states' expected texts and emissions.
+
+    With ``seeds`` (a number for each text) the texts' first shares in the states
+    are drawn from these instead of computed.
+    """
     owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     flat = np.concatenate(texts) if texts else np.zeros(0, np.int64)
-    weight = draw.dirichlet(np.full(STATES, 0.3), len(texts))
-    for _ in range(START_ROUNDS + 1):
-        emit = np.stack([np.bincount(flat, weight[owner, s], SYMBOLS) for s in range(STATES)], 1)
-        emit = emit + _weight(emit) * shares[:, None]
-        emit /= emit.sum(axis=0)
-        log = np.log(emit)
-        score = np.stack([np.bincount(owner, log[flat, s], len(texts)) for s in range(STATES)], 1)
-        score += np.log(weight.mean(axis=0) + 1e-6) if len(texts) else 0
-        weight = np.exp(score - score.max(axis=1, keepdims=True)) if len(texts) else weight
+    if seeds is not None:
+        draws = mix(seeds[:, None] * np.uint64(STATES) + np.arange(STATES, dtype=np.uint64) + np.uint64(SEED))
+        weight, gain = ((draws >> np.uint64(11)) / float(1 << 53)) ** 4 + 1e-9, 0.0  # uneven, so that states part
         weight /= weight.sum(axis=1, keepdims=True)
+    else:
+        log = np.log(emit)
+        value = np.stack([np.bincount(owner, log[flat, s], len(texts)) for s in range(STATES)], 1) + np.log(prior)
+        top = value.max(axis=1, keepdims=True)
+        weight = np.exp(value - top)
+        total = weight.sum(axis=1, keepdims=True)
+        weight, gain = weight / total, float((np.log(total) + top).sum())
+    emissions = np.stack([np.bincount(flat, weight[owner, s], SYMBOLS) for s in range(STATES)], 1)
+    return np.concatenate([[gain], weight.sum(axis=0), emissions.ravel()])
+
+
+def _summed(coded: DataFrame, counts, size: int) -> np.ndarray:
+    """The sum of ``counts(texts, their seeds)`` over all rows, added up by place across partitions."""
+    def run(batches):
+        """Rows (place, n), rounded to whole multiples of 1 / FIXED."""
+        sums = np.zeros(size)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                values = [x.as_py() for x in batch.column("symbols").slice(at, 500)]
+                sums += counts([_symbols(v) for v in values], np.array([zlib.crc32(v) for v in values], np.uint64))
+        whole = np.round(sums * FIXED).astype(np.int64)
+        place = np.flatnonzero(whole)
+        yield pa.record_batch([pa.array(place), pa.array(whole[place])], ["place", "n"])
+
+    # As many rows as the model has numbers, whatever the corpus.
+    found = fetched(coded.select("symbols").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")))
+    sums = np.zeros(size)
+    sums[found["place"].astype(np.int64)] = found["n"] / FIXED
+    return sums
+
+
+def _settled(before: float, now: float) -> bool:
+    return abs(now - before) <= SETTLED * abs(now)
+
+
+def _started(coded: DataFrame, shares: np.ndarray) -> Hmm:
+    """States from a mixture of unigrams over all training texts.
+
+    Rounds go over the whole table until the likelihood settles. The first shares
+    of a text are drawn from a hash of it, so copies begin alike.
+    """
+    spark = coded.sparkSession
+    emit, prior, before = None, None, -np.inf
+    for turn in range(START_ROUNDS + 1):
+        shared = spark.sparkContext.broadcast((emit, prior))
+
+        def counts(texts, seeds, shared=shared, first=turn == 0):
+            return mixed(*shared.value, texts, seeds if first else None)
+
+        sums = _summed(coded, counts, 1 + STATES + SYMBOLS * STATES)
+        shared.unpersist()
+        if turn and _settled(before, sums[0]):
+            break
+        before = sums[0] if turn else before
+        prior = (sums[1: 1 + STATES] + 1) / (sums[1: 1 + STATES] + 1).sum()
+        emissions = sums[1 + STATES:].reshape(SYMBOLS, STATES)
+        emit = emissions + _weight(emissions) * shares[:, None]
+        emit /= emit.sum(axis=0)
     move = np.full((STATES, STATES), (1 - STICKY) / (STATES - 1)) + np.eye(STATES) * (STICKY - (1 - STICKY) / (STATES - 1))
     return Hmm(np.full(STATES, 1 / STATES), move, emit)
 
@@ -249,30 +306,17 @@ def _symbols(value: bytes) -> np.ndarray:
 def baum_welch(coded: DataFrame, known: Vocabulary, passes: int = PASSES) -> Hmm:
     """Train on the rows of ``coded`` (doc_id, symbols)."""
     spark, shares = coded.sparkSession, known.symbol_shares()
-    sample = coded.orderBy(F.xxhash64("doc_id"), "symbols").limit(START_TEXTS).select("symbols").collect()
-    model = _started([_symbols(bytes(r[0])) for r in sample], shares)
+    model = _started(coded, shares)
+    ends = STATES + STATES * STATES
     for _ in range(passes):
         shared = spark.sparkContext.broadcast(model)
 
-        def run(batches, shared=shared):
-            """Rows (place, n): place below STATES is a start, then moves, then emissions."""
-            sums = np.zeros(STATES + STATES * STATES + SYMBOLS * STATES)
-            for batch in batches:
-                for at in range(0, batch.num_rows, 500):
-                    texts = [_symbols(x.as_py()) for x in batch.column("symbols").slice(at, 500)]
-                    for part in segments(texts):
-                        sums += np.concatenate([x.ravel() for x in expected(shared.value, *part)])
-            whole = np.round(sums * FIXED).astype(np.int64)
-            place = np.flatnonzero(whole)
-            yield pa.record_batch([pa.array(place), pa.array(whole[place])], ["place", "n"])
-
-        found = fetched(coded.select("symbols").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")))
-        sums = np.zeros(STATES + STATES * STATES + SYMBOLS * STATES)
-        sums[found["place"].astype(np.int64)] = found["n"] / FIXED
-        model = estimated(
-            sums[:STATES], sums[STATES: STATES + STATES * STATES].reshape(STATES, STATES),
-            sums[STATES + STATES * STATES:].reshape(SYMBOLS, STATES), shares,
-        )
+        def counts(texts, _, shared=shared):
+            parts = [np.concatenate([x.ravel() for x in expected(shared.value, *part)]) for part in segments(texts)]
+            return sum(parts, np.zeros(ends + SYMBOLS * STATES))
+
+        sums = _summed(coded, counts, ends + SYMBOLS * STATES)
+        model = estimated(sums[:STATES], sums[STATES:ends].reshape(STATES, STATES), sums[ends:].reshape(SYMBOLS, STATES), shares)
         shared.unpersist()
     return model
 
@@ -300,7 +344,8 @@ def score(docs: DataFrame, held_out, text: str = "text") -> DataFrame:
 
     def forward(batches):
         for batch in batches:
-            value = model.value.log10_likelihoods([_symbols(x.as_py()) for x in batch.column("symbols")])
+            texts = [_symbols(x.as_py()) for x in batch.column("symbols")]
+            value = np.concatenate([model.value.log10_likelihoods(texts[at: at + 500]) for at in range(0, max(1, len(texts)), 500)])
             kept = [c for c in batch.schema.names if c != "symbols"]
             yield pa.record_batch([*[batch.column(c) for c in kept], pa.array(value)], [*kept, "states"])
 

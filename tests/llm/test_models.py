@@ -192,3 +192,32 @@ def test_quality_repeated_id(spark):
         {r["doc_id"]: r["score"] for r in quality.score(asked, quality.train(docs, labels, 5)).collect()} for docs in (asked, hot)
     )
     assert want == got and want[1] > want[0]
+
+
+def test_mixture_round_equals_plain_counts():
+    draw = np.random.default_rng(4)
+    texts = [np.array(t) for t in ([0, 1, 1], [2], [1, 2, 0, 0])]
+    emit = np.full((hmm.SYMBOLS, hmm.STATES), 1e-3)
+    emit[:3] = draw.dirichlet(np.ones(3), hmm.STATES).T
+    prior = draw.dirichlet(np.ones(hmm.STATES))
+    got = hmm.mixed(emit, prior, texts)
+    likelihood, states, emissions = 0.0, np.zeros(hmm.STATES), np.zeros((hmm.SYMBOLS, hmm.STATES))
+    for t in texts:
+        joint = np.array([prior[s] * math.prod(emit[x, s] for x in t) for s in range(hmm.STATES)])
+        likelihood += math.log(joint.sum())
+        states += joint / joint.sum()
+        for x in t:
+            emissions[x] += joint / joint.sum()
+    assert math.isclose(got[0], likelihood)
+    assert np.allclose(got[1: 1 + hmm.STATES], states) and np.allclose(got[1 + hmm.STATES:].reshape(emissions.shape), emissions)
+    first = hmm.mixed(None, None, texts, np.array([5, 5, 9], np.uint64))
+    assert math.isclose(first[1: 1 + hmm.STATES].sum(), 3) and first[0] == 0
+
+
+def test_model_does_not_depend_on_partitions(spark):
+    docs = documents(spark, SMALL).limit(120).cache()
+    scores = [
+        sorted((r["doc_id"], r["score"]) for r in hmm.score(docs.repartition(n, "doc_id"), remainder("doc_id", 10) == 0).collect())
+        for n in (2, 5)
+    ]
+    assert np.allclose([s for _, s in scores[0]], [s for _, s in scores[1]], rtol=1e-6)
