@@ -143,6 +143,35 @@ def after_id(measurements: DataFrame, high_water: int | Column | None) -> DataFr
     return measurements.filter(F.col("id") > F.coalesce(mark, F.lit(0)))
 
 
+def seen_ids(ids: DataFrame) -> DataFrame:
+    """The set of ids already taken, as bits: word, bits, a row for 64 neighbouring ids.
+
+    A high-water mark loses an id that is committed late, below the mark; this set
+    does not. It is built by a hash aggregation of two longs, and sets are merged
+    by building one of both: a run adds the words it took.
+    """
+    number = F.col("id").cast("long")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), number.bitwiseAND(F.lit(63)).cast("int"))
+    return merge_seen(ids.filter(number.isNotNull()).select(F.shiftright(number, 6).alias("word"), bit.alias("bits")))
+
+
+def merge_seen(words: DataFrame) -> DataFrame:
+    return words.groupBy("word").agg(F.bit_or("bits").alias("bits"))
+
+
+def not_seen(measurements: DataFrame, seen: DataFrame) -> DataFrame:
+    """Incremental candidates by id, gaps included: the rows whose id is not in the set.
+
+    An equality join on the ids' words, so both sides are read once and neither is
+    collected. Rows without an id can never be marked and are left out.
+    """
+    word, number = F.shiftright(F.col("id").cast("long"), 6), F.col("id").cast("long")
+    known = seen.select(F.col("word").alias("seen_word"), F.col("bits").alias("seen_bits"))
+    joined = measurements.filter(F.col("id").isNotNull()).join(known, word == F.col("seen_word"), "left")
+    taken = F.call_function("shiftright", F.coalesce("seen_bits", F.lit(0).cast("long")), number.bitwiseAND(F.lit(63)).cast("int"))
+    return joined.filter(taken.bitwiseAND(F.lit(1)) == 0).select(*[measurements[c] for c in measurements.columns])
+
+
 def after_time(measurements: DataFrame, high_water: datetime | Column | None) -> DataFrame:
     """Incremental candidates by arrival: strictly later than the last arrival counted."""
     if isinstance(high_water, datetime):

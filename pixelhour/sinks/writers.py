@@ -77,6 +77,25 @@ def compact_year(spark: SparkSession, daily_root: str, yearly_root: str, year: i
     )
 
 
+def retire_year(spark: SparkSession, daily_root: str, yearly_root: str, year: int) -> list[date]:
+    """Delete a year's daily datasets, once the yearly one has as many rows of every day, and return their dates.
+
+    A day that the yearly dataset lacks, or has other rows of, is an error, and
+    nothing is deleted. A year that is gone already is no error. Other years'
+    files are not touched.
+    """
+    daily = documents.of_year(spark.read.parquet(daily_root), year).groupBy("index_date").agg(F.count(F.lit(1)).alias("n"))
+    kept = spark.read.parquet(yearly_root).filter(F.col("year") == year).groupBy("index_date").agg(F.count(F.lit(1)).alias("kept"))
+    # At most 366 rows.
+    days = daily.join(kept, "index_date", "left").orderBy("index_date").collect()
+    if missing := [str(r["index_date"]) for r in days if r["n"] != r["kept"]]:
+        raise ValueError(f"not compacted yet: {', '.join(missing)}")
+    for r in days:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{daily_root}/index_date={r['index_date']}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return [r["index_date"] for r in days]
+
+
 def monthly_rows(table: DataFrame, gte: datetime, lte: datetime, time_col: str = "service_uploaded") -> DataFrame:
     """Rows of the whole months touched by [gte, lte], with their ``month`` (first day).
 

@@ -1,6 +1,7 @@
 import json
 from datetime import date, datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from pixelhour.functions import guards
@@ -119,3 +120,22 @@ def test_compaction_and_retention(spark, tmp_path):
     assert got == {2023: 120, 2024: 80}
     left = documents.without_year(spark.read.parquet(daily), 2023)
     assert left.count() == 80 and left.agg(F.min("index_date")).first()[0] == date(2024, 1, 1)
+
+
+def test_retired_year(spark, tmp_path):
+    daily, yearly = str(tmp_path / "daily"), str(tmp_path / "yearly")
+    rows = spark.range(40).select("id", F.date_add(F.lit("2023-12-20").cast("date"), (F.col("id") % 20).cast("int")).alias("index_date"))
+    writers.write_daily_documents(rows, daily, 0)
+    files = lambda: {p.name: p.stat().st_mtime_ns for p in (tmp_path / "daily").glob("index_date=2024*/*/*.parquet")}
+    before = files()
+    writers.compact_year(spark, daily, yearly, 2023)
+    writers.write_daily_documents(rows.limit(1), daily, 1)  # a day that grew since
+    with pytest.raises(ValueError, match="2023-12-20"):
+        writers.retire_year(spark, daily, yearly, 2023)
+    assert spark.read.parquet(daily).count() == 41
+    writers.compact_year(spark, daily, yearly, 2023)
+    assert len(writers.retire_year(spark, daily, yearly, 2023)) == 12
+    assert writers.retire_year(spark, daily, yearly, 2023) == []
+    left = spark.read.parquet(daily)
+    assert left.count() == 16 and left.filter("year(index_date) <> 2024").isEmpty()
+    assert files() == before and spark.read.parquet(yearly).count() == 25

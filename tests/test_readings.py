@@ -150,3 +150,14 @@ def test_feed_drops_no_row(spark):
     events = event_feed.events(spark, MEDIUM)
     for build in (event_feed.measurements, event_feed.posts, event_feed.legacy_measurements, event_feed.service_payloads):
         assert build(events).filter(F.col("payload").isNotNull()).count() == events.count()
+
+
+def test_ids_committed_late_are_not_lost(spark):
+    rows = spark.createDataFrame([(i, "x") for i in (-70, -1, 0, 1, 63, 64, 2**62, None)], "id long, device string")
+    seen = readings.seen_ids(rows.filter("id in (-1, 0, 63)"))
+    ids = lambda df: sorted(r["id"] for r in df.collect())
+    assert ids(readings.not_seen(rows, seen)) == [-70, 1, 64, 2**62]
+    more = readings.merge_seen(seen.union(readings.seen_ids(rows.filter("id in (1, -70)"))))
+    left = readings.not_seen(rows, more)
+    assert ids(left) == [64, 2**62] and left.columns == ["id", "device"]
+    assert ids(readings.not_seen(rows, seen.limit(0))) == [-70, -1, 0, 1, 63, 64, 2**62]

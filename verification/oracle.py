@@ -409,6 +409,7 @@ BODIES = {
       FROM hh h LEFT JOIN delta d ON d.xyt = h.xyt AND d.u = h.u""",
     "incremental_candidates": """SELECT id, device_id, created_at FROM m
       WHERE id > coalesce((SELECT max(id) FROM readings WHERE id <= (SELECT mid FROM mid)), 0)""",
+    "incremental_gaps": "SELECT id, device_id, created_at FROM m WHERE id > (SELECT mid FROM mid) OR id % 97 = 5",
     "incremental_by_ts": """SELECT id, device_id, created_at FROM m
       WHERE created_at > (SELECT max(created_at) FROM stat_kv WHERE id <= (SELECT mid FROM mid))""",
     "accepted_candidates": "SELECT DISTINCT id AS original_id, xyt, unit FROM readings",

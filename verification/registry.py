@@ -377,6 +377,12 @@ def incremental_candidates(spark, folder):
     return readings.after_id(raw(spark, folder), mark).select("id", "device_id", "created_at")
 
 
+def incremental_gaps(spark, folder):
+    """The second load, and rows of the first that were committed after its run."""
+    first, _ = two_loads(spark, folder)
+    return readings.not_seen(raw(spark, folder), readings.seen_ids(first.filter("id % 97 <> 5"))).select("id", "device_id", "created_at")
+
+
 def incremental_by_ts(spark, folder):
     first, _ = two_loads(spark, folder)
     mark = device_stats.device_stats(first).agg(F.max("max_ts")).scalar()
@@ -628,8 +634,11 @@ def yearly_compaction_counts(spark, folder):
 
 
 def retention_remaining(spark, folder):
-    daily_rows = spark.read.parquet(_daily_dataset(spark, folder))
-    return documents.without_year(daily_rows, 2023).groupBy(F.col("index_date").cast("string").alias("index_date")).agg(
+    """What is left in the folder once 2023 is compacted and its daily datasets are deleted."""
+    source, target = _daily_dataset(spark, folder), work_dir(spark, "yearly")
+    writers.compact_year(spark, source, target, 2023)
+    writers.retire_year(spark, source, target, 2023)
+    return spark.read.parquet(source).groupBy(F.col("index_date").cast("string").alias("index_date")).agg(
         F.count(F.lit(1)).alias("n")
     )
 
@@ -753,6 +762,7 @@ QUERIES = {
     "reaggregate_snapped": reaggregate_snapped,
     "merge_hourly": merge_hourly, "merge_daily": merge_daily, "merge_new_bins": merge_new_bins,
     "combined_mean": combined_mean, "merge_touch": merge_touch,
+    "incremental_gaps": incremental_gaps,
     "incremental_candidates": incremental_candidates, "incremental_by_ts": incremental_by_ts,
     "accepted_candidates": accepted_candidates,
     "series_24h": series_24h, "series_30d": series_30d, "series_day": series_day,
