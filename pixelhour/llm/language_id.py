@@ -282,10 +282,16 @@ def predict(docs: DataFrame, model: Model, columns: list[str] | None = None) ->
     first in alphabetical order wins a tie). A text that is null or has no letter
     gets ``und`` and 0, as does every text where nothing was learnt.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model.cache)
     columns = [c for c in (docs.columns if columns is None else columns) if c not in ("lang_pred", "score")]
+    given = {f"given{i}": c for i, c in enumerate(columns)}  # names that no other column has
+    plain = docs.select(*[F.col(f"`{c}`").alias(name) for name, c in given.items()], "text")
+    return _predicted(plain, model, list(given)).toDF(*columns, "lang_pred", "score")
+
+
+def _predicted(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(model.cache)
     languages = list(model.languages)
-    rows = docs.select(*dict.fromkeys([*columns, "text"])).withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    rows = docs.withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     schema = rows.limit(0).select(*columns, "_letters", F.lit(0).cast("long").alias("_row"), F.lit(b"").alias("_scores"), F.lit(None).cast("string").alias("_others")).schema
     begun = written(rows.withColumn("_row", F.monotonically_increasing_id()).mapInArrow(_begun(shared, columns, len(languages)), schema), "language-rows")
     added = [f"t{k}" for k in range(len(languages))]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelhour.llm.common import documents, saved, text_or_empty
+from pixelhour.llm.common import documents, private, saved, text_or_empty
 from pixelhour.llm.words import mix, slices
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -196,18 +196,19 @@ def mixed_texts(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     alike in doc_id and text share their other columns.
     """
     made = mix_sources(docs, text, **options)
+    taken, its_id, its_hash, own_hash = (private(name, docs) for name in ("_pieces", "_taken_id", "_taken_hash", "_hash"))
     runs = made.pieces.groupBy("doc_id", "text_hash", "source_no", "at", "pass_no").agg(
-        F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("_pieces"),
-    ).select(F.col("doc_id").alias("_taken_id"), F.col("text_hash").alias("_taken_hash"), "_pieces")
-    texts = docs.withColumn("_hash", F.xxhash64(text_or_empty(text))).dropDuplicates(["doc_id", "_hash"])
-    joined = texts.join(runs, texts["doc_id"].eqNullSafe(runs["_taken_id"]) & (texts["_hash"] == runs["_taken_hash"]))
+        F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias(taken),
+    ).select(F.col("doc_id").alias(its_id), F.col("text_hash").alias(its_hash), taken)
+    texts = docs.withColumn(own_hash, F.xxhash64(text_or_empty(text))).dropDuplicates(["doc_id", own_hash])
+    joined = texts.join(runs, texts["doc_id"].eqNullSafe(runs[its_id]) & (texts[own_hash] == runs[its_hash]))
     columns = docs.columns
     where = columns.index(text)
 
     def cut(batches):
         for batch in batches:
             picked, texts = [], []
-            pieces = batch.column("_pieces").to_pylist()
+            pieces = batch.column(taken).to_pylist()
             for row, stop, words in slices(batch.column(text), lower=False):
                 for i in range(row, stop):
                     first, last = words.first[i - row], words.first[i - row + 1]
@@ -231,7 +232,7 @@ def mixed_texts(docs: DataFrame, text: str = "text", **options) -> DataFrame:
                 arrays[columns.index("n_chars")] = pa.array(map(len, texts), out.schema.field(columns.index("n_chars")).type)
             yield pa.record_batch(arrays, schema=out.schema)
 
-    return joined.select(*columns, "_pieces").mapInArrow(cut, docs.schema)
+    return joined.select(*columns, taken).mapInArrow(cut, docs.schema)
 
 
 def op2_mixing(spark, folder: str) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 from llm_reference import SMALL, nothing, odd, words  # noqa: F401
 
-from pixelhour.llm import mixing, sharding
+from pixelhour.llm import language_id, mixing, sharding
 from pixelhour.llm.common import documents
 
 TREE = sharding.Tree.regular(2, 2, 4)
@@ -134,3 +134,16 @@ def test_texts(spark, odd, nothing):
     made = mixing.mix_sources(nothing)
     assert made.pieces.count() == 0 and made.layout.count() == 0
     assert mixing.mixed_texts(nothing).count() == 0
+
+
+def test_columns_named_like_the_operators_own(spark):
+    """Private columns give way to those of the table."""
+    names = ["_hash", "_pieces", "_taken_id", "_letters", "_row", "_scores", "_others", "given0"]
+    rows = [(i, f"alpha beta gamma delta {i}", "en", "s", *[f"{n}-{i}" for n in names]) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names))
+    whole = {r["doc_id"]: r for r in df.collect()}
+    mixed = mixing.mixed_texts(df).collect()
+    assert mixed and all(r[n] == whole[r["doc_id"]][n] for r in mixed for n in names)
+    found = language_id.predict(df, language_id.train(df))
+    assert found.columns == [*df.columns, "lang_pred", "score"]
+    assert {tuple(r)[:-2] for r in found.collect()} == {tuple(r) for r in whole.values()}
