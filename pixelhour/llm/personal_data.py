@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -322,6 +324,19 @@ def joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans))
 
 
+def apart(spans: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The spans (kind, start, end) that overlap none of ``base``: of the base spans that begin before a span's end,
+    the furthest end decides."""
+    order = sorted((a, b) for _, a, b in base)
+    starts, furthest = [a for a, _ in order], list(accumulate((b for _, b in order), max))
+    out = []
+    for span in spans:
+        before = bisect_left(starts, span[2])
+        if not before or furthest[before - 1] <= span[1]:
+            out.append(span)
+    return out
+
+
 def find(docs: DataFrame, field: Field) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans and n_added for every row of ``docs``.
 
@@ -336,15 +351,16 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
             data, at = text_buffers(column)
             extra: dict[int, list] = {}
             for row, _, words in slices(column, lower=False):
-                for owner, kind, start, end in added_spans(shared.value, words):
-                    low = int(at[row + owner] - at[row])
-                    lead = words.data[low:start].tobytes().decode()
-                    inner = words.data[start:end].tobytes().decode()
-                    extra.setdefault(row + owner, []).append((kind, len(lead), len(lead) + len(inner)))
+                found = added_spans(shared.value, words)
+                # Code points before each byte of the slice, counted once.
+                points = np.concatenate([[0], np.cumsum((words.data & 0xC0) != 0x80)]) if found else None
+                for owner, kind, start, end in found:
+                    first = points[int(at[row + owner] - at[row])]
+                    extra.setdefault(row + owner, []).append((kind, int(points[start] - first), int(points[end] - first)))
             numbers, sums, texts, added = [], [], [], []
             for i, value in enumerate(column):
                 base = base_spans(value.as_py() or "")
-                more = [x for x in extra.get(i, ()) if not any(x[1] < b and a < x[2] for _, a, b in base)]
+                more = apart(extra.get(i, []), base)
                 numbers.append([sum(k == kind for k, _, _ in base) for kind in range(len(KINDS))])
                 sums.append(hashlib.sha256(joined(base).encode()).hexdigest())
                 texts.append(joined(base + more))

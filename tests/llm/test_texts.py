@@ -192,3 +192,21 @@ def test_likeness_of_very_long_texts():
     assert apart.mean() < 0.25 and apart.max() < 0.6  # 200,000 runs each, none the same
     mixed = fingerprints.vectors(pa.array(["\n".join(a[:15_000] + b[15_000:]) for a, b in zip(texts[:-1], texts[1:], strict=True)]))
     assert abs(fingerprints.likeness(found[:-1], mixed).mean() - 0.75) < 0.1
+
+
+def test_spans_apart_from_base_spans():
+    draw = random.Random(11)
+    for _ in range(300):
+        spans, base = ([(k, a, a + draw.randint(1, 9)) for k, a in ((draw.randrange(4), draw.randrange(60)) for _ in range(draw.randrange(12)))] for _ in range(2))
+        assert personal_data.apart(spans, base) == [x for x in spans if not any(x[1] < b and a < x[2] for _, a, b in base)]
+
+
+def test_spans_of_a_very_long_text(spark):
+    """Thousands of spans of both kinds in one text of many bytes a character, in time linear in its length."""
+    text = " ".join(f"ünï {i} mail{i}@example.com call +1 555 {i % 900 + 100} 01{i % 90 + 10} or mäil{i}＠x" for i in range(8000))
+    docs = spark.createDataFrame([(1, text), (2, "ü " + text[:2000])], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in personal_data.find(docs, personal_data.train(personal_data.labelled())).collect()}
+    assert rows[1]["n_email"] == 8000 and rows[1]["n_phone"] == 8000
+    for r, whole in ((rows[1], text), (rows[2], "ü " + text[:2000])):
+        spans = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in r["spans"].split(","))]
+        assert all(0 <= a < b <= len(whole) and whole[a:b].strip() == whole[a:b] for _, a, b in spans)
