@@ -120,6 +120,33 @@ def test_device_texts_follow_the_newest_load(spark, tmp_path, measure):
     assert got == {(7, "dev_label"): ("b", sent), (7, "dev_test"): ("false", NOW), (8, "dev_test"): ("true", sent)}
 
 
+def loads_of(spark, folder, rows):
+    """(least id, greatest id, rows, files) of each micro-batch of the two loads of so many events."""
+    spark.range(rows).selectExpr(
+        "id as event_id", "timestamp_ntz'2024-01-30 10:00:00' as ts", "id % 7 as user_id", "'click' as event_type",
+        "1.5D as value", "'{}' as props",
+    ).coalesce(1).write.parquet(f"{folder}/events.parquet")
+    seen = {}
+
+    def handle(batch, batch_id):
+        seen[batch_id] = tuple(batch.agg(F.min("id"), F.max("id"), F.count("id"), F.countDistinct("file")).first())
+
+    stream = registry.load_stream(spark, str(folder)).select("id", F.input_file_name().alias("file"))
+    stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return seen
+
+
+def test_a_load_is_one_micro_batch_of_many_files(spark, tmp_path):
+    first, second = loads_of(spark, tmp_path, 400).values()
+    assert first[:3] == (0, 199, 200) and second[:3] == (200, 399, 200)
+    assert first[3] > 1 and second[3] > 1
+
+
+def test_loads_of_few_rows_stay_apart(spark, tmp_path):
+    first, second = loads_of(spark, tmp_path, 3).values()
+    assert first[:3] == (0, 1, 2) and second[:3] == (2, 2, 1)
+
+
 def test_batch_time_is_the_same_in_a_retry(spark, tmp_path):
     """Without a clock the run's time is the micro-batch's, which Spark keeps with its offsets."""
     (tmp_path / "in").mkdir()

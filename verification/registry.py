@@ -676,11 +676,17 @@ def fixed_clock() -> datetime:
 
 
 def load_stream(spark, folder) -> DataFrame:
-    """Both loads as files of one folder, a micro-batch each."""
+    """Both loads in one folder, a micro-batch each.
+
+    A micro-batch takes as many files as the first load has, the oldest first; the second load has no more.
+    Each load is written by all cores, so that a micro-batch is read by all.
+    """
     path = work_dir(prepare(spark), "loads")
-    for load in two_loads(spark, folder):
-        load.coalesce(1).write.mode("append").parquet(path)  # a file is a micro-batch
-    return spark.readStream.schema(load.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    first, second = two_loads(spark, folder)
+    first.write.parquet(path)
+    files = len(spark.read.schema(first.schema).parquet(path).inputFiles())
+    second.coalesce(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(first.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def stream_hourly_state(spark, folder):
