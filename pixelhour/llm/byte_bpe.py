@@ -19,6 +19,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -40,6 +41,8 @@ COUNTED_CHARS = 16 << 20
 SHARED_PARTS, SHARED_CHARS = 1 << 18, 32
 #: A Python worker remembers about so many parts of texts, of so many characters together.
 KNOWN, KNOWN_CHARS = 300_000, 8 << 20
+#: The ids of so many parts are put into words together.
+SAID = 1 << 13
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -52,6 +55,21 @@ def compiled(pattern: str) -> regex.Pattern:
     return regex.compile(pattern.replace(r"[^\s", f"[^{_SPACE}").replace(r"\s", _SPACE).replace(r"\S", r"\P{White_Space}"))
 
 
+def _table(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Values one after another, and the n + 1 places where they start."""
+    return np.frombuffer(b"".join(values), np.uint8), np.cumsum([0, *map(len, values)])
+
+
+def _joined(table: tuple[np.ndarray, np.ndarray], ids: np.ndarray, ends: np.ndarray) -> Iterator[bytes]:
+    """The values of ``ids``, joined for each run of ids that stops at ``ends``."""
+    data, at = table
+    sizes = at[ids + 1] - at[ids]
+    stop = np.cumsum(sizes)
+    joined = data[np.repeat(at[ids] - stop + sizes, sizes) + np.arange(sizes.sum())].tobytes()
+    bounds = np.append(0, stop)[ends].tolist()
+    return (joined[begin:end] for begin, end in zip([0, *bounds], bounds, strict=False))
+
+
 class Merger:
     """Encodes pre-tokens by the ranks of a vocabulary, and decodes ids."""
 
@@ -59,12 +77,13 @@ class Merger:
         self.ranks = ranks
         self.shared = shared or {}
         self.known: dict[str, bytes] = {}
-        self.said: dict[str, str] = {}
+        self.said: dict[str, bytes] = {}
         self.spelled: dict[str, bytes] = {}
         self.chars = 0
         self.tokens = {i: t for t, i in ranks.items()}
-        self.decimal = {i: f" {i}" for i in self.tokens}
         self.size = max(self.tokens) + 1
+        self.decimal = _table([f" {i}".encode() for i in range(self.size)])
+        self.spelling = _table([self.tokens.get(i, b"") for i in range(self.size)])
         self.pieces = compiled(pattern)
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         made: dict[int, int] = {}
@@ -106,9 +125,12 @@ class Merger:
             places = places[rank[places] >= 0]
             if not len(places):
                 return
-            places = places[np.argsort(rank[places], kind="stable")]
-            kinds, first = np.unique(rank[places], return_index=True)
-            for r, group in zip(kinds.tolist(), np.split(places, first[1:]), strict=True):
+            ranks = rank[places]
+            order = np.argsort(ranks, kind="stable")
+            places, ranks = places[order], ranks[order]
+            ends = [*(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist(), len(ranks)]
+            for begin, end in zip([0, *ends], ends, strict=False):
+                r, group = int(ranks[begin]), places[begin:end]
                 if r not in index:
                     index[r] = []
                     heapq.heappush(heap, r)
@@ -153,27 +175,30 @@ class Merger:
         if len(self.known) + len(self.said) > KNOWN or self.chars > KNOWN_CHARS:
             self.forget()
         parts = [cut_at_spaces(t) for t in texts]
-        seen = self.said if digests else self.known
-        new = [p for p in set(chain.from_iterable(p[1:] for p in parts)) if p not in seen]
+        new = list(set(chain.from_iterable(p[1:] for p in parts)).difference(self.said if digests else self.known))
         self.chars += sum(map(len, new))
-        alone = [p for p in new if p not in self.shared]
-        coded = self._coded([*[p[0] for p in parts], *[" " + p for p in alone]])
-        found = dict(zip(alone, coded[len(parts):], strict=True))
-        found.update((p, self.shared[p]) for p in new if p in self.shared)
+        ids = list(map(self.shared.get, new))
+        alone = [i for i, known in enumerate(ids) if known is None]
+        coded = self._coded([*[p[0] for p in parts], *[" " + new[i] for i in alone]])
+        for i, made in zip(alone, coded[len(parts):], strict=True):
+            ids[i] = made
         if digests:
-            for part, ids in found.items():
-                self.said[part], self.spelled[part] = self._said(ids)
+            for i in range(0, len(new), SAID):
+                said, spelled = self._said(ids[i: i + SAID])
+                self.said.update(zip(new[i: i + SAID], said, strict=True))
+                self.spelled.update(zip(new[i: i + SAID], spelled, strict=True))
         else:
-            self.known.update(found)
+            self.known.update(zip(new, ids, strict=True))
         return parts, coded[: len(parts)]
 
     def forget(self) -> None:
         self.known, self.said, self.spelled, self.chars = {}, {}, {}, 0
 
-    def _said(self, ids: bytes) -> tuple[str, bytes]:
-        """Ids in decimal, each after a space, and the bytes they stand for."""
-        numbers = np.frombuffer(ids, "<i4").tolist()
-        return "".join(map(self.decimal.__getitem__, numbers)), self.decode(numbers)
+    def _said(self, coded: list[bytes]) -> tuple[Iterator[bytes], Iterator[bytes]]:
+        """The ids of each of some texts in decimal, each after a space, and the bytes they stand for."""
+        ids = np.frombuffer(b"".join(coded), "<i4")
+        ends = np.cumsum(np.array([len(c) // 4 for c in coded], np.int64))
+        return _joined(self.decimal, ids, ends), _joined(self.spelling, ids, ends)
 
     def encode_bytes(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, as little-endian 32-bit numbers.
@@ -194,10 +219,10 @@ class Merger:
         """For each text the number of its ids, and digests of the ids in decimal and of the bytes they stand for."""
         parts, heads = self._slice(texts, True)
         for head, part in zip(heads, parts, strict=True):
-            said, spelled = self._said(head)
-            said = "".join([said, *map(self.said.__getitem__, part[1:])])
-            spelled = b"".join([spelled, *map(self.spelled.__getitem__, part[1:])])
-            yield said.count(" "), hashlib.sha256(said[1:].encode()).hexdigest(), hashlib.sha256(spelled).hexdigest()
+            said, spelled = self._said([head])
+            said = b"".join([*said, *map(self.said.__getitem__, part[1:])])
+            spelled = b"".join([*spelled, *map(self.spelled.__getitem__, part[1:])])
+            yield said.count(b" "), hashlib.sha256(said[1:]).hexdigest(), hashlib.sha256(spelled).hexdigest()
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes of some ids; an id outside the vocabulary is an error."""
@@ -207,21 +232,31 @@ class Merger:
 _MERGERS: dict[tuple, Merger] = {}
 
 
-def merger(shared, pattern: str) -> Merger:
-    """The merger of a broadcast vocabulary, made once for each Python worker."""
+@contextmanager
+def merger(shared, pattern: str) -> Iterator[Merger]:
+    """The merger of a broadcast vocabulary, made once for each Python worker.
+
+    A worker serves other stages after this one, so parts of texts are let go when a task ends.
+    """
     key = (shared.value["key"], pattern)
     if key not in _MERGERS:
         _MERGERS.clear()
-        _MERGERS[key] = Merger(shared.value["ranks"], pattern, shared.value["parts"])
-    return _MERGERS[key]
+        _MERGERS[key] = Merger(shared.value["ranks"], pattern)
+    coder = _MERGERS[key]
+    coder.shared = shared.value["parts"]
+    try:
+        yield coder
+    finally:
+        coder.shared = {}
+        coder.forget()
 
 
 def share_ranks(spark, path: str, parts: dict[str, bytes] | None = None):
     """The rank file's content for all executors (its size is the vocabulary's, whatever the corpus), and the ids of some parts."""
     ship(spark)
-    ranks, parts = read_ranks(path), parts or {}
-    key = hashlib.sha256(repr((sorted(ranks.items()), sorted(parts.items()))).encode()).hexdigest()
-    return spark.sparkContext.broadcast({"key": key, "ranks": ranks, "parts": parts})
+    ranks = read_ranks(path)
+    key = hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
+    return spark.sparkContext.broadcast({"key": key, "ranks": ranks, "parts": parts or {}})
 
 
 def spread_parts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -241,10 +276,10 @@ def shared_ids(docs: DataFrame, rank_file: str, pattern: str, text: str = "text"
     ranks = share_ranks(docs.sparkSession, rank_file)
 
     def run(batches):
-        coder = merger(ranks, pattern)
-        for batch in batches:
-            coded = coder._coded([" " + p for p in batch.column("part").to_pylist()])
-            yield pa.record_batch([batch.column("part"), pa.array(coded, pa.binary())], ["part", "ids"])
+        with merger(ranks, pattern) as coder:
+            for batch in batches:
+                coded = coder._coded([" " + p for p in batch.column("part").to_pylist()])
+                yield pa.record_batch([batch.column("part"), pa.array(coded, pa.binary())], ["part", "ids"])
 
     scratch = Scratch(docs.sparkSession, "spread-parts")
     parts = most_frequent(scratch.save(spread_parts(docs, text)), SHARED_PARTS)
@@ -278,12 +313,12 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", in
     columns = [c for c in docs.columns if c != into]
 
     def run(batches):
-        coder = merger(shared, pattern)
-        for batch in batches:
-            coded = [ids for texts in text_slices(batch.column(text)) for ids in coder.encode_bytes(texts)]
-            ends = np.cumsum([0, *map(len, coded)]) // 4
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), "<i4"), pa.int32()))
-            yield pa.record_batch([*[batch.column(c) for c in columns], ids], [*columns, into])
+        with merger(shared, pattern) as coder:
+            for batch in batches:
+                coded = [ids for texts in text_slices(batch.column(text)) for ids in coder.encode_bytes(texts)]
+                ends = np.cumsum([0, *map(len, coded)]) // 4
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), "<i4"), pa.int32()))
+                yield pa.record_batch([*[batch.column(c) for c in columns], ids], [*columns, into])
 
     rows = docs.select(columns)
     return rows.mapInArrow(run, rows.limit(0).selectExpr("*", f"cast(null as array<int>) as {into}").schema)
@@ -295,10 +330,10 @@ def decode(coded: DataFrame, rank_file: str, pattern: str, ids: str = "ids", int
     columns = [c for c in coded.columns if c != into]
 
     def run(batches):
-        coder = merger(shared, pattern)
-        for batch in batches:
-            made = [coder.decode(x.as_py() or []) for x in batch.column(ids)]
-            yield pa.record_batch([*[batch.column(c) for c in columns], pa.array(made, pa.binary())], [*columns, into])
+        with merger(shared, pattern) as coder:
+            for batch in batches:
+                made = [coder.decode(x.as_py() or []) for x in batch.column(ids)]
+                yield pa.record_batch([*[batch.column(c) for c in columns], pa.array(made, pa.binary())], [*columns, into])
 
     rows = coded.select(columns)
     return rows.mapInArrow(run, rows.limit(0).selectExpr("*", f"cast(null as binary) as {into}").schema)
@@ -312,14 +347,14 @@ def digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     shared = share_ranks(docs.sparkSession, rank_file, shared_ids(docs, rank_file, pattern))
 
     def run(batches):
-        coder = merger(shared, pattern)
-        for batch in batches:
-            rows = [row for texts in text_slices(batch.column("text")) for row in coder.digests(texts)]
-            sizes, coded, decoded = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+        with merger(shared, pattern) as coder:
+            for batch in batches:
+                rows = [row for texts in text_slices(batch.column("text")) for row in coder.digests(texts)]
+                sizes, coded, decoded = zip(*rows, strict=True) if rows else ((), (), ())
+                yield pa.record_batch(
+                    [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -158,6 +158,8 @@ def shapes(words: Words) -> Words:
 
 
 _BESIDE_SPACE = re.compile(r"\s(?= )| (?=\s)")
+_RARE_SPACE = re.compile(r"[^\S \n]")
+_RARE_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -167,4 +169,12 @@ def cut_at_spaces(text: str) -> list[str]:
     Only spaces with no other white space beside them are cut, which is where the
     pre-tokens of byte-level vocabularies (`` ?\\p{L}+`` and so on) always begin.
     """
-    return text.split(" ") if _BESIDE_SPACE.search(text) is None else _SINGLE_SPACE.split(text)
+    return text.split(" ") if _spaces_alone(text) else _SINGLE_SPACE.split(text)
+
+
+def _spaces_alone(text: str) -> bool:
+    """Whether no space has other white space beside it; most texts have spaces and newlines only and need no pattern."""
+    if "  " in text or " \n" in text or "\n " in text:
+        return False
+    rare = any(c in text for c in _RARE_ASCII) if text.isascii() else _RARE_SPACE.search(text)
+    return not rare or _BESIDE_SPACE.search(text) is None

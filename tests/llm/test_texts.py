@@ -50,6 +50,30 @@ def test_merges_equal_the_library(library):
         assert coder.decode(ids) == text.encode()
 
 
+def test_plain_texts_are_cut_without_a_pattern(monkeypatch):
+    monkeypatch.setattr(W, "_BESIDE_SPACE", None)
+    assert W.cut_at_spaces("one two\nthree four") == ["one", "two\nthree", "four"]
+    assert W.cut_at_spaces("één twee") == ["één", "twee"]
+
+
+def test_cuts_equal_the_pattern():
+    for gap in [" ", "  ", "\n", " \n", "\n ", "\t ", " \t", "\x1f ", "\xa0 ", " \u2003", "\u3000", "\x85 ", "a\t", ""]:
+        for text in (f"a{gap}b c", f"é{gap}b c", f"{gap}a b", f"a b{gap}", gap, f"a\x0b{gap}b \u3042 c"):
+            cut = text.split(" ") if W._BESIDE_SPACE.search(text) is None else W._SINGLE_SPACE.split(text)
+            assert W.cut_at_spaces(text) == cut, repr(text)
+
+
+def test_a_worker_lets_go_of_parts_after_a_task(spark):
+    shared = byte_bpe.share_ranks(spark, RANK_FILE, {"shared": b"\0\0\0\0"})
+    with byte_bpe.merger(shared, PATTERN) as coder:
+        assert list(coder.shared) == ["shared"]
+        first = list(coder.digests(["some words of a text"]))
+        assert len(coder.said) == len(coder.spelled) == 4
+    assert not (coder.shared or coder.known or coder.said or coder.spelled or coder.chars)
+    with byte_bpe.merger(shared, PATTERN) as again:
+        assert again is coder and list(again.digests(["some words of a text"])) == first
+
+
 def test_query_equals_the_library(spark, library):
     text = {r["doc_id"]: r["text"] or "" for r in documents(spark, SMALL).collect()}
     rows = byte_bpe.op5_byte_bpe(spark, SMALL).collect()
