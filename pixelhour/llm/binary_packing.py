@@ -72,7 +72,7 @@ class Coder:
             self.known, self.chars = {}, 0
         parts = [cut_at_spaces(t) for t in texts]
         heads = self._ids([p[0] for p in parts])
-        self._learn([p for p in set(chain.from_iterable(p[1:] for p in parts)) if p not in self.known])
+        self._learn(list(set(chain.from_iterable(p[1:] for p in parts)).difference(self.known)))
         look = self.known.__getitem__
         for head, part in zip(heads, parts, strict=True):
             yield b"".join([np.array(head, "<u4").tobytes(), *map(look, part[1:])])
