@@ -37,7 +37,8 @@ RUN_CHARS = 4 << 20
 class Coder:
     """Ids of whole texts by a tokenizer file, as little-endian unsigned 32-bit numbers.
 
-    Parts of texts between single spaces are encoded once while they are remembered.
+    Parts of texts between single spaces are encoded once while they are remembered;
+    of too many, those of the next run of texts stay.
     """
 
     def __init__(self, path: str) -> None:
@@ -68,11 +69,13 @@ class Coder:
         self.chars += sum(map(len, parts))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self.known) > KNOWN or self.chars > KNOWN_CHARS:
-            self.known, self.chars = {}, 0
         parts = [cut_at_spaces(t) for t in texts]
+        here = set(chain.from_iterable(p[1:] for p in parts))
+        if len(self.known) > KNOWN or self.chars > KNOWN_CHARS:
+            self.known = {p: self.known[p] for p in here if p in self.known}
+            self.chars = sum(map(len, self.known))
         heads = self._ids([p[0] for p in parts])
-        self._learn(list(set(chain.from_iterable(p[1:] for p in parts)).difference(self.known)))
+        self._learn(list(here.difference(self.known)))
         look = self.known.__getitem__
         for head, part in zip(heads, parts, strict=True):
             yield b"".join([np.array(head, "<u4").tobytes(), *map(look, part[1:])])

@@ -331,3 +331,17 @@ def test_packed_products_are_exact(most):
 def test_constant_vectors_far_from_zero():
     a = np.full((2, 64), -(2.0**31))
     assert hard_negatives.packed_products(a, a).tolist() == [[hard_negatives.MOST] * 2] * 2
+
+
+def test_parts_needed_next_stay_remembered(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(binary_packing, "KNOWN", 2)
+    coder = binary_packing.Coder(public_tokenizers.path("byte_bpe_50k.json"))
+    whole = list(coder.encode(["a red bird", "a green bird"]))
+    learned = []
+    learn = coder._learn
+    monkeypatch.setattr(coder, "_learn", lambda parts: (learned.extend(parts), learn(parts)))
+    again = list(coder.encode(["a red bird", "a blue bird"]))
+    assert learned == ["blue"] and set(coder.known) == {"red", "blue", "bird"} and coder.chars == 11
+    assert again[0] == whole[0]
