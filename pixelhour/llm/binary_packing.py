@@ -11,6 +11,7 @@ its ids fill the batch.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -22,7 +23,6 @@ from pyspark.sql import functions as F
 
 from pixelhour.llm.common import documents, saved, ship, text_or_empty
 from pixelhour.llm.sharding import number_slots
-from pixelhour.llm.words import cut_at_spaces
 
 MOST = 1024
 END = 0
@@ -32,53 +32,161 @@ KNOWN, KNOWN_CHARS = 600_000, 8 << 20
 TOGETHER = 200
 #: Texts are encoded in runs of about so many characters, one text at least.
 RUN_CHARS = 4 << 20
+#: Bytes of ASCII white space (as Python sees it), of ASCII letters and digits, and of other printable ASCII.
+_WHITE, _WORD, _MARK = (np.array([test(chr(b)) for b in range(128)] + [False] * 128) for test in (
+    str.isspace, str.isalnum, lambda c: c.isprintable() and not c.isalnum() and c != " "))
+#: First bytes of two-byte characters that are letters, but for U+00D7 and U+00F7: U+00C0 to U+023F and U+0400 to U+047F.
+_LETTERS = np.isin(np.arange(256), [*range(0xC3, 0xC9), 0xD0, 0xD1])
+#: A space and such letters or ASCII ones.
+_WORDS = re.compile(" [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u023f\u0400-\u047f]+").fullmatch
+#: Other white space by its two or three bytes, and the bytes it begins with.
+_SPACES = [c.encode() for c in map(chr, range(0x80, 0x10000)) if c.isspace()]
+_WIDE = np.array([int.from_bytes(c.ljust(3, b"\0"), "big") for c in _SPACES])
+_LEADS = np.isin(np.arange(256), [c[0] for c in _SPACES])
+
+
+def _white(data: np.ndarray) -> np.ndarray:
+    """Whether each byte belongs to white space."""
+    white = _WHITE[data]
+    at = np.flatnonzero(_LEADS[data])
+    if len(at):
+        wide = np.concatenate([data, np.zeros(2, np.uint8)])
+        two = wide[at] < 0xE0
+        code = wide[at].astype(np.int64) << 16 | wide[at + 1].astype(np.int64) << 8 | np.where(two, 0, wide[at + 2])
+        hit = np.isin(code, _WIDE)
+        white[at[hit]] = white[at[hit] + 1] = white[at[hit & ~two] + 2] = True
+    return white
+
+
+def cut_texts(data: np.ndarray, at: np.ndarray, marks: bool) -> np.ndarray:
+    """Whether a part begins at each byte of the texts that start at ``at`` (with the end at last).
+
+    Parts begin where a text does and at a space with no other white space beside it. With ``marks``, they also begin
+    at a newline alone in that way, and at an ASCII mark after a letter or digit: pre-tokens of the byte-level pattern
+    (`` ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+`` and so on) always begin there. Other patterns may join marks and
+    newlines to what is beside them.
+    """
+    cut = np.zeros(len(data), bool)
+    if not len(data):
+        return cut
+    text = ~_white(data)
+    edge = data[1:-1] == 0x20
+    if marks:
+        edge |= data[1:-1] == 0x0A
+    cut[1:-1] = edge & text[:-2] & text[2:]
+    starts = at[:-1][at[:-1] < at[1:]]
+    cut[starts[1:] - 1] = False
+    if marks:
+        mark = _MARK[data]
+        cut[1:] |= mark[1:] & _WORD[data[:-1]]
+        here = 2 + np.flatnonzero(mark[2:] & (data[1:-1] >= 0x80))
+        first, second = data[here - 2], data[here - 1]
+        cut[here] |= _LETTERS[first] & ~((first == 0xC3) & ((second == 0x97) | (second == 0xB7)))
+    cut[starts] = True
+    return cut
+
+
+def _turned(part: str) -> str:
+    """The part without the space it opens with, or with one if it opens with none; turned again, the part."""
+    return part[1:] if part[0] == " " else " " + part
 
 
 class Coder:
     """Ids of whole texts by a tokenizer file, as little-endian unsigned 32-bit numbers.
 
-    Parts of texts between single spaces are encoded once while they are remembered;
-    of too many, those of the next run of texts stay.
+    Texts are cut where pre-tokens begin for certain, and each part is encoded once while it is remembered; of too many,
+    those of the next run of texts stay. A text that holds a token the file adds to its vocabulary is one part.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        space = self.tokenizer.id_to_token(self._ids([" "])[0][0])
-        self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith(space) for i in range(self.tokenizer.get_vocab_size())])
+        before = self.tokenizer.pre_tokenizer
+        self.marks = self.tokenizer.normalizer is None and isinstance(before, pre_tokenizers.ByteLevel) and before.use_regex and not before.add_prefix_space
+        # The same merges for words that need no pattern to be pre-tokens.
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(False, use_regex=False)])
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.plain = re.compile(r"[ \n]\S+" if self.marks else r" \S+").fullmatch
+        white = tuple(self.tokenizer.id_to_token(self._ids([c])[0][0]) for c in " \n")
+        self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith(white) for i in range(self.tokenizer.get_vocab_size())])
+        #: By parts turned. The first part of a text is not remembered.
         self.known: dict[str, bytes] = {}
         self.chars = 0
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _coded(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part. Parts that open with their only white space are encoded many in one text, where a
+        token that opens with white space opens a part; those of letters alone are pre-tokens already."""
+        found = [b""] * len(parts)
+        words: list[int] = []
+        plain: list[int] = []
+        odd: list[int] = []
+        for i, p in enumerate(parts):
+            (words if self.marks and _WORDS(p) else plain if self.plain(p) else odd).append(i)
+        for tokenizer, own in (self.words, words), (self.tokenizer, plain):
+            for i in range(0, len(own), TOGETHER):
+                some = own[i: i + TOGETHER]
+                text = "".join([parts[j] for j in some])
+                if any(t in text for t in self.added):
+                    odd += some
+                    continue
+                ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+                at = [*(4 * np.flatnonzero(self.opens[ids])).tolist(), 4 * len(ids)]
+                data = ids.tobytes()
+                for j, a, b in zip(some, at[:-1], at[1:], strict=True):
+                    found[j] = data[a:b]
+        for j, ids in zip(odd, self._ids([parts[j] for j in odd]), strict=True):
+            found[j] = np.array(ids, "<u4").tobytes()
+        return found
+
     def _learn(self, parts: list[str]) -> None:
-        """Remember the ids of each part with a space before it. Parts without a space of their own are encoded
-        many in one text, where a token that opens with a space opens a part."""
-        plain = [p for p in parts if p and " " not in p]
-        for i in range(0, len(plain), TOGETHER):
-            some = plain[i: i + TOGETHER]
-            ids = np.array(self._ids([" " + " ".join(some)])[0], "<u4")
-            at = [*(4 * np.flatnonzero(self.opens[ids])).tolist(), 4 * len(ids)]
-            data = ids.tobytes()
-            self.known.update({p: data[a:b] for p, a, b in zip(some, at[:-1], at[1:], strict=True)})
-        odd = [p for p in parts if not p or " " in p]
-        self.known.update({p: np.array(ids, "<u4").tobytes() for p, ids in zip(odd, self._ids([" " + p for p in odd]), strict=True)})
+        self.known.update(zip(parts, self._coded([_turned(p) for p in parts]), strict=True))
         self.chars += sum(map(len, parts))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        parts = [cut_at_spaces(t) for t in texts]
-        here = set(chain.from_iterable(p[1:] for p in parts))
+        data = [t.encode() for t in texts]
+        whole, at = b"".join(data), np.cumsum([0, *map(len, data)])
+        cut = cut_texts(np.frombuffer(whole, np.uint8), at, self.marks)
+        for row, text in enumerate(texts):
+            if any(t in text for t in self.added):
+                cut[at[row] + 1: at[row + 1]] = False
+        start = np.flatnonzero(cut)
+        first = np.searchsorted(start, at)
+        offsets = np.append(start, len(whole)).astype(np.int32)
+        parts = pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(whole)]).dictionary_encode()
+        names, place = parts.dictionary.to_numpy(zero_copy_only=False).tolist(), parts.indices.to_numpy()
+
+        inner = np.ones(len(place), bool)
+        inner[first[:-1][first[:-1] < first[1:]]] = False
+        inside = np.zeros(len(names), bool)
+        inside[place[inner]] = True
+        heads = np.flatnonzero(~inside).tolist()
+        rest = np.flatnonzero(inside).tolist()
+        here = [_turned(names[i]) for i in rest]
         if len(self.known) > KNOWN or self.chars > KNOWN_CHARS:
             self.known = {p: self.known[p] for p in here if p in self.known}
             self.chars = sum(map(len, self.known))
-        heads = self._ids([p[0] for p in parts])
-        self._learn(list(here.difference(self.known)))
-        look = self.known.__getitem__
-        for head, part in zip(heads, parts, strict=True):
-            yield b"".join([np.array(head, "<u4").tobytes(), *map(look, part[1:])])
+        coded = list(map(self.known.get, here))
+        new = [i for i, ids in enumerate(coded) if ids is None]
+        self._learn([here[i] for i in new])
+        for i in new:
+            coded[i] = self.known[here[i]]
+        ids = [b""] * len(names)
+        for i, own in chain(zip(heads, self._coded([names[i] for i in heads]), strict=True), zip(rest, coded, strict=True)):
+            ids[i] = own
+
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        count = sizes[place]
+        stop = np.append(0, np.cumsum(count))
+        shift = (np.cumsum(sizes) - sizes)[place] - stop[:-1]
+        data = np.frombuffer(b"".join(ids), "<u4")[np.repeat(shift, count) + np.arange(stop[-1])].tobytes()
+        ends = (4 * stop[first]).tolist()
+        return (data[a:b] for a, b in zip(ends, ends[1:], strict=False))
 
 
 _CODERS: dict[str, Coder] = {}

@@ -345,3 +345,41 @@ def test_parts_needed_next_stay_remembered(monkeypatch):
     again = list(coder.encode(["a red bird", "a blue bird"]))
     assert learned == ["blue"] and set(coder.known) == {"red", "blue", "bird"} and coder.chars == 11
     assert again[0] == whole[0]
+
+
+def test_marks_and_newlines_make_no_new_parts(tokenizer, tokenizer_file, monkeypatch):
+    coder = binary_packing.Coder(tokenizer_file)
+    list(coder.encode(["a red élan and one bird.\nred, gone! 12% bird,red"]))
+    learned = []
+    learn = coder._learn
+    monkeypatch.setattr(coder, "_learn", lambda parts: (learned.extend(parts), learn(parts)))
+    text = "a bird. one red, gone, bird! élan.\nred. élan, 12,red"
+    (got,) = coder.encode([text])
+    assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert not {"bird.", "bird!", "red,", "gone,", "élan,", "élan.\nred.", "12,red"} & set(learned)
+    assert not {"bird", "one", "red", "gone", "élan", "12"} & set(learned)
+
+
+def test_cuts_at_marks_encode_alike(tokenizer, tokenizer_file):
+    alphabet = [*" \n.,!_-'aé×÷ßĀȿɐЖ҂1²½日。🎉ªµ", "  ", "\r\n", "\x1c", "\x85", "\xa0", "\u1680", "\u2028", "\u3000", "\u200b", "\u0301", "'s", "'re"]
+    for some in (alphabet, [*alphabet, "<|endoftext|>", "<|", "endoftext", "|>"]):
+        draw = random.Random(len(some))
+        texts = ["", " ", "\n", " \nfoo", "\nfoo", " foo", *("".join(draw.choices(some, k=draw.randrange(30))) for _ in range(4000))]
+        texts += [f"a {c} b{c}. {c}{c},{c}\n{c}! 1{c}'s {c}" for c in map(chr, range(0x3100))]
+        coder = binary_packing.Coder(tokenizer_file)
+        for text, got in zip(texts, coder.encode(texts), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_other_patterns_are_cut_at_spaces_only(tokenizer_file, tmp_path):
+    tokenizers = pytest.importorskip("tokenizers")
+    other = tokenizers.Tokenizer.from_file(tokenizer_file)
+    pattern = r"[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
+    before = tokenizers.pre_tokenizers
+    other.pre_tokenizer = before.Sequence([before.Split(tokenizers.Regex(pattern), "isolated"), before.ByteLevel(add_prefix_space=False, use_regex=False)])
+    other.save(str(tmp_path / "other.json"))
+    coder = binary_packing.Coder(str(tmp_path / "other.json"))
+    draw = random.Random(3)
+    texts = ["".join(draw.choices([*" \n.,!-'aé123", "bird", "\n\n", "  "], k=draw.randrange(30))) for _ in range(4000)]
+    for text, got in zip(texts, coder.encode(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == other.encode(text, add_special_tokens=False).ids, repr(text)
