@@ -32,23 +32,28 @@ KNOWN, KNOWN_CHARS = 600_000, 8 << 20
 TOGETHER = 200
 #: Texts are encoded in runs of about so many characters, one text at least.
 RUN_CHARS = 4 << 20
-#: Bytes of ASCII white space (as Python sees it), of ASCII letters and digits, and of other printable ASCII.
-_WHITE, _WORD, _MARK = (np.array([test(chr(b)) for b in range(128)] + [False] * 128) for test in (
-    str.isspace, str.isalnum, lambda c: c.isprintable() and not c.isalnum() and c != " "))
-#: First bytes of two-byte characters that are letters, but for U+00D7 and U+00F7: U+00C0 to U+023F and U+0400 to U+047F.
-_LETTERS = np.isin(np.arange(256), [*range(0xC3, 0xC9), 0xD0, 0xD1])
-#: A space and such letters or ASCII ones.
-_WORDS = re.compile(" [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u023f\u0400-\u047f]+").fullmatch
-#: Other white space by its two or three bytes, and the bytes it begins with.
+#: Other white space than ASCII, in UTF-8.
 _SPACES = [c.encode() for c in map(chr, range(0x80, 0x10000)) if c.isspace()]
 _WIDE = np.array([int.from_bytes(c.ljust(3, b"\0"), "big") for c in _SPACES])
-_LEADS = np.isin(np.arange(256), [c[0] for c in _SPACES])
+#: Kinds of bytes: ASCII white space (as Python sees it), ASCII letters and digits, other printable ASCII, first bytes
+#: of two-byte characters that are letters but for U+00D7 and U+00F7 (U+00C0 to U+023F, U+0400 to U+047F), first bytes
+#: of other white space.
+_WHITE, _WORD, _MARK, _LETTER, _LEAD = 1, 2, 3, 4, 5
+_KINDS = bytearray(256)
+for _byte in range(128):
+    _KINDS[_byte] = _WHITE if chr(_byte).isspace() else _WORD if chr(_byte).isalnum() else _MARK if chr(_byte).isprintable() else 0
+for _byte in *range(0xC3, 0xC9), 0xD0, 0xD1:
+    _KINDS[_byte] = _LETTER
+for _space in _SPACES:
+    _KINDS[_space[0]] = _LEAD
+#: A space and such letters or ASCII ones.
+_WORDS = re.compile(" [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u023f\u0400-\u047f]+").fullmatch
 
 
-def _white(data: np.ndarray) -> np.ndarray:
+def _white(data: np.ndarray, kind: np.ndarray) -> np.ndarray:
     """Whether each byte belongs to white space."""
-    white = _WHITE[data]
-    at = np.flatnonzero(_LEADS[data])
+    white = kind == _WHITE
+    at = np.flatnonzero(kind == _LEAD)
     if len(at):
         wide = np.concatenate([data, np.zeros(2, np.uint8)])
         two = wide[at] < 0xE0
@@ -58,7 +63,7 @@ def _white(data: np.ndarray) -> np.ndarray:
     return white
 
 
-def cut_texts(data: np.ndarray, at: np.ndarray, marks: bool) -> np.ndarray:
+def cut_texts(whole: bytes, at: np.ndarray, marks: bool) -> np.ndarray:
     """Whether a part begins at each byte of the texts that start at ``at`` (with the end at last).
 
     Parts begin where a text does and at a space with no other white space beside it. With ``marks``, they also begin
@@ -66,10 +71,11 @@ def cut_texts(data: np.ndarray, at: np.ndarray, marks: bool) -> np.ndarray:
     (`` ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+`` and so on) always begin there. Other patterns may join marks and
     newlines to what is beside them.
     """
+    data, kind = (np.frombuffer(b, np.uint8) for b in (whole, whole.translate(_KINDS)))
     cut = np.zeros(len(data), bool)
     if not len(data):
         return cut
-    text = ~_white(data)
+    text = ~_white(data, kind)
     edge = data[1:-1] == 0x20
     if marks:
         edge |= data[1:-1] == 0x0A
@@ -77,11 +83,11 @@ def cut_texts(data: np.ndarray, at: np.ndarray, marks: bool) -> np.ndarray:
     starts = at[:-1][at[:-1] < at[1:]]
     cut[starts[1:] - 1] = False
     if marks:
-        mark = _MARK[data]
-        cut[1:] |= mark[1:] & _WORD[data[:-1]]
+        mark = kind == _MARK
+        cut[1:] |= mark[1:] & (kind[:-1] == _WORD)
         here = 2 + np.flatnonzero(mark[2:] & (data[1:-1] >= 0x80))
         first, second = data[here - 2], data[here - 1]
-        cut[here] |= _LETTERS[first] & ~((first == 0xC3) & ((second == 0x97) | (second == 0xB7)))
+        cut[here] |= (kind[here - 2] == _LETTER) & ~((first == 0xC3) & ((second == 0x97) | (second == 0xB7)))
     cut[starts] = True
     return cut
 
@@ -151,7 +157,7 @@ class Coder:
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         data = [t.encode() for t in texts]
         whole, at = b"".join(data), np.cumsum([0, *map(len, data)])
-        cut = cut_texts(np.frombuffer(whole, np.uint8), at, self.marks)
+        cut = cut_texts(whole, at, self.marks)
         for row, text in enumerate(texts):
             if any(t in text for t in self.added):
                 cut[at[row] + 1: at[row + 1]] = False
